@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import fresh, key, money
+from rowgrain.functions.columns import fresh, key, money, position
+from rowgrain.spec import GrainError
 
 #: Aggregates whose value does not change when a row is repeated.
 REPEAT_SAFE = frozenset({"min", "max", "count_distinct"})
@@ -94,9 +95,42 @@ def collect_groups(
     )
 
 
-def fold_pieces(groups: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Merge per-piece results; ``aggs`` are aggregates over the columns of ``groups``."""
-    return groups.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+def ordered_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    merge: Callable[[Column, Column], Column],
+    name: str = "folded",
+    piece_rows: int = 100_000,
+) -> DataFrame:
+    """Fold the values of each key in order.
+
+    Keys with many rows are folded slice by slice along the first order column,
+    which has to be a number, date or time, and ``merge`` joins the results of
+    neighbouring slices.  So ``start`` has to be neutral for ``merge``, and
+    ``merge(f(xs), f(ys))`` has to equal ``f(xs + ys)``.
+    """
+    pos, lo, width, part, val, n = fresh([*df.columns, name], "_pos", "_lo", "_width", "_part", "_val", "_n")
+    where = position(df, order[0])
+    if where is None:
+        raise GrainError(f"cannot cut {order[0]} into slices")
+    rows_in = df.select(*keys, *order, where.alias(pos), value.alias(val))
+    # At most rows / piece_rows keys are that big.
+    big = (
+        rows_in.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(lo), F.max(pos).alias("_hi"))
+        .filter(F.col(n) > F.lit(piece_rows))
+        .select(*keys, lo, ((F.col("_hi") - F.col(lo)) / F.ceil(F.col(n) / F.lit(piece_rows))).alias(width))
+    )
+    cut = F.when(F.col(width) > 0, F.floor((F.col(pos) - F.col(lo)) / F.col(width))).otherwise(F.lit(0))
+    sliced = rows_in.join(F.broadcast(big), list(keys), "left").withColumn(part, F.coalesce(cut, F.lit(0)).cast("long"))
+    in_order = F.sort_array(F.collect_list(F.struct(*order, F.col(val).alias(val))))
+    folded = sliced.groupBy(*keys, part).agg(F.aggregate(in_order, start, lambda acc, r: step(acc, r[val])).alias(name))
+    slices = F.sort_array(F.collect_list(F.struct(part, name)))
+    return folded.groupBy(*keys).agg(F.aggregate(slices, start, lambda acc, r: merge(acc, r[name])).alias(name))
 
 
 def distribution(df: DataFrame, by: Sequence[str], **conditions: Column) -> DataFrame:

@@ -68,13 +68,6 @@ def unchanged_versions(df, ek, since, payload, hot_rows: int = HOT_ROWS) -> Data
     return seen.filter(F.col("_before").isNotNull() & F.col("_before").eqNullSafe(F.struct(*payload))).drop("_before")
 
 
-def compact_versions(df, ek, since, payload, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keep a version only where the payload changed."""
-    seen = previous_row(df, ek, [since], payload, "_before", hot_rows=hot_rows)
-    same = F.col("_before").isNotNull() & F.col("_before").eqNullSafe(F.struct(*payload))
-    return seen.filter(~same).drop("_before")
-
-
 def valid_to(df, ek, since, name: str = "valid_to", hot_rows: int = HOT_ROWS) -> DataFrame:
     """End of validity: the start of the next version, NULL for the newest."""
     seen = next_row(df, ek, [since], [since], "_after", hot_rows=hot_rows)
@@ -148,16 +141,27 @@ def snapshot(
 
     ``collection`` is an array of structs with the columns ``ek, since, payload``.
     """
-    cols = [at, *ek, since, *payload]
-    told = snapshots.select(at, F.explode(collection).alias("_e")).select(at, "_e.*").select(*cols)
-    true = states_at(versions, ek, since, payload, snapshots, at, hot_rows=hot_rows).select(*cols)
+    told = snapshots.select(at, F.explode(collection).alias("_e")).select(at, "_e.*")
     return {
         "time_not_null": _nulls(snapshots, [at]),
         "time_unique": duplicates(snapshots, [at]),
-        "collection_is_complete": count_sides(told, true).filter(F.col("n_left") != F.col("n_right")),
+        "collection_is_complete": snapshot_differences(told, at, versions, ek, since, payload, snapshots, hot_rows),
     }
 
 
+def snapshot_differences(
+    told: DataFrame, at: str, versions: DataFrame, ek: Sequence[str], since: str, payload: Sequence[str],
+    times: DataFrame, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """States told by flat snapshot rows but not true, or true and not told.
+
+    Snapshots of many entities are kept flat, one row per moment and entity.
+    """
+    cols = [at, *ek, since, *payload]
+    true = states_at(versions, ek, since, payload, times, at, hot_rows=hot_rows)
+    return count_sides(told.select(*cols), true.select(*cols)).filter(F.col("n_left") != F.col("n_right"))
+
+
 # Links between tables --------------------------------------------------------
 
 def has_parent(child: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence[str]) -> Rules:

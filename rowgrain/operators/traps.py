@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowgrain.operators.joins import Pairs, key_pairs
-from rowgrain.spec import FINER, compare_grains
+from rowgrain.spec import columns
 
 
-def fan_trap(g1: Iterable[str], g2: Iterable[str], result: Iterable[str]) -> tuple[bool, bool]:
-    """Which sides have rows repeated: the result is strictly finer than that side."""
-    result = frozenset(result)
-    return compare_grains(result, g1) == FINER, compare_grains(result, g2) == FINER
+def fan_trap(g1: Iterable[str], g2: Iterable[str], jk: Iterable[str]) -> tuple[bool, bool]:
+    """Which sides of an inner join may have rows repeated: (left, right).
+
+    The result is strictly finer than a side exactly when the other side can
+    hold several rows per join key, that is, when its grain is not inside the key.
+    """
+    g1, g2, jk = columns(g1), columns(g2), columns(jk)
+    return not g2 <= jk, not g1 <= jk
 
 
 def _counted(df: DataFrame, keys: Sequence[str], names: Sequence[str], n: str) -> DataFrame:

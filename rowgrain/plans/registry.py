@@ -59,7 +59,8 @@ def audit_joins(reg: DataFrame, joins: DataFrame) -> DataFrame:
         (gs.is_subset("jk", "c1") & gs.is_subset("jk", "c2")).alias("key_on_both"),
         rel.alias("relation"), gs.preferred(rel, f1, f2).alias("grain"),
     )
-    repeats = lambda g: gs.compare("grain", g) == "finer"
+    # A side is repeated where the other one can hold several rows per join key.
+    repeats = lambda other: ~gs.is_subset(other, "jk")
     shape = (
         F.when(gs.is_subset("g1", "jk") & gs.is_subset("g2", "jk"), "one_to_one")
         .when(gs.is_subset("g2", "jk"), "many_to_one")
@@ -68,7 +69,7 @@ def audit_joins(reg: DataFrame, joins: DataFrame) -> DataFrame:
     )
     return found.select(
         "join_no", "left_table", "right_table", "key_on_both", "relation", "grain", shape.alias("shape"),
-        repeats("g1").alias("repeats_left"), repeats("g2").alias("repeats_right"),
+        repeats("g2").alias("repeats_left"), repeats("g1").alias("repeats_right"),
     )
 
 

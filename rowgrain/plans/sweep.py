@@ -141,10 +141,11 @@ EDGE_CASES = (
 
 
 def edge_cases(spark: SparkSession) -> DataFrame:
-    rows = [
-        (no, r1.split(), r2.split(), jk.split(), g1.split(), g2.split(), name)
-        for no, (name, r1, g1, r2, g2, jk) in enumerate(EDGE_CASES)
-    ]
+    rows = []
+    for no, (name, r1, g1, r2, g2, jk) in enumerate(EDGE_CASES):
+        r1, g1, r2, g2, jk = (x.split() for x in (r1, g1, r2, g2, jk))
+        left_only = [c for c in r1 if c not in jk]
+        rows.append((no, left_only + jk, r2, jk, g1, g2, name))
     return spark.createDataFrame(rows, SCHEMA + ", name string")
 
 

@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgrain.plans.sweep import SCHEMA
+from rowgrain.plans.sweep import SCHEMA, beside_rows
 
 #: Sizes a key column can have.
 SIZES = (4, 5, 6, 8, 10, 12, 15, 20)
@@ -65,9 +65,9 @@ def examples(spark: SparkSession) -> DataFrame:
     )
 
 
-def left_rows(placed: DataFrame, derived: DataFrame) -> DataFrame:
+def left_rows(placed: DataFrame, derived: DataFrame, n_configs: int | None = None) -> DataFrame:
     """Left rows: the key counts through its sizes, a key that comes again keeps its first row."""
-    cols = derived.select("config_id", "r1_fields", "jk", "g1", "left_sizes")
+    cols = beside_rows(derived.select("config_id", "r1_fields", "jk", "g1", "left_sizes"), n_configs)
     digits = """
         transform(left_sizes, (s, p) ->
             i div aggregate(slice(left_sizes, p + 2, size(left_sizes)), 1L, (acc, x) -> acc * x) % s + 1)"""
@@ -86,9 +86,9 @@ def left_rows(placed: DataFrame, derived: DataFrame) -> DataFrame:
     )
 
 
-def right_rows(left: DataFrame, derived: DataFrame) -> DataFrame:
+def right_rows(left: DataFrame, derived: DataFrame, n_configs: int | None = None) -> DataFrame:
     """Right rows made from the left join keys: one per right key part, times a series per further key column."""
-    cols = derived.select("config_id", "r2_fields", "jk", "g2_jk", "g2_rest", "right_sizes")
+    cols = beside_rows(derived.select("config_id", "r2_fields", "jk", "g2_jk", "g2_rest", "right_sizes"), n_configs)
     inside = "transform(g2_jk, x -> jkv[cast(array_position(jk, x) as int) - 1])"
     base = (
         left.join(cols, "config_id").groupBy("config_id", F.expr(inside).alias("inside")).agg(F.min("jkv").alias("jkv"))

@@ -149,6 +149,20 @@ def edge_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA + ", name string")
 
 
+#: Up to this many configurations (some kilobytes each at most) are sent to every task.
+BROADCAST_CONFIGS = 50_000
+
+
+def beside_rows(configs: DataFrame, n_configs: int | None) -> DataFrame:
+    """Configurations as the small side of a join with rows, where their number is known and small.
+
+    Otherwise the join is left to Spark; its skew handling splits a
+    configuration with very many rows.
+    """
+    known_small = n_configs is not None and n_configs <= BROADCAST_CONFIGS
+    return F.broadcast(configs) if known_small else configs
+
+
 # Rows ------------------------------------------------------------------------
 
 def placed_rows(numbers: DataFrame, number: str, n_configs: int) -> DataFrame:
@@ -159,7 +173,9 @@ def placed_rows(numbers: DataFrame, number: str, n_configs: int) -> DataFrame:
     )
 
 
-def table_rows(placed: DataFrame, configs: DataFrame, side: int, fan: int = 2) -> DataFrame:
+def table_rows(
+    placed: DataFrame, configs: DataFrame, side: int, fan: int = 2, n_configs: int | None = None
+) -> DataFrame:
     """Rows of one side of every configuration: ``config_id, jkv, vals``, keyed by its grain.
 
     ``fan`` rows share a join-key value wherever the grain has columns outside
@@ -167,7 +183,7 @@ def table_rows(placed: DataFrame, configs: DataFrame, side: int, fan: int = 2) -
     one without limit; columns outside grain and key depend on the row.
     """
     f, g, rest, inside = (f"r{side}_fields", f"g{side}", f"g{side}_rest", f"g{side}_jk")
-    joined = placed.join(configs.select("config_id", f, "jk", rest, inside), "config_id")
+    joined = placed.join(beside_rows(configs.select("config_id", f, "jk", rest, inside), n_configs), "config_id")
     has_rest, has_key = f"size({rest}) > 0", f"size({inside}) > 0"
     numbered = joined.select(
         "config_id", "i", f, "jk", rest,
@@ -221,29 +237,28 @@ def with_key_sets(configs: DataFrame, superseded: bool = False) -> DataFrame:
     )
 
 
-def key_counts(configs: DataFrame, left: DataFrame, right: DataFrame, superseded: bool = False) -> DataFrame:
+def key_counts(
+    configs: DataFrame, left: DataFrame, right: DataFrame, superseded: bool = False, n_configs: int | None = None
+) -> DataFrame:
     """Rows and distinct keys of every column set of every configuration: ``config_id, no, n_rows, n_keys``.
 
     Rows are combined by value on each task before the shuffle.
     """
-    sets = with_key_sets(configs, superseded)
+    sets = with_key_sets(configs, superseded).select("config_id", F.array("join_sets", "left_sets", "right_sets").alias("sets"))
     joined = left.join(right.withColumnRenamed("vals", "rvals"), ["config_id", "jkv"]).select(
         "config_id", F.concat("vals", "rvals").alias("vals")
     )
-
-    def keyed(rows: DataFrame, which: str) -> DataFrame:
-        return (
-            rows.join(sets.select("config_id", F.col(which).alias("sets")), "config_id")
-            .select("config_id", "vals", F.explode("sets").alias("s"))
-            .select("config_id", F.col("s.no").alias("no"), F.expr("transform(s.at, p -> vals[p])").alias("key"))
-        )
-
     every = (
-        keyed(joined, "join_sets")
-        .unionByName(keyed(left.select("config_id", "vals"), "left_sets"))
-        .unionByName(keyed(right.select("config_id", "vals"), "right_sets"))
+        joined.withColumn("which", F.lit(0))
+        .unionByName(left.select("config_id", "vals", F.lit(1).alias("which")))
+        .unionByName(right.select("config_id", "vals", F.lit(2).alias("which")))
+    )
+    keyed = (
+        every.join(beside_rows(sets, n_configs), "config_id")
+        .select("config_id", "vals", F.explode(F.get("sets", "which")).alias("s"))
+        .select("config_id", F.col("s.no").alias("no"), F.expr("transform(s.at, p -> vals[p])").alias("key"))
     )
-    per_key = every.groupBy("config_id", "no", "key").agg(F.count(F.lit(1)).alias("n"))
+    per_key = keyed.groupBy("config_id", "no", "key").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("config_id", "no").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys")
     )
@@ -271,9 +286,11 @@ def per_config(configs: DataFrame, counts: DataFrame, roles: Sequence[str]) -> D
     return facts
 
 
-def check_properties(configs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def check_properties(
+    configs: DataFrame, left: DataFrame, right: DataFrame, n_configs: int | None = None
+) -> DataFrame:
     """The six properties of every configuration, each ``pass``, ``fail`` or ``inconclusive``."""
-    facts = per_config(configs, key_counts(configs, left, right), ("f1", "f2", "g1", "g2"))
+    facts = per_config(configs, key_counts(configs, left, right, n_configs=n_configs), ("f1", "f2", "g1", "g2"))
     few = F.col("f1_rows") <= 1
     inputs = (F.col("g1_removable") == 0) & (F.col("g2_removable") == 0)
     by_rel = lambda for_super, other: F.when(F.col("jk_rel") == "proper_superset", F.col(for_super)).otherwise(F.col(other))
@@ -313,16 +330,19 @@ def sweep(numbers: DataFrame, number: str, configs: DataFrame, n_configs: int, f
     """Deal the rows of a table to all configurations and check every property of each."""
     derived = derive(configs)
     placed = placed_rows(numbers, number, n_configs)
-    return check_properties(derived, table_rows(placed, derived, 1, fan), table_rows(placed, derived, 2, fan))
+    left, right = (table_rows(placed, derived, side, fan, n_configs) for side in (1, 2))
+    return check_properties(derived, left, right, n_configs)
 
 
-def compare_formulas(configs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_formulas(
+    configs: DataFrame, left: DataFrame, right: DataFrame, n_configs: int | None = None
+) -> DataFrame:
     """The older two-case formula beside the present one: unique? minimal? which columns can go?
 
     ``configs`` comes from ``derive``; further columns of it are kept.
     """
     roles = ("f1", "f2", "g1", "g2", "superseded")
-    counts = key_counts(configs, left, right, superseded=True)
+    counts = key_counts(configs, left, right, True, n_configs)
     facts = per_config(configs, counts, roles)
     base = ROLES.index("superseded") * _STEP
     gone = counts.filter(

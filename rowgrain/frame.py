@@ -217,14 +217,14 @@ class GrainedFrame:
         filled = {m: F.coalesce(F.col(m), F.lit(default)) for m in out.spec.measures}
         return GrainedFrame(out.df.withColumns(filled), out.spec) if filled else out
 
-    def theta_join(self, other: "GrainedFrame", condition: Column, equal: str | jn.Pairs = (), grid=(8, 8)) -> "GrainedFrame":
+    def theta_join(self, other: "GrainedFrame", condition: Column, equal: str | jn.Pairs = (), grid=None) -> "GrainedFrame":
         """Join on any condition over the result names; every grain column of both sides is needed."""
         if equal:
             joined = self.join(other, equal)
             return joined.where(condition)
         return self._paired(other, jn.theta_join(self.df, other.df, condition, grid=grid))
 
-    def product(self, other: "GrainedFrame", grid=(8, 8)) -> "GrainedFrame":
+    def product(self, other: "GrainedFrame", grid=None) -> "GrainedFrame":
         return self._paired(other, jn.product(self.df, other.df, grid))
 
     def _paired(self, other: "GrainedFrame", df: DataFrame) -> "GrainedFrame":
@@ -240,10 +240,10 @@ class GrainedFrame:
         )
 
     def semi_join(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> "GrainedFrame":
-        return self._with(jn.semi_join(self.df, _plain(other), on))
+        return self._with(jn.semi_join(self.df, _plain(other), on, _key_holds_grain(other, on)))
 
     def anti_join(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> "GrainedFrame":
-        return self._with(jn.anti_join(self.df, _plain(other), on))
+        return self._with(jn.anti_join(self.df, _plain(other), on, _key_holds_grain(other, on)))
 
     # Aggregation -------------------------------------------------------------
 
@@ -337,6 +337,10 @@ def _plain(x: GrainedFrame | DataFrame) -> DataFrame:
     return x.df if isinstance(x, GrainedFrame) else x
 
 
+def _key_holds_grain(other: GrainedFrame | DataFrame, on: str | jn.Pairs) -> bool:
+    return isinstance(other, GrainedFrame) and other.grain <= {b for _, b in jn.key_pairs(on)}
+
+
 def _join_fds(left, right, jk: Columns) -> tuple[FD, ...]:
     """Dependencies that hold after a join.
 

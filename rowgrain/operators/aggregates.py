@@ -129,8 +129,18 @@ def ordered_fold(
     sliced = rows_in.join(F.broadcast(big), list(keys), "left").withColumn(part, F.coalesce(cut, F.lit(0)).cast("long"))
     in_order = F.sort_array(F.collect_list(F.struct(*order, F.col(val).alias(val))))
     folded = sliced.groupBy(*keys, part).agg(F.aggregate(in_order, start, lambda acc, r: step(acc, r[val])).alias(name))
-    slices = F.sort_array(F.collect_list(F.struct(part, name)))
-    return folded.groupBy(*keys).agg(F.aggregate(slices, start, lambda acc, r: merge(acc, r[name])).alias(name))
+    # Neighbouring slices are merged in runs first, so no array gets long.
+    runs = _merge_in_order(folded.withColumn(n, F.floor(F.col(part) / F.lit(RUN))), [*keys, n], part, name, start, merge)
+    return _merge_in_order(runs, list(keys), n, name, start, merge)
+
+
+#: How many neighbouring slices are merged at a time.
+RUN = 1000
+
+
+def _merge_in_order(df, keys, no, name, start, merge) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct(no, name)))
+    return df.groupBy(*keys).agg(F.aggregate(parts, start, lambda acc, r: merge(acc, r[name])).alias(name))
 
 
 def distribution(df: DataFrame, by: Sequence[str], **conditions: Column) -> DataFrame:

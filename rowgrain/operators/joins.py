@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,15 +68,22 @@ def disjoint_names(left: DataFrame, right: DataFrame) -> tuple[Mapping[str, str]
     return {c: c + LEFT_SUFFIX for c in clash}, {c: c + RIGHT_SUFFIX for c in clash}
 
 
-def product(left: DataFrame, right: DataFrame, grid: tuple[int, int] = (8, 8)) -> DataFrame:
+def default_grid(df: DataFrame) -> tuple[int, int]:
+    """About as many cells as the session has shuffle partitions."""
+    side = ceil(sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return side, side
+
+
+def product(left: DataFrame, right: DataFrame, grid: tuple[int, int] | None = None) -> DataFrame:
     """Every pair of rows, spread over a grid of cells.
 
     A left row belongs to one grid row and is copied to each of its cells, a
     right row to one grid column; each pair meets in exactly one cell.  So the
     work is an ordinary equi-join whose tasks are of equal size, with neither
-    side sent whole to a task.
+    side sent whole to a task.  Rows are placed by a hash of all their columns,
+    which spreads well because rows of a table with a grain differ.
     """
-    rows, cols = grid
+    rows, cols = grid or default_grid(left)
     lnames, rnames = disjoint_names(left, right)
     l, r = left.withColumnsRenamed(dict(lnames)), right.withColumnsRenamed(dict(rnames))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -90,7 +98,7 @@ def theta_join(
     right: DataFrame,
     condition: Column,
     equal: str | Pairs = (),
-    grid: tuple[int, int] = (8, 8),
+    grid: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Join on any condition over the suffixed names; equality parts go in ``equal``."""
     if equal:
@@ -98,18 +106,22 @@ def theta_join(
     return product(left, right, grid).filter(condition)
 
 
-def semi_join(left: DataFrame, right: DataFrame, on: str | Pairs) -> DataFrame:
-    return _existence(left, right, on, "left_semi")
+def semi_join(left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False) -> DataFrame:
+    return _existence(left, right, on, "left_semi", right_unique)
 
 
-def anti_join(left: DataFrame, right: DataFrame, on: str | Pairs) -> DataFrame:
-    return _existence(left, right, on, "left_anti")
+def anti_join(left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False) -> DataFrame:
+    return _existence(left, right, on, "left_anti", right_unique)
 
 
-def _existence(left: DataFrame, right: DataFrame, on: str | Pairs, how: str) -> DataFrame:
+def _existence(left: DataFrame, right: DataFrame, on: str | Pairs, how: str, right_unique: bool) -> DataFrame:
+    """Right keys are reduced to one each before the shuffle, unless they are known to be unique.
+
+    The join then uses the partitioning the reduction left behind.
+    """
     pairs = key_pairs(on)
     keys = right.select(*[F.col(b).alias(a) for a, b in pairs])
-    return left.join(keys, on=[a for a, _ in pairs], how=how)
+    return left.join(keys if right_unique else keys.distinct(), on=[a for a, _ in pairs], how=how)
 
 
 def unmatched(df: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence[str]) -> DataFrame:

@@ -98,13 +98,15 @@ def generate_table(
     pool = fan_pool(n_rows, distribution) if rest else n_rows
     i = F.col("id")
     index = pool_index(i, pool, distribution if rest else "extreme_high", seed)
+    # With a key column in the grain, the rest only has to tell rows of one key value apart.
+    within = i if distribution == "skewed" or set(rest) == set(grain) else F.floor(i / F.lit(pool)).cast("long")
     cols = {}
     for no, c in enumerate(sorted(jk)):
-        cols[c] = pool_value(index, no, len(jk))
+        cols[c] = pool_value(index + F.lit(seed % 1000), no, len(jk))
     for no, c in enumerate(rest):
-        step = F.floor(i / F.lit(2**no))
+        step = F.floor(within / F.lit(2**no))
         cols[c] = (step if no == len(rest) - 1 else step % 2).cast("long") + F.lit(1)
     for c in fields:
         if c not in cols:
-            cols[c] = hashed([F.lit(tag), F.lit(c), *[cols[g] for g in grain]], 1000).cast("long")
+            cols[c] = hashed([F.lit(tag), F.lit(c), F.lit(seed), *[cols[g] for g in grain]], 1000).cast("long")
     return spark.range(n_rows).select(*[cols[c].alias(c) for c in fields])

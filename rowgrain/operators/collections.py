@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rowgrain.functions.columns import fresh, key
+from rowgrain.operators.joins import anti_join, semi_join
 from rowgrain.operators.ordered import first_per_key
 
 
@@ -37,7 +38,7 @@ def lookup(df: DataFrame, k: Sequence[str], values: Mapping) -> DataFrame:
 
 
 def lookup_many(df: DataFrame, k: Sequence[str], wanted: DataFrame) -> DataFrame:
-    return df.join(wanted.select(*k), list(k), "left_semi")
+    return semi_join(df, wanted, list(k))
 
 
 def contains(df: DataFrame, rows: DataFrame, k: Sequence[str], name: str = "is_member") -> DataFrame:
@@ -57,12 +58,11 @@ def dedup(df: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> Dat
 
 def insert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Add rows whose key is not there yet; a key already present keeps its row."""
-    fresh_rows = dedup(new, k, order).join(coll.select(*k), list(k), "left_anti")
-    return coll.unionByName(fresh_rows)
+    return coll.unionByName(anti_join(dedup(new, k, order), coll, list(k), right_unique=True))
 
 
 def delete(coll: DataFrame, gone: DataFrame, k: Sequence[str]) -> DataFrame:
-    return coll.join(gone.select(*k), list(k), "left_anti")
+    return anti_join(coll, gone, list(k))
 
 
 def upsert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -72,16 +72,16 @@ def upsert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Co
 
 def union(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
     """By key; where both have one, the row of the right side stays."""
-    return right.unionByName(left.join(right.select(*k), list(k), "left_anti"))
+    return right.unionByName(anti_join(left, right, list(k), right_unique=True))
 
 
 def intersection(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
     """Rows of the left side whose key is on the right as well."""
-    return left.join(right.select(*k), list(k), "left_semi")
+    return semi_join(left, right, list(k), right_unique=True)
 
 
 def difference(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
-    return left.join(right.select(*k), list(k), "left_anti")
+    return anti_join(left, right, list(k), right_unique=True)
 
 
 def conflicts(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:

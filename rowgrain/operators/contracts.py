@@ -106,28 +106,30 @@ def states_at(
     period and for the following ones, up to the next period with a version.
     """
     # As many rows as snapshots are asked for, however many versions there are.
+    in_time = Window.orderBy("_t")
     cuts = (
         times.select(F.col(at).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
-        .withColumn("_no", F.row_number().over(Window.orderBy("_t")).cast("long"))
+        .withColumn("_no", F.row_number().over(in_time).cast("long"))
+        .withColumn("_last", F.count(F.lit(1)).over(in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
-    n_cuts = cuts.agg(F.max("_no").alias("_last"))
 
     # First snapshot not before each version, found on one common time line.
     row = F.struct(*ek, since, *payload, *[c for c in tie if c not in (*ek, since, *payload)])
     found = versions.select(F.lit(1).alias("_all"), F.col(since).alias("_t"), row.alias("_row"),
-                            F.lit(None).cast("long").alias("_no"), F.lit(0).alias("_side"))
+                            F.lit(None).cast("struct<_no:bigint,_last:bigint>").alias("_cut"), F.lit(0).alias("_side"))
     marks = cuts.select(F.lit(1).alias("_all"), "_t", F.lit(None).cast(found.schema["_row"].dataType).alias("_row"),
-                        "_no", F.lit(1).alias("_side"))
-    line = carry(found.unionByName(marks), ["_all"], ["_t", "_side"], F.col("_no"), "_from",
+                        F.struct("_no", "_last").alias("_cut"), F.lit(1).alias("_side"))
+    line = carry(found.unionByName(marks), ["_all"], ["_t", "_side"], F.col("_cut"), "_next",
                  backwards=True, hot_rows=hot_rows)
-    dated = line.filter((F.col("_side") == 0) & F.col("_from").isNotNull()).select("_row.*", "_from")
+    dated = line.filter((F.col("_side") == 0) & F.col("_next").isNotNull()).select(
+        "_row.*", F.col("_next._no").alias("_from"), "_next._last"
+    )
 
-    newest = latest_per_key(dated, [*ek, "_from"], [since, *tie] if tie else [since])
+    newest = latest_per_key(dated, [*ek, "_from"], [since, *tie])
     # At most one row per snapshot and entity from here on.
     upto = F.lead("_from").over(Window.partitionBy(*ek).orderBy("_from")) - F.lit(1)
     held = (
         newest.withColumn("_upto", upto)
-        .withColumn("_one", F.lit(1)).join(n_cuts.withColumn("_one", F.lit(1)), "_one")
         .withColumn("_no", F.explode(F.sequence("_from", F.coalesce("_upto", "_last"))))
     )
     return held.join(cuts, "_no").select(F.col("_t").alias(at), *ek, since, *payload)
@@ -266,11 +268,11 @@ def classify(candidates: Mapping[str, Rules]) -> DataFrame:
         for name, rules in candidates.items()
     ]
     table = reduce(DataFrame.unionByName, parts).withColumn("holds", F.col("n_violations") == 0)
-    # One row per class: at most nine rows.
-    best = table.agg(F.min(F.when(F.col("holds"), F.col("_rank"))).alias("_best")).withColumn("_one", F.lit(1))
-    return (
-        table.withColumn("_one", F.lit(1)).join(best, "_one")
-        .select("class", "n_violations", "holds", F.coalesce(F.col("_rank") == F.col("_best"), F.lit(False)).alias("chosen"))
+    # One row per class, so at most nine rows here.
+    everything = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.min(F.when(F.col("holds"), F.col("_rank"))).over(everything)
+    return table.select(
+        "class", "n_violations", "holds", F.coalesce(F.col("_rank") == best, F.lit(False)).alias("chosen")
     )
 
 

@@ -121,7 +121,8 @@ def _existence(left: DataFrame, right: DataFrame, on: str | Pairs, how: str, rig
     """
     pairs = key_pairs(on)
     keys = right.select(*[F.col(b).alias(a) for a, b in pairs])
-    return left.join(keys if right_unique else keys.distinct(), on=[a for a, _ in pairs], how=how)
+    right_keys = keys if right_unique else keys.distinct()
+    return left.join(right_keys, on=[a for a, _ in pairs], how=how).select(*left.columns)
 
 
 def unmatched(df: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence[str]) -> DataFrame:

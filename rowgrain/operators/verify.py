@@ -168,22 +168,20 @@ def _verdict(ok: Column, applicable: Column, possible: Column) -> Column:
 
 
 def _facts(df: DataFrame, keys: dict[str, Columns]) -> DataFrame:
-    """One row: rows, distinct values and number of removable columns of each named key, in one pass."""
+    """``tag, n_rows, n_keys, n_removable`` for each named key, all counted in one pass."""
     sets = {}
     for cols in keys.values():
         for s in [cols, *[cols - {c} for c in cols]]:
             sets.setdefault(s, f"_d{len(sets)}")
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(key(s)).alias(a) for s, a in sets.items()])
-    out = [F.lit(1).alias("_one")]
+    out = []
     for tag, cols in keys.items():
         gone = [(F.col(sets[cols - {c}]) == F.col("_n")).cast("int") for c in cols] if len(cols) > 1 else []
-        removable = reduce(lambda a, b: a + b, gone, F.lit(0))
-        out += [
-            F.col("_n").alias(f"{tag}_rows"),
-            F.col(sets[cols]).alias(f"{tag}_keys"),
-            F.when(F.col("_n") > 1, removable).otherwise(0).alias(f"{tag}_removable"),
-        ]
-    return counts.select(*out)
+        removable = F.when(F.col("_n") > 1, reduce(lambda a, b: a + b, gone, F.lit(0))).otherwise(0)
+        out.append(F.struct(
+            F.lit(tag).alias("tag"), F.col("_n").alias("n_rows"), F.col(sets[cols]).alias("n_keys"), removable.alias("n_removable")
+        ))
+    return counts.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 
 
 def audit_join(
@@ -201,9 +199,13 @@ def audit_join(
     wrong = jg.f1 if jg.grain == jg.f2 and jg.relation == "proper_superset" else jg.f2
     joined = equi_join(left, right, on).select(*sorted(jg.f1 | jg.f2))
 
-    row = _facts(joined, {"f1": jg.f1, "f2": jg.f2})
-    for tag, df, cols in (("g1", left, g1), ("g2", right, g2)):
-        row = row.join(_facts(df, {tag: columns(cols)}), "_one")
+    facts = (
+        _facts(joined, {"f1": jg.f1, "f2": jg.f2})
+        .unionByName(_facts(left, {"g1": columns(g1)}))
+        .unionByName(_facts(right, {"g2": columns(g2)}))
+    )
+    of = lambda tag, what: F.max(F.when(F.col("tag") == tag, F.col(f"n_{what}"))).alias(f"{tag}_{what}")
+    row = facts.agg(*[of(t, w) for t in ("f1", "f2", "g1", "g2") for w in ("rows", "keys", "removable")])
 
     conv = "f1" if jg.grain == jg.f1 else "f2"
     yes, no = F.lit(True), F.lit(False)

@@ -40,10 +40,12 @@ def dense_partner(
     """
     inside = [c for c in grain if c in jk]
     rest = [c for c in jk if c not in inside]
-    base = left.select(*jk).groupBy(*inside).agg(*[F.min(F.struct(*rest)).alias("_r")] if rest else [])
-    base = base.select(*inside, *([f"_r.{c}" for c in rest] if rest else [])) if inside else left.select(*jk).distinct()
+    if inside and rest:
+        base = left.groupBy(*inside).agg(F.min(F.struct(*rest)).alias("_r")).select(*inside, "_r.*")
+    else:
+        base = left.select(*jk).distinct()
     for c, n in extra.items():
-        base = base.withColumn(c, F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long"))
+        base = base.withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
     return base.withColumns(derived) if derived else base
 
 

@@ -293,7 +293,7 @@ class GrainedFrame:
     def rows_per_grain(self) -> DataFrame:
         return self.df.groupBy(*sorted(self.grain)).count()
 
-    def collect_groups(self, keys: Sequence[str], order: Sequence[str], piece_rows: int = 100_000) -> "GrainedFrame":
+    def collect_groups(self, keys: Sequence[str], order: Sequence[str], piece_rows: int = ag.PIECE_ROWS) -> "GrainedFrame":
         df = ag.collect_groups(self.df, keys, order, piece_rows)
         return GrainedFrame(df, GrainSpec(columns(keys) | {"piece"}))
 

@@ -16,19 +16,19 @@ def _col(c: Column | str) -> Column:
 
 
 def as_set(a: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(_col(a)))
+    return F.sort_array(F.array_distinct(_col(a)))
 
 
 def union(a: Column | str, b: Column | str) -> Column:
-    return F.array_sort(F.array_union(_col(a), _col(b)))
+    return F.sort_array(F.array_union(_col(a), _col(b)))
 
 
 def intersection(a: Column | str, b: Column | str) -> Column:
-    return F.array_sort(F.array_intersect(_col(a), _col(b)))
+    return F.sort_array(F.array_intersect(_col(a), _col(b)))
 
 
 def difference(a: Column | str, b: Column | str) -> Column:
-    return F.array_sort(F.array_except(_col(a), _col(b)))
+    return F.sort_array(F.array_except(_col(a), _col(b)))
 
 
 def symmetric_difference(a: Column | str, b: Column | str) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from rowgrain.functions.columns import fresh, key, money, position
 from rowgrain.spec import GrainError
 
+#: A key with more rows than this is handled in pieces of about this size.
+PIECE_ROWS = 500_000
+
 #: Aggregates whose value does not change when a row is repeated.
 REPEAT_SAFE = frozenset({"min", "max", "count_distinct"})
 
@@ -71,7 +74,7 @@ def distinct_count(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataF
 
 
 def collect_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = 100_000
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """A collection of collections: the rows of each key as arrays of bounded length.
 
@@ -104,7 +107,7 @@ def ordered_fold(
     step: Callable[[Column, Column], Column],
     merge: Callable[[Column, Column], Column],
     name: str = "folded",
-    piece_rows: int = 100_000,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Fold the values of each key in order.
 

@@ -17,9 +17,6 @@ from rowgrain.functions.columns import key
 from rowgrain.operators.joins import equi_join, plan_names
 from rowgrain.spec import Columns, MissingColumns, columns, join_grain, rename_set
 
-#: Up to this many columns all reduced keys are counted in a single pass.
-ONE_PASS_COLUMNS = 6
-
 PASS, FAIL, INCONCLUSIVE = "pass", "fail", "inconclusive"
 
 
@@ -64,48 +61,48 @@ def is_unique(df: DataFrame, cols: Iterable[str]) -> bool:
     return duplicates(df, cols).limit(1).count() == 0
 
 
+def count_sets(df: DataFrame, sets: dict[str, Columns]) -> DataFrame:
+    """One row: ``n_rows`` and, under its name, the number of distinct values of each column set.
+
+    A single pass: rows are grouped by all sets at once and combined on each
+    task before the shuffle.  A NULL in a set is a value of its own.
+    """
+    wanted = set(sets.values()) - {frozenset()}
+    cols = sorted(frozenset().union(*wanted))
+    # Spark numbers a set by the columns it leaves out, first column in the highest bit.
+    number = {s: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in s) for s in wanted}
+    if not wanted:
+        return df.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.when(F.count(F.lit(1)) > 0, 1).otherwise(0).cast("long").alias(n) for n in sets],
+        )
+    per_key = df.groupingSets([[F.col(c) for c in sorted(s)] for s in number], *[F.col(c) for c in cols]).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n")
+    )
+    per_set = per_key.groupBy("_set").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"))
+    some = F.coalesce(F.max("_rows"), F.lit(0))
+    of = lambda s: F.coalesce(F.max(F.when(F.col("_set") == number[s], F.col("_keys"))), F.lit(0))
+    return per_set.agg(
+        some.alias("n_rows"), *[(of(s) if s else F.least(some, F.lit(1))).cast("long").alias(n) for n, s in sets.items()]
+    )
+
+
 def reduced_counts(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """For each key column: how many keys are left when it is dropped.
 
     Rows ``(dropped, n_rows, n_keys, removable)``; ``dropped`` is NULL for the whole key.
     """
-    cols = sorted(cols)
+    cols = columns(cols)
     require_columns(df, cols)
-    sets: list[tuple[str | None, list[str]]] = [(None, cols)]
-    sets += [(c, [x for x in cols if x != c]) for c in cols] if len(cols) > 1 else []
-    if len(cols) <= ONE_PASS_COLUMNS:
-        counts = df.agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.count_distinct(key(s)).alias(f"_k{i}") for i, (_, s) in enumerate(sets)],
-        )
-        out = counts.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(d).cast("string").alias("dropped"),
-                            F.col("_rows").alias("n_rows"),
-                            F.col(f"_k{i}").alias("n_keys"),
-                        )
-                        for i, (d, _) in enumerate(sets)
-                    ]
-                )
-            ).alias("x")
-        ).select("x.*")
-    else:
-        out = reduce(
-            DataFrame.unionByName,
-            [
-                df.groupBy(*s)
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .agg(
-                    F.lit(d).cast("string").alias("dropped"),
-                    F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"),
-                    F.count(F.lit(1)).alias("n_keys"),
-                )
-                for d, s in sets
-            ],
+    sets = {"_whole": cols, **({f"_without_{c}": cols - {c} for c in sorted(cols)} if len(cols) > 1 else {})}
+    rows = [
+        F.struct(
+            F.lit(None if name == "_whole" else name.removeprefix("_without_")).cast("string").alias("dropped"),
+            F.col("n_rows"), F.col(name).alias("n_keys"),
         )
+        for name in sets
+    ]
+    out = count_sets(df, sets).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     removable = F.col("dropped").isNotNull() & (F.col("n_keys") == F.col("n_rows")) & (F.col("n_rows") > 1)
     return out.withColumn("removable", removable)
 
@@ -169,17 +166,17 @@ def _verdict(ok: Column, applicable: Column, possible: Column) -> Column:
 
 def _facts(df: DataFrame, keys: dict[str, Columns]) -> DataFrame:
     """``tag, n_rows, n_keys, n_removable`` for each named key, all counted in one pass."""
-    sets = {}
+    names = {}
     for cols in keys.values():
         for s in [cols, *[cols - {c} for c in cols]]:
-            sets.setdefault(s, f"_d{len(sets)}")
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(key(s)).alias(a) for s, a in sets.items()])
+            names.setdefault(s, f"_d{len(names)}")
+    counts = count_sets(df, {n: s for s, n in names.items()})
     out = []
     for tag, cols in keys.items():
-        gone = [(F.col(sets[cols - {c}]) == F.col("_n")).cast("int") for c in cols] if len(cols) > 1 else []
-        removable = F.when(F.col("_n") > 1, reduce(lambda a, b: a + b, gone, F.lit(0))).otherwise(0)
+        gone = [(F.col(names[cols - {c}]) == F.col("n_rows")).cast("int") for c in cols] if len(cols) > 1 else []
+        removable = F.when(F.col("n_rows") > 1, reduce(lambda a, b: a + b, gone, F.lit(0))).otherwise(0)
         out.append(F.struct(
-            F.lit(tag).alias("tag"), F.col("_n").alias("n_rows"), F.col(sets[cols]).alias("n_keys"), removable.alias("n_removable")
+            F.lit(tag).alias("tag"), F.col("n_rows"), F.col(names[cols]).alias("n_keys"), removable.alias("n_removable")
         ))
     return counts.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 

@@ -14,8 +14,10 @@ from rowgrain.operators import contracts as ct
 from rowgrain.operators import traps
 from rowgrain.operators import verify as vf
 from rowgrain.plans import registry as rg
+from rowgrain.plans import reports
 from rowgrain.queries.catalog import frame, query, raw
 from rowgrain.queries.relational import as_double
+from rowgrain.spec import GrainError
 
 LINE_KEYS = {
     "order_line": ["l_orderkey", "l_linenumber"],
@@ -143,17 +145,55 @@ def v7_keys(spark, sf):
 def e3_group_then_join(spark, sf):
     orders, items = frame(spark, sf, "orders"), frame(spark, sf, "lineitem")
     owner = orders.select("o_orderkey", "o_custkey")
-    with_customer = items.join(owner, [("l_orderkey", "o_orderkey")])
+    # Items go to their order first, so the join to orders is one-to-one and small.
+    per_order = items.aggregate("l_orderkey", n_items=ag.rows(), qty=ag.total("l_quantity", decimal=True))
+    with_customer = per_order.join(owner, [("l_orderkey", "o_orderkey")])
     out = safe_join_aggregate(
         [
             (orders, {"spent": ag.total("o_totalprice", decimal=True)}),
-            (with_customer, {"n_items": ag.rows(), "qty": ag.total("l_quantity", decimal=True)}),
+            (with_customer, {"n_items": ag.total("n_items"), "qty": ag.total("qty", decimal=True)}),
         ],
         ["o_custkey"],
     )
     return as_double(out.df, "spent", "qty")
 
 
+@query("i4_three_reports", """
+    WITH j AS (SELECT o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT 'joined_only' AS method, FALSE AS accepted, COUNT(*) AS n_rows, CAST(SUM(p) AS DOUBLE) AS total_price FROM j
+    UNION ALL SELECT 'joined_then_grouped', FALSE, COUNT(DISTINCT o_custkey), CAST(SUM(p) AS DOUBLE) FROM j
+    UNION ALL SELECT 'grouped_then_joined', TRUE, COUNT(DISTINCT o_custkey), CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders""")
+def i4_three_reports(spark, sf):
+    """Three ways to one report: is it let through, and what would it have said?"""
+    orders, items = frame(spark, sf, "orders"), frame(spark, sf, "lineitem")
+
+    def accepted(build):
+        try:
+            build(orders, items)
+            return F.lit(True)
+        except GrainError:
+            return F.lit(False)
+
+    # What the refused forms would give, from counts per order instead of the repeated rows.
+    per_order = items.df.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = orders.df.join(per_order, "o_orderkey").withColumn("p", money("o_totalprice") * F.col("n").cast("decimal(12,0)"))
+    right = reports.grouped_then_joined(orders, items).df
+    forms = {
+        "joined_only": (reports.joined_only, repeated.agg(F.sum("n").alias("n_rows"), F.sum("p").alias("total_price"))),
+        "joined_then_grouped": (
+            reports.joined_then_grouped, repeated.agg(F.count_distinct("o_custkey").alias("n_rows"), F.sum("p").alias("total_price"))
+        ),
+        "grouped_then_joined": (
+            reports.grouped_then_joined, right.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total_price").alias("total_price"))
+        ),
+    }
+    parts = [
+        df.select(F.lit(name).alias("method"), accepted(build).alias("accepted"), "n_rows", F.col("total_price").cast("double").alias("total_price"))
+        for name, (build, df) in forms.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("e3b_inflation", """
     SELECT (SELECT CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders) AS total_before,
            (SELECT CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders JOIN lineitem ON o_orderkey = l_orderkey) AS total_after""")

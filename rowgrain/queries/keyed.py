@@ -40,9 +40,14 @@ def c1_empty(spark, sf):
     return none.unionByName(orders.filter(F.col("o_totalprice") < 0)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c2_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+@query("c2_lookup", """
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE o_orderkey = (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
 def c2_lookup(spark, sf):
-    return co.lookup(raw(spark, sf, "orders"), K, {"o_orderkey": 77}).select("o_orderkey", "o_custkey", "o_totalprice")
+    """Look up the order that turns out to be the largest."""
+    orders = raw(spark, sf, "orders")
+    largest = orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey").select("o_orderkey").first()
+    return co.lookup(orders, K, largest.asDict()).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("c2_lookup_many", SLICES + "SELECT * FROM a WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

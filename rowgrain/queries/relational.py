@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowgrain.functions.columns import code
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import ordered as od
 from rowgrain.operators import sets as st
@@ -492,3 +493,19 @@ def u3_all_columns(spark, sf):
     per_customer = orders.aggregate("o_custkey", n_orders=ag.rows())
     per_status = orders.aggregate(["o_custkey", "o_orderstatus"], n_rows=ag.rows())
     return st.all_columns(per_status, per_customer).expect_grain("o_custkey", "o_orderstatus").df
+
+
+# Scalar functions ------------------------------------------------------------
+
+@query("f_scalar_functions", """
+    SELECT o_orderkey, 'O' || LPAD(CAST(o_orderkey AS VARCHAR), 12, '0') AS code, o_orderkey // 7 AS quotient, o_orderkey % 7 AS remainder,
+           CAST(o_orderdate AS DATE) + 30 AS due, o_custkey || '|' || o_orderstatus AS text_key, COALESCE(NULLIF(o_orderstatus, 'P'), 'open') AS status,
+           (o_custkey, o_orderstatus) = (o_orderkey, 'F') AS same_tuple FROM orders""")
+def f_scalar_functions(spark, sf):
+    return raw(spark, sf, "orders").select(
+        "o_orderkey", code("O", F.col("o_orderkey"), 12).alias("code"), F.expr("o_orderkey div 7").alias("quotient"),
+        (F.col("o_orderkey") % 7).alias("remainder"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("due"),
+        F.array_join(F.array(F.col("o_custkey").cast("string"), "o_orderstatus"), "|").alias("text_key"),
+        F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("open")).alias("status"),
+        (F.struct(F.col("o_custkey").alias("a"), F.col("o_orderstatus").alias("b")) == F.struct(F.col("o_orderkey").alias("a"), F.lit("F").alias("b"))).alias("same_tuple"),
+    )

@@ -7,13 +7,16 @@ first, then left columns, then right ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgrain.functions import grainsets as gs
 from rowgrain.plans import examples as ex
 from rowgrain.plans import sweep as sw
 from rowgrain.queries.catalog import query, raw
-from rowgrain.sources.generate import keyed_rows
+from rowgrain.sources.generate import dense_partner, fan_pool, keyed_rows, pool_index, pool_value
 
 MAX_SIZE = 5
 
@@ -246,3 +249,42 @@ def v6_compare_formulas(spark, sf):
     FROM (SELECT o_orderkey AS n FROM orders) GROUP BY 1, 2, 3""")
 def s8_keyed_counter(spark, sf):
     return keyed_rows(raw(spark, sf, "orders"), "o_orderkey", ["a", "b", "c"], [700, 11, 13], first_number=F.col("o_orderkey"))
+
+
+@query("s9_dense_partner", """
+    WITH f AS (SELECT n // 11 % 700 + 1 AS a, n % 11 + 1 AS c, MIN(n) AS n FROM (SELECT o_orderkey AS n FROM orders) GROUP BY 1, 2),
+         l AS (SELECT a, c, n * 3 % 47 + 1 AS b FROM f),
+         r AS (SELECT b, a, d FROM (SELECT b, MIN(a) AS a FROM l GROUP BY 1) CROSS JOIN (VALUES (1), (2), (3)) s(d)),
+         j AS (SELECT l.a, l.b, c, d FROM l JOIN r ON l.a = r.a AND l.b = r.b)
+    SELECT COUNT(*) AS n_rows, COUNT(DISTINCT (a, c, d)) AS n_keys, (SELECT COUNT(*) FROM r) AS n_right FROM j""")
+def s9_dense_partner(spark, sf):
+    """A right table made to meet the left one, and their join checked on its grain."""
+    left = keyed_rows(raw(spark, sf, "orders"), "o_orderkey", ["a", "c"], [700, 11], b=F.col("o_orderkey") * 3 % 47 + 1)
+    right = dense_partner(left, ["a", "b"], ["b", "d"], {"d": 3})
+    n = right.groupBy("b", "a").agg(F.count(F.lit(1)).alias("n_right"))
+    joined = left.join(right, ["a", "b"]).groupBy("a", "c", "d").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        joined.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.lit(0).cast("long").alias("n_right"))
+        .unionByName(n.agg(F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_keys"), F.sum("n_right").alias("n_right")))
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_keys").alias("n_keys"), F.sum("n_right").alias("n_right"))
+    )
+
+
+_POOLS = {"uniform": "GREATEST(2, n // 2)", "extreme_low": "GREATEST(1, n // 5)", "extreme_high": "n"}
+
+
+@query("s12_fan_control", " UNION ALL ".join(
+    f"SELECT '{d}' AS distribution, COUNT(*) AS n_values, CAST(MAX(c) AS BIGINT) AS most_rows, CAST(SUM(v) AS BIGINT) AS value_sum FROM (SELECT COUNT(*) AS c, o_orderkey % {p} * 2 + 1 AS v"
+    f" FROM orders, (SELECT COUNT(*) AS n FROM orders) GROUP BY o_orderkey % {p})" for d, p in _POOLS.items()))
+def s12_fan_control(spark, sf):
+    """How many order rows share a join-key value under each way of dealing them out."""
+    orders = raw(spark, sf, "orders").select("o_orderkey")
+    n = orders.count()
+    parts = []
+    for d in _POOLS:
+        index = pool_index(F.col("o_orderkey"), fan_pool(n, d), d)
+        per_value = orders.groupBy(pool_value(index, 0, 2).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        parts.append(per_value.agg(
+            F.lit(d).alias("distribution"), F.count(F.lit(1)).alias("n_values"), F.max("c").alias("most_rows"), F.sum("v").alias("value_sum")
+        ))
+    return reduce(DataFrame.unionByName, parts)

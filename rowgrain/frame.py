@@ -164,14 +164,19 @@ class GrainedFrame:
         """Equi-join.  ``on`` holds names, or pairs (left name, right name).
 
         Every measure keeps the grain it was declared at, so adding it up after
-        a join that repeats its rows is refused (see ``aggregate``).
+        a join that repeats its rows is refused (see ``aggregate``).  Outer
+        joins against a side with several rows per key are run in parts, so
+        that a very frequent key can be split.
         """
-        if how in ("left_semi", "left_anti"):
-            raise ValueError("use semi_join() or anti_join()")
         names = jn.plan_names(self.columns, other.columns, on)
         left, right = self.spec.renamed(names.left), other.spec.renamed(names.right)
-        df = jn.equi_join(self.df, other.df, on, how)
         jk = frozenset(names.keys)
+        left_once, right_once = left.grain <= jk, right.grain <= jk
+        native = {"inner": True, "left": right_once, "right": left_once, "full": left_once and right_once}
+        if how not in native:
+            raise ValueError(f"no such join: {how}")
+        join = jn.equi_join if native[how] else jn.outer_join_by_parts
+        df = join(self.df, other.df, on, how)
         if how == "inner":
             picked = join_grain(left.grain, right.grain, jk)
             keys = {picked.grain}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil, sqrt
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,25 @@ def equi_join(left: DataFrame, right: DataFrame, on: str | Pairs, how: str = "in
     )
 
 
+def outer_join_by_parts(left: DataFrame, right: DataFrame, on: str | Pairs, how: str) -> DataFrame:
+    """An outer join as matches plus unmatched rows.
+
+    Spark can split a frequent key on either side of an inner join, but not on
+    the side an outer join has to keep whole.  The unmatched rows come from
+    anti-joins against distinct keys, where a frequent key is one row.
+    """
+    pairs = key_pairs(on)
+    names = plan_names(left.columns, right.columns, pairs)
+    out = equi_join(left, right, pairs)
+    if how in ("left", "full"):
+        alone = anti_join(left, right, pairs).withColumnsRenamed(dict(names.left))
+        out = out.unionByName(alone, allowMissingColumns=True)
+    if how in ("right", "full"):
+        alone = anti_join(right, left, [(b, a) for a, b in pairs]).withColumnsRenamed(dict(names.right))
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return out
+
+
 def natural_keys(left: DataFrame, right: DataFrame) -> list[str]:
     shared = sorted(set(left.columns) & set(right.columns))
     if not shared:
@@ -69,9 +88,19 @@ def disjoint_names(left: DataFrame, right: DataFrame) -> tuple[Mapping[str, str]
 
 
 def default_grid(df: DataFrame) -> tuple[int, int]:
-    """About as many cells as the session has shuffle partitions."""
-    side = ceil(sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return side, side
+    """For a small right side: left rows are spread and not copied, right rows go to every cell."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+
+
+def balanced_grid(left: DataFrame, right: DataFrame, cells: int | None = None) -> tuple[int, int]:
+    """The grid that copies the fewest rows.  Counts both sides, so it runs two jobs.
+
+    A left row is copied once per grid column, a right row once per grid row.
+    """
+    cells = cells or default_grid(left)[0]
+    n_left, n_right = max(1, left.count()), max(1, right.count())
+    cols = min(cells, max(1, round(sqrt(cells * n_right / n_left))))
+    return max(1, cells // cols), cols
 
 
 def product(left: DataFrame, right: DataFrame, grid: tuple[int, int] | None = None) -> DataFrame:
@@ -81,7 +110,8 @@ def product(left: DataFrame, right: DataFrame, grid: tuple[int, int] | None = No
     right row to one grid column; each pair meets in exactly one cell.  So the
     work is an ordinary equi-join whose tasks are of equal size, with neither
     side sent whole to a task.  Rows are placed by a hash of all their columns,
-    which spreads well because rows of a table with a grain differ.
+    which spreads well because rows of a table with a grain differ.  Pass
+    ``balanced_grid`` where the right side is large as well.
     """
     rows, cols = grid or default_grid(left)
     lnames, rnames = disjoint_names(left, right)

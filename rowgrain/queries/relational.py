@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowgrain.functions.columns import code
 from rowgrain.operators import aggregates as ag
+from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
 from rowgrain.operators import sets as st
 from rowgrain.operators import traps
@@ -192,7 +193,8 @@ def j6_theta_join(spark, sf):
         .rename({"o_orderpriority": "band"})
     )
     inside = (F.col("o_totalprice") > F.col("low")) & (F.col("o_totalprice") < F.col("high"))
-    joined = orders.theta_join(bands, inside).expect_grain("o_orderkey", "band")
+    grid = jn.balanced_grid(orders.df, bands.df)
+    joined = orders.theta_join(bands, inside, grid=grid).expect_grain("o_orderkey", "band")
     return joined.aggregate(["band", "o_orderpriority"], n=ag.rows()).df
 
 

@@ -7,6 +7,7 @@ from rowgrain import (
     FanTrap, GrainedFrame, GrainError, GrainLost, GrainMismatch, MissingColumns, requires_grain, safe_join_aggregate, source,
 )
 from rowgrain.operators import aggregates as ag
+from rowgrain.operators import joins as jn
 from rowgrain.operators import sets as st
 from rowgrain.plans import reports
 
@@ -140,6 +141,19 @@ def test_full_join_of_totals(spark):
     assert rows(a.full_join_totals(b, ["k"])) == [(1, 10, 0), (2, 20, 5), (3, 0, 6)]
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_joins_in_parts_equal_native_ones(spark, how):
+    data = lambda n, m: [(i, None if i % 11 == 0 else 0 if i % 3 == 0 else i % m, i * 2) for i in range(n)]
+    a = source(spark.createDataFrame(data(40, 9), "id int, k int, v int"), "id")
+    b = source(spark.createDataFrame(data(30, 13), "no int, key int, v int"), "no")
+    got = a.join(b, [("k", "key")], how)
+    native = jn.equi_join(a.df, b.df, [("k", "key")], how)
+    assert "Union" in got.df._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got.df.select(*sorted(got.columns))) == rows(native.select(*sorted(native.columns)))
+    with pytest.raises(ValueError):
+        a.join(b, [("k", "key")], "left_semi")
+
+
 def test_safe_join_aggregate(orders, items):
     owned = items.join(orders.select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")])
     out = safe_join_aggregate(
@@ -164,6 +178,10 @@ def test_product_and_theta_join_against_brute_force(spark):
     less = a.theta_join(b, F.col("x") + F.col("p_r1") < F.col("y"))
     assert rows(less.df.select("x", "y")) == sorted(((x, y) for x in range(23) for y in range(17) if x + x % 5 < y), key=repr)
     assert less.grain == {"x", "y"}
+    from rowgrain.operators.joins import balanced_grid
+
+    assert balanced_grid(a.df, b.df, 16) == (5, 3) and balanced_grid(a.df, b.df.limit(1), 16) == (16, 1)
+    assert a.product(b).count() == 23 * 17
 
 
 def test_semi_and_anti(orders, items):

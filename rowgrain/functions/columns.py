@@ -52,10 +52,6 @@ def hashed(parts: Sequence[Column | str], modulus: int) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(modulus)).cast("int")
 
 
-def null_safe_equal(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def fresh(df_columns: Iterable[str], *wanted: str) -> list[str]:
     """Helper column names that no table column has."""
     taken = set(df_columns)

@@ -158,8 +158,3 @@ def as_of(
     return found.filter(F.col("_side") == 1).select(
         "_lookup.*", *[F.col("_found")[c].alias(c) for c in [since, *payload]]
     )
-
-
-def number_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rn") -> DataFrame:
-    """``row_number`` per key; use the operators above where only the first rows are needed."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -1,4 +1,4 @@
-"""The 350 join examples in eight families, with key columns of many sizes.
+"""Join examples in families: 350 with key columns of many sizes, and 100 worked ones.
 
 Each example is a configuration (see ``sweep``) plus the number of values of
 its key columns.  The sizes come from one rule per family.
@@ -23,12 +23,12 @@ def _sizes(n_columns: int, count: int) -> list[tuple[int, ...]]:
     return [combos[i % len(combos)] for i in range(count)]
 
 
-def _family(category, case, count, r1, g1, r2, g2, jk):
+def _family(category, case, count, r1, g1, r2, g2, jk, sizes=None):
     """Examples of one shape; left sizes for its grain, right sizes for key columns outside the join key."""
     r1, g1, r2, g2, jk = (x.split() for x in (r1, g1, r2, g2, jk))
     extra = [c for c in g2 if c not in jk]
-    for sizes in _sizes(len(g1) + len(extra), count):
-        yield category, case, r1, r2, jk, g1, g2, list(sizes[: len(g1)]), list(sizes[len(g1):])
+    for drawn in sizes or _sizes(len(g1) + len(extra), count):
+        yield category, case, r1, r2, jk, g1, g2, list(drawn[: len(g1)]), list(drawn[len(g1): len(g1) + len(extra)])
 
 
 def _equal_grains():
@@ -56,12 +56,59 @@ def build() -> list[tuple]:
         *_family("incomparable", "A", 30, "a b c v1", "a b c", "a b d v2", "a b d", "a b"),
         *_family("natural", "A", 35, "a b c", "a b", "b c d", "b c", "b c"),
     ]
+    return _numbered(rows)
+
+
+# Fifteen worked shapes, as (category, case, R1, G1, R2, G2, join key).
+WORKED = (
+    ("main", "A", "account customer", "account", "customer address text", "customer address", "customer"),
+    ("main", "B", "a b c e", "a c", "a b c d", "a b", "a b c"),
+    ("main", "A", "a b c_r1", "a b", "b c_r2 d", "c_r2 d", "b"),
+    ("equal grains", "A", "customer name", "customer", "customer tier", "customer", "customer"),
+    ("equal grains", "A", "customer region name", "customer region", "customer segment label", "customer segment", "customer"),
+    ("equal grains", "A", "customer region product", "customer region", "order date customer product", "order date", "customer product"),
+    ("equal grains", "A", "customer_r1 email", "customer_r1", "customer_r2 email points", "customer_r2", "email"),
+    ("ordered", "A", "order line amount", "order line", "order status", "order", "order"),
+    ("ordered", "A", "order line_r1 product", "order line_r1 product", "order line_r2 discount", "order line_r2", "order"),
+    ("ordered", "A", "order line customer", "order line", "order date customer", "order date", "order customer"),
+    ("ordered", "A", "order_r1 line customer", "order_r1 line", "order_r2 customer date", "order_r2", "customer"),
+    ("incomparable", "A", "customer channel date", "customer channel date", "customer product date", "customer product date", "customer date"),
+    ("incomparable", "A", "sale product store", "sale product store", "product store category", "product store category", "product store"),
+    ("natural", "A", "customer name region", "customer region", "customer region segment", "customer region", "customer region"),
+    ("natural", "B", "a b c", "a b", "b c d", "c d", "b c"),
+)
+
+
+def build_worked() -> list[tuple]:
+    """The fifteen worked shapes and 85 more of their kinds."""
+    # In case A: more values than join columns outside the key have (47), so that keys share a join value.
+    wide = {1: (200,), 2: (60, 50), 3: (4, 6, 60)}
+    rows = []
+    for cat, case, *shape in WORKED:
+        sizes = [wide[len(shape[1].split())] + (5,) * len(shape[3].split())] if case == "A" else None
+        rows += _family(cat, case, 1, *shape, sizes=sizes)
+    rows += [
+        *_family("main", "A", 7, "a b c", "a b", "a b d", "a b d", "a b"),
+        *_family("main", "B", 8, "a b c", "a c", "a b c d", "b c", "a b c"),
+        *list(_equal_grains())[:20],
+        *_family("ordered", "A", 10, "g1 g2 v1", "g1 g2", "g1 v2", "g1", "g1"),
+        *_family("ordered", "A", 10, "g1 v1", "g1", "g1 g2 v2", "g1 g2", "g1"),
+        *_family("incomparable", "A", 7, "a b c v1", "a b c", "a b d v2", "a b d", "a b"),
+        *_family("incomparable", "B", 8, "a b c v1", "a c", "a b d v2", "b d", "a b"),
+        *_family("natural", "A", 7, "a b c", "a b", "a b d", "a b", "a b"),
+        *_family("natural", "B", 8, "a b c", "a b", "b c d", "c d", "b c"),
+    ]
+    return _numbered(rows)
+
+
+def _numbered(rows) -> list[tuple]:
     return [(no, r1, r2, jk, g1, g2, cat, case, ls, rs) for no, (cat, case, r1, r2, jk, g1, g2, ls, rs) in enumerate(rows)]
 
 
-def examples(spark: SparkSession) -> DataFrame:
+def examples(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     return spark.createDataFrame(
-        build(), SCHEMA + ", category string, case_type string, left_sizes array<int>, right_sizes array<int>"
+        build() if rows is None else rows,
+        SCHEMA + ", category string, case_type string, left_sizes array<int>, right_sizes array<int>",
     )
 
 

@@ -193,23 +193,27 @@ def _list(items, kind):
     return "[" + ", ".join(f"'{x}'" if kind == "s" else str(x) for x in items) + "]" + ("::VARCHAR[]" if kind == "s" else "::BIGINT[]")
 
 
-_EXAMPLES = ", ".join(
-    f"({no}, {_list(r1, 's')}, {_list(r2, 's')}, {_list(jk, 's')}, {_list(g1, 's')}, {_list(g2, 's')}, '{cat}', '{case}', {_list(ls, 'n')}, {_list(rs, 'n')})"
-    for no, r1, r2, jk, g1, g2, cat, case, ls, rs in ex.build()
-)
+def _example_values(rows):
+    return ", ".join(
+        f"({no}, {_list(r1, 's')}, {_list(r2, 's')}, {_list(jk, 's')}, {_list(g1, 's')}, {_list(g2, 's')}, '{cat}', '{case}', {_list(ls, 'n')}, {_list(rs, 'n')})"
+        for no, r1, r2, jk, g1, g2, cat, case, ls, rs in rows
+    )
+
+
 _MINUS = "list_filter({a}, lambda x: NOT list_contains({b}, x))".format
 _BOTH = "list_filter({a}, lambda x: list_contains({b}, x))".format
 _PLUS = lambda a, b: f"list_sort(list_distinct(list_concat({a}, {b})))"
 _TAIL = lambda lst, p: f"CAST(list_aggregate(list_concat([1::BIGINT], {lst}[{p}:]), 'product') AS BIGINT)"
 
 
-@query("v6_compare_formulas", f"""
-    WITH c AS (SELECT * FROM (VALUES {_EXAMPLES}) x(config_id, r1, r2, jk, g1, g2, category, case_type, ls, rs)),
+def _formula_sql(rows):
+    return f"""
+    WITH c AS (SELECT * FROM (VALUES {_example_values(rows)}) x(config_id, r1, r2, jk, g1, g2, category, case_type, ls, rs)),
     d AS (SELECT *, {_BOTH(a='g1', b='jk')} AS p1, {_BOTH(a='g2', b='jk')} AS p2, {_MINUS(a='g1', b='jk')} AS o1, {_MINUS(a='g2', b='jk')} AS o2 FROM c),
     e AS (SELECT *, {_PLUS('g1', 'o2')} AS f1, {_PLUS('g2', 'o1')} AS f2, len({_MINUS(a='p1', b='p2')}) AS d12, len({_MINUS(a='p2', b='p1')}) AS d21 FROM d),
     u AS (SELECT *, CASE WHEN (d12 > 0 AND d21 = 0) OR (d12 > 0 AND d21 > 0 AND len(f2) < len(f1)) THEN f2 ELSE f1 END AS newer,
             CASE WHEN d12 = 0 OR d21 = 0 THEN {_PLUS(_PLUS('o1', 'o2'), _BOTH(a='p1', b='p2'))} ELSE {_PLUS(_PLUS('o1', 'o2'), _PLUS('p1', 'p2'))} END AS older FROM e),
-    placed AS (SELECT o_orderkey % 350 AS config_id, o_orderkey // 350 AS i FROM orders),
+    placed AS (SELECT o_orderkey % {len(rows)} AS config_id, o_orderkey // {len(rows)} AS i FROM orders),
     l0 AS (SELECT config_id, list_transform(range(1, len(ls) + 1), lambda p: i // {_TAIL('ls', 'p + 1')} % ls[p] + 1) AS key, MIN(i) AS i FROM placed JOIN u USING (config_id) GROUP BY 1, 2),
     l1 AS (SELECT config_id, list_transform(range(1, len(r1) + 1), lambda p: CASE WHEN list_contains(g1, r1[p]) THEN key[list_position(g1, r1[p])]
              ELSE (i % 1000000) * (7 * (p - 1) + 3) % 47 + 1 END) AS lv, r1, jk FROM l0 JOIN u USING (config_id)),
@@ -231,17 +235,28 @@ _TAIL = lambda lst, p: f"CAST(list_aggregate(list_concat([1::BIGINT], {lst}[{p}:
     SELECT category, case_type, COUNT(*) AS n_examples, CAST(SUM(COALESCE(n, 0)) AS BIGINT) AS result_rows,
            COUNT(*) FILTER (WHERE COALESCE(old_keys = n, TRUE)) AS old_unique, COUNT(*) FILTER (WHERE COALESCE(old_gone, 0) = 0) AS old_minimal,
            COUNT(*) FILTER (WHERE COALESCE(new_keys = n, TRUE)) AS new_unique, COUNT(*) FILTER (WHERE COALESCE(new_gone, 0) = 0) AS new_minimal
-    FROM u LEFT JOIN facts USING (config_id) GROUP BY 1, 2""")
-def v6_compare_formulas(spark, sf):
-    """The 350 examples, with left rows counted from order numbers."""
-    derived = sw.derive(ex.examples(spark))
-    n = len(ex.build())
+    FROM u LEFT JOIN facts USING (config_id) GROUP BY 1, 2"""
+
+
+def _formulas(spark, sf, rows):
+    """Both formulas on examples whose left rows are counted from order numbers."""
+    derived, n = sw.derive(ex.examples(spark, rows)), len(rows)
     placed = sw.placed_rows(raw(spark, sf, "orders").select("o_orderkey"), "o_orderkey", n)
     left = ex.left_rows(placed, derived, n)
     compared = sw.compare_formulas(derived, left, ex.right_rows(left, derived, n), n)
     return sw.formula_summary(compared, ["category", "case_type"])
 
 
+@query("v6_compare_formulas", _formula_sql(ex.build()))
+def v6_compare_formulas(spark, sf):
+    return _formulas(spark, sf, ex.build())
+
+
+@query("x6_worked_examples", _formula_sql(ex.build_worked()))
+def x6_worked_examples(spark, sf):
+    return _formulas(spark, sf, ex.build_worked())
+
+
 # Counters --------------------------------------------------------------------
 
 @query("s8_keyed_counter", """

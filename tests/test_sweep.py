@@ -135,6 +135,17 @@ def test_both_formulas_on_350_examples(spark):
     assert {c: r.old_minimal for c, r in got.items()} == {"A": 200, "B": 0}
 
 
+def test_worked_examples(spark):
+    rows = ex.build_worked()
+    assert len(rows) == 100
+    derived = sw.derive(ex.examples(spark, rows))
+    placed = sw.placed_rows(spark.range(100 * 3000), "id", 100)
+    left = ex.left_rows(placed, derived, 100)
+    out = sw.compare_formulas(derived, left, ex.right_rows(left, derived, 100), 100).collect()
+    assert all(r.result_rows > 1 and r.new_unique and r.new_minimal and r.old_unique for r in out)
+    assert all(r.old_minimal == (r.case_type == "A") for r in out)
+
+
 def test_removable_column_of_the_older_formula_is_named(spark):
     derived = sw.derive(ex.examples(spark)).filter("category = 'main' and case_type = 'B' and config_id < 4")
     placed = sw.placed_rows(spark.range(350 * 60), "id", 350)

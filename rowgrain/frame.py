@@ -96,7 +96,7 @@ class GrainedFrame:
         """Distinct rows of some columns.  No shuffle where the grain is among them already."""
         if self.grain <= set(cols):
             return self.select(*cols)
-        spec = replace(self.spec.restricted(cols), grain=columns(cols), alternatives=())
+        spec = replace(self.spec.restricted(cols), grain=columns(cols), alternatives=(), clustered=columns(cols))
         if spec.entity_key and not spec.entity_key <= spec.grain:
             spec = replace(spec, entity_key=None)
         return GrainedFrame(self.df.select(*cols).distinct(), spec)
@@ -151,7 +151,7 @@ class GrainedFrame:
             raise GrainLost("grain columns cannot be split off")
         dim = self.df.select(*determinant, *dependent).distinct()
         rest = self.select(*[c for c in self.df.columns if c not in dependent])
-        return rest, GrainedFrame(dim, GrainSpec(columns(determinant)))
+        return rest, GrainedFrame(dim, GrainSpec(columns(determinant), clustered=columns(dim.columns)))
 
     def _need_entity_key(self) -> Columns:
         if not self.entity_key:
@@ -175,8 +175,12 @@ class GrainedFrame:
         native = {"inner": True, "left": right_once, "right": left_once, "full": left_once and right_once}
         if how not in native:
             raise ValueError(f"no such join: {how}")
-        join = jn.equi_join if native[how] else jn.outer_join_by_parts
-        df = join(self.df, other.df, on, how)
+        # A side grouped by the key is not shuffled again, which would keep Spark from splitting the other one.
+        stuck = (left.clustered == jk and not right_once) or (right.clustered == jk and not left_once)
+        if native[how]:
+            df = jn.equi_join(self.df, other.df, on, how, own_shuffle=stuck)
+        else:
+            df = jn.outer_join_by_parts(self.df, other.df, on, how)
         if how == "inner":
             picked = join_grain(left.grain, right.grain, jk)
             keys = {picked.grain}
@@ -199,7 +203,7 @@ class GrainedFrame:
         )
         entity = left.entity_key if left.entity_key and left.entity_key <= grain else None
         return GrainedFrame(
-            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures})
+            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures}, clustered=jk)
         )
 
     def natural_join(self, other: "GrainedFrame") -> "GrainedFrame":
@@ -245,10 +249,19 @@ class GrainedFrame:
         )
 
     def semi_join(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> "GrainedFrame":
-        return self._with(jn.semi_join(self.df, _plain(other), on, _key_holds_grain(other, on)))
+        return self._with(jn.semi_join(self.df, _plain(other), on, *self._unique_sides(other, on)))
 
     def anti_join(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> "GrainedFrame":
-        return self._with(jn.anti_join(self.df, _plain(other), on, _key_holds_grain(other, on)))
+        return self._with(jn.anti_join(self.df, _plain(other), on, *self._unique_sides(other, on)))
+
+    def _unique_sides(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> tuple[bool, bool]:
+        """Is each key there once, on the right and on the left?"""
+        pairs = jn.key_pairs(on)
+        right = isinstance(other, GrainedFrame) and other.grain <= {b for _, b in pairs}
+        left = self.grain <= {a for a, _ in pairs}
+        # A right side grouped by the key would keep Spark from splitting the left one.
+        grouped = isinstance(other, GrainedFrame) and other.spec.clustered == {b for _, b in pairs}
+        return right and (left or not grouped), left
 
     # Aggregation -------------------------------------------------------------
 
@@ -283,7 +296,7 @@ class GrainedFrame:
         df = grouped.agg(*exprs) if exprs else self.df.select(*keys).distinct()
         grain = columns(keys)
         spec = replace(self.spec.restricted(keys), grain=grain, alternatives=(), kind=None,
-                       measures={n: grain for n in aggs})
+                       measures={n: grain for n in aggs}, clustered=grain)
         return GrainedFrame(df, spec)
 
     def aggregate_to(self, target: Sequence[str], **aggs: ag.Agg) -> "GrainedFrame":
@@ -318,10 +331,10 @@ class GrainedFrame:
         entity = self.entity_key if self.entity_key and self.entity_key <= grain else None
         repeated = self.repeated_measures()
         measures = {m: h if m in repeated else grain for m, h in self.spec.measures.items()}
-        return self._with(df, grain=grain, entity_key=entity, alternatives=(), measures=measures, kind=None)
+        return self._with(df, grain=grain, entity_key=entity, alternatives=(), measures=measures, kind=None, clustered=grain)
 
     def top(self, n: int, *order: Column | str) -> "GrainedFrame":
-        return self._with(self.df.orderBy(*order).limit(n))
+        return self._with(self.df.orderBy(*order).limit(n), clustered=None)
 
     def distinct(self) -> "GrainedFrame":
         """Rows are distinct already, since the grain is a key: nothing to do."""
@@ -342,10 +355,6 @@ def _plain(x: GrainedFrame | DataFrame) -> DataFrame:
     return x.df if isinstance(x, GrainedFrame) else x
 
 
-def _key_holds_grain(other: GrainedFrame | DataFrame, on: str | jn.Pairs) -> bool:
-    return isinstance(other, GrainedFrame) and other.grain <= {b for _, b in jn.key_pairs(on)}
-
-
 def _join_fds(left, right, jk: Columns) -> tuple[FD, ...]:
     """Dependencies that hold after a join.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowgrain.frame import GrainedFrame
 from rowgrain.operators.collections import count_sides
-from rowgrain.operators.joins import unmatched
+from rowgrain.operators.joins import equi_join, unmatched
 from rowgrain.operators.ordered import HOT_ROWS, carry, latest_per_key, next_row, previous_row
 from rowgrain.operators.verify import duplicates
 from rowgrain.spec import GrainError
@@ -191,7 +191,8 @@ def link(
 def relates_to(links: DataFrame, ask: DataFrame, cols: Sequence[str], name: str = "related") -> DataFrame:
     """For each asked pair: is there a link?"""
     known = links.select(*cols).distinct().withColumn(name, F.lit(True))
-    return ask.join(known, list(cols), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    told = equi_join(ask, known, list(cols), "left", own_shuffle=True)
+    return told.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 # Relations between two rows --------------------------------------------------

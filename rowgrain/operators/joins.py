@@ -48,12 +48,30 @@ def plan_names(left_cols: Sequence[str], right_cols: Sequence[str], on: str | Pa
     return JoinNames(tuple(lkeys), left, right)
 
 
-def equi_join(left: DataFrame, right: DataFrame, on: str | Pairs, how: str = "inner") -> DataFrame:
-    """Join without a strategy hint: Spark picks it from sizes, and re-plans skewed keys."""
+def equi_join(
+    left: DataFrame, right: DataFrame, on: str | Pairs, how: str = "inner", own_shuffle: bool = False
+) -> DataFrame:
+    """Join without a strategy hint: Spark picks it from sizes, and re-plans skewed keys.
+
+    Spark splits a frequent key only where both inputs of the join come straight
+    from a shuffle.  A side that was just grouped by the join key does not; with
+    ``own_shuffle`` the key gets a companion, so that both sides are shuffled
+    for the join.
+    """
     names = plan_names(left.columns, right.columns, on)
-    return left.withColumnsRenamed(dict(names.left)).join(
-        right.withColumnsRenamed(dict(names.right)), on=list(names.keys), how=how
-    )
+    l, r = left.withColumnsRenamed(dict(names.left)), right.withColumnsRenamed(dict(names.right))
+    keys = list(names.keys)
+    if not own_shuffle:
+        return l.join(r, on=keys, how=how)
+    l, r = _with_companion(l, keys), _with_companion(r, keys)
+    return l.join(r, on=[*keys, COMPANION], how=how).drop(COMPANION)
+
+
+COMPANION = "_key_hash"
+
+
+def _with_companion(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn(COMPANION, F.xxhash64(*keys))
 
 
 def outer_join_by_parts(left: DataFrame, right: DataFrame, on: str | Pairs, how: str) -> DataFrame:
@@ -136,23 +154,32 @@ def theta_join(
     return product(left, right, grid).filter(condition)
 
 
-def semi_join(left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False) -> DataFrame:
-    return _existence(left, right, on, "left_semi", right_unique)
+def semi_join(
+    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False
+) -> DataFrame:
+    return _existence(left, right, on, "left_semi", right_unique, left_unique)
 
 
-def anti_join(left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False) -> DataFrame:
-    return _existence(left, right, on, "left_anti", right_unique)
+def anti_join(
+    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False
+) -> DataFrame:
+    return _existence(left, right, on, "left_anti", right_unique, left_unique)
 
 
-def _existence(left: DataFrame, right: DataFrame, on: str | Pairs, how: str, right_unique: bool) -> DataFrame:
+def _existence(left, right, on, how, right_unique, left_unique) -> DataFrame:
     """Right keys are reduced to one each before the shuffle, unless they are known to be unique.
 
-    The join then uses the partitioning the reduction left behind.
+    The few keys left are shuffled again for the join, so that Spark can split
+    a frequent key of the left side, unless that is known to be unique.
     """
     pairs = key_pairs(on)
-    keys = right.select(*[F.col(b).alias(a) for a, b in pairs])
-    right_keys = keys if right_unique else keys.distinct()
-    return left.join(right_keys, on=[a for a, _ in pairs], how=how).select(*left.columns)
+    keys = [a for a, _ in pairs]
+    wanted = right.select(*[F.col(b).alias(a) for a, b in pairs])
+    if right_unique or left_unique:
+        wanted = wanted if right_unique else wanted.distinct()
+        return left.join(wanted, on=keys, how=how).select(*left.columns)
+    l, r = _with_companion(left, keys), _with_companion(wanted.distinct(), keys)
+    return l.join(r, on=[*keys, COMPANION], how=how).select(*left.columns)
 
 
 def unmatched(df: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence[str]) -> DataFrame:

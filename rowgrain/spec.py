@@ -182,6 +182,8 @@ class GrainSpec:
     fds: tuple[FD, ...] = ()
     measures: Mapping[str, Columns] = field(default_factory=dict)
     kind: str | None = None
+    #: Columns the rows were last shuffled by, as far as known; matters for joins with frequent keys.
+    clustered: Columns | None = None
 
     def check(self, available: Iterable[str]) -> "GrainSpec":
         available = set(available)
@@ -205,6 +207,7 @@ class GrainSpec:
             alternatives=tuple(rename_set(a, names) for a in self.alternatives),
             fds=tuple(fd.renamed(names) for fd in self.fds),
             measures={names.get(m, m): rename_set(h, names) for m, h in self.measures.items()},
+            clustered=None if self.clustered is None else rename_set(self.clustered, names),
         )
 
     def restricted(self, kept: Iterable[str]) -> "GrainSpec":
@@ -221,6 +224,7 @@ class GrainSpec:
             alternatives=tuple(a for a in self.alternatives if a <= kept),
             fds=tuple(FD(fd.lhs, fd.rhs & kept) for fd in self.fds if fd.lhs <= kept and fd.rhs & kept),
             measures={m: gone(h) for m, h in self.measures.items() if m in kept},
+            clustered=self.clustered if self.clustered and self.clustered <= kept else None,
         )
 
     def all_fds(self, available: Iterable[str]) -> tuple[FD, ...]:

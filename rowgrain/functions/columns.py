@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMERIC = (T.NumericType,)
-TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
-
 
 def key(cols: Iterable[str]) -> Column:
     """The whole key as one value; a NULL inside it counts as a value of its own."""
@@ -21,13 +18,17 @@ def key(cols: Iterable[str]) -> Column:
 def position(df: DataFrame, name: str) -> Column | None:
     """A number that grows with an ordering column, or None where there is no such number."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, NUMERIC):
+    if isinstance(dtype, T.NumericType):
         return F.col(name).cast("double")
     if isinstance(dtype, T.DateType):
         return F.expr(f"datediff(`{name}`, date'1970-01-01')").cast("double")
-    if isinstance(dtype, TEMPORAL):
-        origin = "timestamp_ntz'1970-01-01'" if isinstance(dtype, T.TimestampNTZType) else "timestamp'1970-01-01'"
-        return F.expr(f"timestampdiff(MICROSECOND, {origin}, `{name}`)").cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(name).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        # From the parts, so that no time zone of the session comes in.
+        t = F.col(name)
+        days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date"))
+        return (days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60).cast("double") + F.extract(F.lit("SECOND"), t).cast("double")
     return None
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowgrain.functions.columns import fresh, key, money, position
+from rowgrain.operators.ordered import in_slices, slices_of_hot_keys
 from rowgrain.spec import GrainError
 
 #: A key with more rows than this is handled in pieces of about this size.
@@ -116,20 +117,12 @@ def ordered_fold(
     neighbouring slices.  So ``start`` has to be neutral for ``merge``, and
     ``merge(f(xs), f(ys))`` has to equal ``f(xs + ys)``.
     """
-    pos, lo, width, part, val, n = fresh([*df.columns, name], "_pos", "_lo", "_width", "_part", "_val", "_n")
+    pos, part, val, n = fresh([*df.columns, name], "_pos", "_part", "_val", "_run")
     where = position(df, order[0])
     if where is None:
         raise GrainError(f"cannot cut {order[0]} into slices")
     rows_in = df.select(*keys, *order, where.alias(pos), value.alias(val))
-    # At most rows / piece_rows keys are that big.
-    big = (
-        rows_in.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(lo), F.max(pos).alias("_hi"))
-        .filter(F.col(n) > F.lit(piece_rows))
-        .select(*keys, lo, ((F.col("_hi") - F.col(lo)) / F.ceil(F.col(n) / F.lit(piece_rows))).alias(width))
-    )
-    cut = F.when(F.col(width) > 0, F.floor((F.col(pos) - F.col(lo)) / F.col(width))).otherwise(F.lit(0))
-    sliced = rows_in.join(F.broadcast(big), list(keys), "left").withColumn(part, F.coalesce(cut, F.lit(0)).cast("long"))
+    sliced = in_slices(rows_in, slices_of_hot_keys(rows_in, keys, pos, piece_rows), keys, pos, part, "left")
     in_order = F.sort_array(F.collect_list(F.struct(*order, F.col(val).alias(val))))
     folded = sliced.groupBy(*keys, part).agg(F.aggregate(in_order, start, lambda acc, r: step(acc, r[val])).alias(name))
     # Neighbouring slices are merged in runs first, so no array gets long.

@@ -60,9 +60,7 @@ def carry(
     With ``inclusive`` the row's own value counts as well.  Rows of a key that
     tie in ``order`` come in any order, so end it in a tie breaker.
     """
-    val, pos, lo, width, part, local, edge = fresh(
-        [*df.columns, name], "_val", "_pos", "_lo", "_width", "_part", "_local", "_edge"
-    )
+    val, pos, local, edge, part, finer = fresh([*df.columns, name], "_val", "_pos", "_local", "_edge", "_part", "_finer")
     sort = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     last_row = Window.currentRow if inclusive else -1
     tagged = df.withColumn(val, value)
@@ -72,48 +70,60 @@ def carry(
         window = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row)
         return tagged.withColumn(name, F.last(val, ignorenulls=True).over(window)).drop(val)
 
-    # At most rows / hot_rows keys can be hot, so this list is small by construction.
-    hot = (
-        df.select(*keys, where.alias(pos))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias(lo), F.max(pos).alias("_hi"))
-        .filter(F.col("_n") > F.lit(hot_rows))
-        .select(
-            *keys,
-            lo,
-            ((F.col("_hi") - F.col(lo)) / F.ceil(F.col("_n") / F.lit(hot_rows))).alias(width),
-        )
-    )
-    slice_no = F.when(F.col(width) > 0, F.floor((F.col(pos) - F.col(lo)) / F.col(width))).otherwise(F.lit(0))
-    slice_no = F.coalesce(slice_no, F.lit(0)).cast("long")
+    # Hot keys are cut into slices, and slices that a burst left too big once more.
     placed = tagged.withColumn(pos, where)
+    hot = slices_of_hot_keys(df.select(*keys, where.alias(pos)), keys, pos, hot_rows)
+    of_hot = in_slices(df.select(*keys, where.alias(pos)), hot, keys, pos, part, "inner")
+    hotter = slices_of_hot_keys(of_hot, [*keys, part], pos, hot_rows)
+
+    def sliced(how):
+        return in_slices(in_slices(placed, hot, keys, pos, part, how), hotter, [*keys, part], pos, finer, "left")
 
-    sliced = placed.join(F.broadcast(hot), list(keys), "left").withColumn(part, slice_no)
-    window = Window.partitionBy(*keys, part).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row)
-    within = sliced.withColumn(local, F.last(val, ignorenulls=True).over(window))
+    window = Window.partitionBy(*keys, part, finer).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row)
+    within = sliced("left").withColumn(local, F.last(val, ignorenulls=True).over(window))
 
     # One row per slice of a hot key: its last value, handed to the slices after it.
     pick = F.min_by if backwards else F.max_by
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(part).desc() if backwards else F.col(part).asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    slice_order = [F.col(c).desc() if backwards else F.col(c).asc() for c in (part, finer)]
+    across = Window.partitionBy(*keys).orderBy(*slice_order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(val).isNotNull()
     edges = (
-        placed.join(F.broadcast(hot), list(keys))
-        .withColumn(part, slice_no)
-        .groupBy(*keys, part)
-        .agg(pick(F.when(F.col(val).isNotNull(), F.struct(val)), F.when(F.col(val).isNotNull(), F.struct(*order))).alias(edge))
+        sliced("inner")
+        .groupBy(*keys, part, finer)
+        .agg(pick(F.when(known, F.struct(val)), F.when(known, F.struct(*order))).alias(edge))
         .withColumn(edge, F.last(edge, ignorenulls=True).over(across))
-        .select(*keys, part, edge)
+        .select(*keys, part, finer, edge)
     )
     return (
-        within.join(F.broadcast(edges), [*keys, part], "left")
+        within.join(F.broadcast(edges), [*keys, part, finer], "left")
         .withColumn(name, F.coalesce(F.col(local), F.col(edge)[val]))
         .select(*df.columns, name)
     )
 
 
+def slices_of_hot_keys(rows: DataFrame, keys: Sequence[str], pos: str, hot_rows: int) -> DataFrame:
+    """Start and slice width of every key with more than ``hot_rows`` rows.
+
+    There can be at most rows / ``hot_rows`` of them, so the result is small by construction.
+    """
+    return (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+        .filter(F.col("_n") > F.lit(hot_rows))
+        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(hot_rows))).alias("_width"))
+    )
+
+
+def in_slices(rows: DataFrame, hot: DataFrame, keys: Sequence[str], pos: str, name: str, how: str) -> DataFrame:
+    """Add the slice number of each row; rows of other keys are all in slice 0."""
+    number = F.when(F.col("_width") > 0, F.floor((F.col(pos) - F.col("_lo")) / F.col("_width"))).otherwise(F.lit(0))
+    return (
+        rows.join(F.broadcast(hot), list(keys), how)
+        .withColumn(name, F.coalesce(number, F.lit(0)).cast("long"))
+        .drop("_lo", "_width")
+    )
+
+
 def previous_row(df, keys, order, cols, name="previous", **kw) -> DataFrame:
     """The row before, as a struct of ``cols``; NULL for the first row of a key."""
     return carry(df, keys, order, F.struct(*cols), name, **kw)

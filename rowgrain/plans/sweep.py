@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowgrain.functions import grainsets as gs
+from rowgrain.sources.generate import pool_index
 
 SCHEMA = (
     "config_id bigint, r1_fields array<string>, r2_fields array<string>, jk array<string>,"
@@ -174,7 +175,8 @@ def placed_rows(numbers: DataFrame, number: str, n_configs: int) -> DataFrame:
 
 
 def table_rows(
-    placed: DataFrame, configs: DataFrame, side: int, fan: int = 2, n_configs: int | None = None
+    placed: DataFrame, configs: DataFrame, side: int, fan: int = 2, n_configs: int | None = None,
+    skew_pool: int | None = None,
 ) -> DataFrame:
     """Rows of one side of every configuration: ``config_id, jkv, vals``, keyed by its grain.
 
@@ -185,10 +187,14 @@ def table_rows(
     f, g, rest, inside = (f"r{side}_fields", f"g{side}", f"g{side}_rest", f"g{side}_jk")
     joined = placed.join(beside_rows(configs.select("config_id", f, "jk", rest, inside), n_configs), "config_id")
     has_rest, has_key = f"size({rest}) > 0", f"size({inside}) > 0"
+    if skew_pool is None:
+        shared, within = F.expr(f"i div {fan}"), F.expr(f"case when {has_rest} and {has_key} then i % {fan} else i end")
+    else:
+        shared, within = pool_index(F.col("i"), skew_pool, "skewed", seed=side), F.col("i")
     numbered = joined.select(
         "config_id", "i", f, "jk", rest,
-        F.expr(f"case when {has_rest} then i div {fan} else i end").alias("k"),
-        F.expr(f"case when {has_rest} and {has_key} then i % {fan} else i end").alias("m"),
+        F.when(F.expr(has_rest), shared).otherwise(F.col("i")).alias("k"),
+        within.alias("m"),
         F.expr("size(jk)").alias("n_jk"), F.expr(f"size({rest})").alias("n_rest"),
     )
     cell = f"""
@@ -326,11 +332,13 @@ def by_class(checked: DataFrame) -> DataFrame:
     return checked.groupBy("jk_rel", "g1e", "g2e").agg(*cols)
 
 
-def sweep(numbers: DataFrame, number: str, configs: DataFrame, n_configs: int, fan: int = 2) -> DataFrame:
+def sweep(
+    numbers: DataFrame, number: str, configs: DataFrame, n_configs: int, fan: int = 2, skew_pool: int | None = None
+) -> DataFrame:
     """Deal the rows of a table to all configurations and check every property of each."""
     derived = derive(configs)
     placed = placed_rows(numbers, number, n_configs)
-    left, right = (table_rows(placed, derived, side, fan, n_configs) for side in (1, 2))
+    left, right = (table_rows(placed, derived, side, fan, n_configs, skew_pool) for side in (1, 2))
     return check_properties(derived, left, right, n_configs)
 
 

@@ -39,6 +39,45 @@ def test_carry_equals_one_window(table, hot_rows, inclusive, backwards):
     assert rows(got) == rows(want)
 
 
+def test_a_burst_is_cut_again(spark):
+    """Most rows of the hot key fall into one per cent of its time."""
+    df = spark.range(4000).select(
+        F.lit(1).alias("k"), F.when(F.col("id") < 100, F.col("id") * 1000.0).otherwise(5000 + F.col("id") / 4).alias("t")
+    )
+    hot = od.slices_of_hot_keys(df, ["k"], "t", 50)
+    once = od.in_slices(df, hot, ["k"], "t", "part", "inner")
+    biggest = lambda d, *c: d.groupBy(*c).count().agg(F.max("count")).first()[0]
+    assert biggest(once, "part") > 3000
+    hotter = od.slices_of_hot_keys(once, ["k", "part"], "t", 50)
+    twice = od.in_slices(once, hotter, ["k", "part"], "t", "finer", "left")
+    assert biggest(twice, "part", "finer") < 120
+    got = od.carry(df.withColumn("v", F.col("t")), ["k"], ["t"], F.col("v"), "x", hot_rows=50)
+    want = df.withColumn("v", F.col("t")).withColumn("x", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int", "decimal(10,2)"])
+def test_every_kind_of_order_column_can_be_sliced(spark, kind):
+    source = "id" if kind in ("int", "decimal(10,2)") else "timestamp_ntz'2024-03-30 22:00:00' + make_dt_interval(0, 0, 7 * cast(id as int))"
+    if kind == "date":
+        source = "date_add(date'2024-01-01', cast(id as int))"
+    df = spark.range(60).selectExpr("1 AS k", f"cast({source} AS {kind}) AS t", "id AS v")
+    got = od.carry(df, ["k"], ["t"], F.col("v"), "x", hot_rows=7)
+    assert {r.v: r.x for r in got.collect()} == {i: i - 1 if i else None for i in range(60)}
+
+
+def test_slices_do_not_depend_on_the_time_zone(spark):
+    """Local times that a clock change skips still come in order."""
+    df = spark.range(48).selectExpr("1 AS k", "timestamp_ntz'2024-03-31 00:00:00' + make_dt_interval(0, 0, 10 * cast(id as int)) AS t", "id AS v")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = od.carry(df, ["k"], ["t"], F.col("v"), "x", hot_rows=3).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert {r.v: r.x for r in got} == {i: i - 1 if i else None for i in range(48)}
+
+
 def test_carry_over_text_order(spark):
     df = spark.createDataFrame([("k", "a", 1), ("k", "b", None), ("k", "c", 3)], "k string, t string, v int")
     assert rows(od.carry(df, ["k"], ["t"], F.col("v"), "x")) == [("k", "a", 1, None), ("k", "b", None, 1), ("k", "c", 3, 1)]

@@ -109,8 +109,12 @@ def test_edge_cases(spark):
     # How the grains stand to each other inside the join key.
     want = "equal proper_subset proper_superset equal incomparable equal proper_subset equal proper_subset equal equal proper_superset equal incomparable equal equal".split()
     assert [derived[e[0]].jk_rel for e in sw.EDGE_CASES] == want
-    rows = sw.sweep(spark.range(16 * 50), "id", sw.edge_cases(spark), 16).collect()
-    assert all(r[p] != "fail" for r in rows for p in sw.PROPERTIES)
+    sizes = {}
+    for pool in (None, 16):  # even, and with one frequent join-key value
+        rows = sw.sweep(spark.range(16 * 50), "id", sw.edge_cases(spark), 16, skew_pool=pool).collect()
+        assert len(rows) == 16 and all(r[p] != "fail" and r.n_rows > 0 for r in rows for p in sw.PROPERTIES)
+        sizes[pool] = sum(r.n_rows for r in rows)
+    assert sizes[16] > sizes[None]
 
 
 def test_random_configurations_reach_every_class(spark):

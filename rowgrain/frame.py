@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
+from rowgrain.operators import verify as vf
 from rowgrain.spec import (
     FD, EQUAL, Columns, FanTrap, GrainError, GrainLost, GrainMismatch, GrainSpec,
     MissingColumns, closure, columns, compare_grains, join_grain, minimal_sets, outer_join_grain,
@@ -77,6 +78,10 @@ class GrainedFrame:
             raise GrainMismatch(f"grain is {sorted(self.grain)}, asked for {sorted(wanted)}")
         return self
 
+    def check(self) -> DataFrame:
+        """The declared grain measured on the rows: unique, and no column of it can go."""
+        return vf.accept_grain(self.df, self.grain)
+
     def _with(self, df: DataFrame, **changes) -> "GrainedFrame":
         return GrainedFrame(df, replace(self.spec, **changes))
 

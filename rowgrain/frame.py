@@ -18,6 +18,7 @@ from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
 from rowgrain.operators import verify as vf
+from rowgrain.session import cut_lineage
 from rowgrain.spec import (
     FD, EQUAL, Columns, FanTrap, GrainError, GrainLost, GrainMismatch, GrainSpec,
     MissingColumns, closure, columns, compare_grains, join_grain, minimal_sets, outer_join_grain,
@@ -82,6 +83,10 @@ class GrainedFrame:
         """The declared grain measured on the rows: unique, and no column of it can go."""
         return vf.accept_grain(self.df, self.grain)
 
+    def checkpoint(self) -> "GrainedFrame":
+        """Store the rows in the shared checkpoint folder and go on from there."""
+        return self._with(cut_lineage(self.df), clustered=None)
+
     def _with(self, df: DataFrame, **changes) -> "GrainedFrame":
         return GrainedFrame(df, replace(self.spec, **changes))
 

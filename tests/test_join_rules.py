@@ -3,7 +3,8 @@
 import random
 from itertools import combinations
 
-from rowgrain.spec import join_grain, outer_join_grain
+from rowgrain.frame import _join_fds
+from rowgrain.spec import EQUAL, FD, GrainSpec, compare_grains, join_grain, outer_join_grain
 
 
 def random_table(rng, cols, grain, size=7, values=3):
@@ -88,3 +89,41 @@ def test_inner_rule_would_be_wrong_for_outer_joins():
         rows = join(random_table(rng, lcols, g1), random_table(rng, rcols, g2), jk, "full", lcols, rcols)
         broken += not unique(rows, join_grain(g1, g2, jk).f1)
     assert broken > 0
+
+
+def holds(rows, fd):
+    seen = {}
+    for r in rows:
+        lhs, rhs = tuple(r[c] for c in sorted(fd.lhs)), tuple(r[c] for c in sorted(fd.rhs))
+        if seen.setdefault(lhs, rhs) != rhs:
+            return False
+    return True
+
+
+def test_dependencies_claimed_after_a_join_hold():
+    for how in ("inner", "left", "right", "full"):
+        for rng, jk, lcols, rcols, g1, g2 in trials(500, 5):
+            rows = join(random_table(rng, lcols, g1), random_table(rng, rcols, g2), jk, how, lcols, rcols)
+            claimed = _join_fds(
+                (GrainSpec(g1), lcols, how in ("right", "full")), (GrainSpec(g2), rcols, how in ("left", "full")), frozenset(jk)
+            )
+            assert claimed and all(holds(rows, fd) for fd in claimed), (how, g1, g2, jk)
+
+
+def test_measures_called_safe_are_not_repeated():
+    """Where home grain and frame grain count as equal, each home row is there at most once."""
+    checked = 0
+    for how in ("inner", "left", "right", "full"):
+        for rng, jk, lcols, rcols, g1, g2 in trials(500, 6):
+            left, right = random_table(rng, lcols, g1), random_table(rng, rcols, g2)
+            rows = join(left, right, jk, how, lcols, rcols)
+            fds = _join_fds(
+                (GrainSpec(g1), lcols, how in ("right", "full")), (GrainSpec(g2), rcols, how in ("left", "full")), frozenset(jk)
+            )
+            grain = join_grain(g1, g2, jk).grain if how == "inner" else outer_join_grain(g1, g2, jk, how)
+            fds += (FD(grain, frozenset(lcols + rcols)),)
+            if compare_grains(g1, grain, fds) == EQUAL:
+                real = [r for r in rows if any({c: r[c] for c in lcols} == l for l in left)]
+                assert unique(real, g1), (how, g1, g2, jk)
+                checked += 1
+    assert checked > 50

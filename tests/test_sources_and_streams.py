@@ -117,3 +117,5 @@ def test_checkpoint_folder_of_the_session_is_used(spark, tmp_path, monkeypatch):
     df = cut_lineage(spark.range(5).selectExpr("id * 2 as x"))
     assert rows(df) == [(0,), (2,), (4,), (6,), (8,)]
     assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    frame = from_rows(spark, [(1, 2)], "k int, v int", "k").checkpoint()
+    assert frame.grain == {"k"} and rows(frame.df) == [(1, 2)]

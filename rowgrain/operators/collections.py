@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowgrain.functions.columns import fresh, key
+from rowgrain.functions.columns import fresh
 from rowgrain.operators.joins import anti_join, semi_join
 from rowgrain.operators.ordered import first_per_key
 

@@ -147,24 +147,22 @@ def as_of(
     """Give each lookup row the payload of the newest version with ``since <= at``.
 
     Both tables are laid on one time line per key and the version is carried
-    forward, so no pair of lookup and version is ever formed.
+    forward, so no pair of lookup and version is ever formed.  Of versions with
+    one start the greatest by ``tie`` counts, or by the payload without one.
     """
     cells = F.struct(F.col(since), *[F.col(c) for c in payload])
-    row_cols = list(lookups.columns)
-    left = lookups.select(
-        *keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*row_cols).alias("_lookup"),
-        F.lit(None).cast(versions.select(cells.alias("c")).schema["c"].dataType).alias("_version"),
-    )
-    tie_col = F.struct(*tie) if tie else None
-    newest = versions.groupBy(*keys, since).agg(
-        (F.max_by(cells, tie_col) if tie_col is not None else F.max(cells)).alias("_version")
+    rank = F.struct(*tie) if tie else cells
+    right = versions.select(
+        *keys, F.col(since).alias("_t"), F.lit(0).alias("_side"), rank.alias("_rank"), cells.alias("_version"),
+        F.lit(None).cast(lookups.select(F.struct(*lookups.columns).alias("l")).schema["l"].dataType).alias("_lookup"),
     )
-    right = newest.select(
-        *keys, F.col(since).alias("_t"), F.lit(0).alias("_side"),
-        F.lit(None).cast(left.schema["_lookup"].dataType).alias("_lookup"), "_version",
+    none = lambda c: F.lit(None).cast(right.schema[c].dataType).alias(c)
+    left = lookups.select(
+        *keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), none("_rank"), none("_version"),
+        F.struct(*lookups.columns).alias("_lookup"),
     )
     line = right.unionByName(left)
-    found = carry(line, keys, ["_t", "_side"], F.col("_version"), "_found", inclusive=True, **kw)
+    found = carry(line, keys, ["_t", "_side", "_rank"], F.col("_version"), "_found", inclusive=True, **kw)
     return found.filter(F.col("_side") == 1).select(
         "_lookup.*", *[F.col("_found")[c].alias(c) for c in [since, *payload]]
     )

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgrain.frame import GrainedFrame

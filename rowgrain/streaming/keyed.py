@@ -36,7 +36,6 @@ def upsert_batches(
 
     def step(batch: DataFrame, number: int) -> None:
         current = read_current()
-        new = coll.dedup(batch, k, order)
-        write_next(new if current is None else coll.upsert(current, new, k, order), number)
+        write_next(coll.dedup(batch, k, order) if current is None else coll.upsert(current, batch, k, order), number)
 
     return step

@@ -99,6 +99,15 @@ def test_as_of_against_brute_force(spark, table, hot_rows):
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("hot_rows", [1, 10_000])
+def test_as_of_picks_one_of_several_versions_with_one_start(spark, hot_rows):
+    versions = spark.createDataFrame([(1, 5, "x", 2), (1, 5, "y", 1), (1, 7, "z", 0)], "k int, since int, v string, no int")
+    lookups = spark.createDataFrame([(1, 5), (1, 6), (1, 9), (1, 4)], "k int, at int")
+    ask = lambda **kw: {r.at: r.v for r in od.as_of(lookups, versions, ["k"], "at", "since", ["v"], hot_rows=hot_rows, **kw).collect()}
+    assert ask() == {4: None, 5: "y", 6: "y", 9: "z"}
+    assert ask(tie=["no"]) == {4: None, 5: "x", 6: "x", 9: "z"}
+
+
 def test_latest_and_first(table):
     data, df = table
     best = {}

@@ -171,9 +171,9 @@ def r7_subset_entities(spark, sf):
 
 
 @query("r8_partition", """
-    SELECT 'by_status' AS split, COUNT(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F', 'P')) AS n_missing, 0 AS n_foreign, 0 AS n_overlapping,
+    SELECT 'by_status' AS split, COUNT(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F', 'P')) AS n_missing, 0::BIGINT AS n_foreign, 0::BIGINT AS n_overlapping,
            COUNT(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F', 'P')) = 0 AS is_partition FROM orders
-    UNION ALL SELECT 'overlapping', 0, 0, COUNT(*) FILTER (WHERE o_orderstatus = 'F'), COUNT(*) FILTER (WHERE o_orderstatus = 'F') = 0 FROM orders""")
+    UNION ALL SELECT 'overlapping', 0::BIGINT, 0::BIGINT, COUNT(*) FILTER (WHERE o_orderstatus = 'F'), COUNT(*) FILTER (WHERE o_orderstatus = 'F') = 0 FROM orders""")
 def r8_partition(spark, sf):
     orders = raw(spark, sf, "orders")
     parts = [orders.filter(F.col("o_orderstatus") == s) for s in ("O", "F", "P")]

@@ -238,11 +238,11 @@ def j9_full_outer(spark, sf):
 
 @query("j10_left_outer", """
     WITH e AS (SELECT user_id, COUNT(*) AS n_events, MAX(ts) AS last_seen FROM events GROUP BY user_id)
-    SELECT c_custkey, c_mktsegment, n_events, last_seen FROM customer LEFT JOIN e ON c_custkey = user_id""")
+    SELECT c_custkey, c_mktsegment, COALESCE(n_events, 0) AS n_events, last_seen FROM customer LEFT JOIN e ON c_custkey = user_id""")
 def j10_left_outer(spark, sf):
     e = frame(spark, sf, "events").aggregate("user_id", n_events=ag.rows(), last_seen=ag.greatest("ts"))
     joined = frame(spark, sf, "customer").join(e, [("c_custkey", "user_id")], "left").expect_grain("c_custkey")
-    return joined.select("c_custkey", "c_mktsegment", "n_events", "last_seen").df
+    return joined.select("c_custkey", "c_mktsegment", "n_events", "last_seen").df.fillna(0, ["n_events"])
 
 
 @query("j11_semi_join", """

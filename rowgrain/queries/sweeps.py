@@ -159,7 +159,7 @@ def _edge_masks():
         r1, g1, r2, g2, jk = (x.split() for x in (r1, g1, r2, g2, jk))
         left = [c for c in r1 if c not in jk] + jk
         mask = lambda cols, g: sum(1 << p for p, c in enumerate(cols) if c in g)
-        rows.append(f"({no}, {len(jk)}, {len(left) - len(jk)}, {len(r2) - len(jk)}, {mask(left, g1)}::BIGINT, {mask(r2, g2)}::BIGINT)")
+        rows.append(f"({no}::BIGINT, {len(jk)}, {len(left) - len(jk)}, {len(r2) - len(jk)}, {mask(left, g1)}::BIGINT, {mask(r2, g2)}::BIGINT)")
     return f"c AS (SELECT * FROM (VALUES {', '.join(rows)}) x(config_id, n_jk, n_left, n_right, g1_mask, g2_mask))"
 
 

@@ -45,7 +45,12 @@ def code(prefix: str, number: Column, width: int) -> Column:
 
 def digit(number: Column, divisor: int, base: int) -> Column:
     """One digit of a mixed-radix counter, starting at 1."""
-    return (F.floor(number / F.lit(divisor)) % F.lit(base) + F.lit(1)).cast("long")
+    return (whole_division(number, divisor) % F.lit(base) + F.lit(1)).cast("long")
+
+
+def whole_division(a: Column, b: int) -> Column:
+    """Division of whole numbers without a detour through floating point."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def hashed(parts: Sequence[Column | str], modulus: int) -> Column:

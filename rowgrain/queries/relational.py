@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import code
+from rowgrain.functions.columns import code, whole_division
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
@@ -505,7 +505,7 @@ def u3_all_columns(spark, sf):
            (o_custkey, o_orderstatus) = (o_orderkey, 'F') AS same_tuple FROM orders""")
 def f_scalar_functions(spark, sf):
     return raw(spark, sf, "orders").select(
-        "o_orderkey", code("O", F.col("o_orderkey"), 12).alias("code"), F.expr("o_orderkey div 7").alias("quotient"),
+        "o_orderkey", code("O", F.col("o_orderkey"), 12).alias("code"), whole_division(F.col("o_orderkey"), 7).alias("quotient"),
         (F.col("o_orderkey") % 7).alias("remainder"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("due"),
         F.array_join(F.array(F.col("o_custkey").cast("string"), "o_orderstatus"), "|").alias("text_key"),
         F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("open")).alias("status"),

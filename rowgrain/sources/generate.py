@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import digit, hashed
+from rowgrain.functions.columns import digit, hashed, whole_division
 
 DISTRIBUTIONS = ("uniform", "skewed", "extreme_low", "extreme_high")
 
@@ -101,12 +101,12 @@ def generate_table(
     i = F.col("id")
     index = pool_index(i, pool, distribution if rest else "extreme_high", seed)
     # With a key column in the grain, the rest only has to tell rows of one key value apart.
-    within = i if distribution == "skewed" or set(rest) == set(grain) else F.floor(i / F.lit(pool)).cast("long")
+    within = i if distribution == "skewed" or set(rest) == set(grain) else whole_division(i, pool)
     cols = {}
     for no, c in enumerate(sorted(jk)):
         cols[c] = pool_value(index + F.lit(seed % 1000), no, len(jk))
     for no, c in enumerate(rest):
-        step = F.floor(within / F.lit(2**no))
+        step = whole_division(within, 2**no)
         cols[c] = (step if no == len(rest) - 1 else step % 2).cast("long") + F.lit(1)
     for c in fields:
         if c not in cols:

@@ -50,7 +50,17 @@ def kinds(rows):
     return out
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def differences(df, con, sql):
+    types = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    wanted = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != wanted:
+        return f"types {types} != {wanted}"
     got_names, got = table(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     want_names, want = table([d[0] for d in cur.description], cur.fetchall())

@@ -211,6 +211,14 @@ def test_counter_and_partner(spark):
     assert left.join(right, ["a", "b"]).limit(1).count() == 1
 
 
+def test_digits_of_numbers_beyond_double_precision(spark):
+    from rowgrain.functions.columns import digit
+
+    big = [2**53 + 1, 2**60 + 7, 10**18 - 1]
+    df = spark.createDataFrame([(n,) for n in big], "n bigint").select("n", digit(F.col("n"), 3, 1000).alias("d"))
+    assert {r.n: r.d for r in df.collect()} == {n: n // 3 % 1000 + 1 for n in big}
+
+
 def test_shuffled_is_repeatable(spark):
     ids = lambda seed: [r.id for r in gen.shuffled(spark.range(50), ["id"], seed).collect()]
     assert ids(1) == ids(1) != ids(2) and sorted(ids(1)) == list(range(50)) != ids(1)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgrain.frame import GrainedFrame
+from rowgrain.functions.columns import position
 from rowgrain.operators.collections import count_sides
 from rowgrain.operators.joins import equi_join, unmatched
-from rowgrain.operators.ordered import HOT_ROWS, carry, latest_per_key, next_row, previous_row
+from rowgrain.operators.ordered import HOT_ROWS, latest_per_key, next_row, previous_row
 from rowgrain.operators.verify import duplicates
 from rowgrain.spec import GrainError
 
@@ -96,7 +97,6 @@ def states_at(
     times: DataFrame,
     at: str,
     tie: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The state of every entity at every snapshot time: ``at, ek, since, payload``.
 
@@ -104,40 +104,48 @@ def states_at(
     period only the newest version is kept (an aggregate, so a busy entity is
     one row per task and period).  It stands for the snapshot that ends its
     period and for the following ones, up to the next period with a version.
+
+    One small job measures the span of the snapshot times.
     """
+    moments = times.select(F.col(at).alias("_at")).filter(F.col("_at").isNotNull()).distinct()
+    moment_pos, version_pos = position(moments, "_at"), position(versions, since)
+    if moment_pos is None or version_pos is None:
+        raise GrainError("snapshot times have to be numbers, dates or times")
+    low, high, n = moments.agg(F.min(moment_pos), F.max(moment_pos), F.count(F.lit(1))).first()
+    width = (high - low) / n if n > 1 and high > low else 1.0
+    band = lambda pos: F.floor((pos - F.lit(low)) / F.lit(width)).cast("long")
+
     # As many rows as snapshots are asked for, however many versions there are.
-    in_time = Window.orderBy("_t")
-    cuts = (
-        times.select(F.col(at).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
-        .withColumn("_no", F.row_number().over(in_time).cast("long"))
-        .withColumn("_last", F.count(F.lit(1)).over(in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    in_time = Window.orderBy("_at")
+    cuts = moments.select(
+        "_at",
+        F.lag("_at").over(in_time).alias("_before"),
+        F.row_number().over(in_time).cast("long").alias("_no"),
+        moment_pos.alias("_pos"),
+        F.coalesce(F.lag(moment_pos).over(in_time), moment_pos).alias("_pos_before"),
     )
-
-    # First snapshot not before each version, found on one common time line.
-    row = F.struct(*ek, since, *payload, *[c for c in tie if c not in (*ek, since, *payload)])
-    found = versions.select(F.lit(1).alias("_all"), F.col(since).alias("_t"), row.alias("_row"),
-                            F.lit(None).cast("struct<_no:bigint,_last:bigint>").alias("_cut"), F.lit(0).alias("_side"))
-    marks = cuts.select(F.lit(1).alias("_all"), "_t", F.lit(None).cast(found.schema["_row"].dataType).alias("_row"),
-                        F.struct("_no", "_last").alias("_cut"), F.lit(1).alias("_side"))
-    line = carry(found.unionByName(marks), ["_all"], ["_t", "_side"], F.col("_cut"), "_next",
-                 backwards=True, hot_rows=hot_rows)
-    dated = line.filter((F.col("_side") == 0) & F.col("_next").isNotNull()).select(
-        "_row.*", F.col("_next._no").alias("_from"), "_next._last"
+    # A period is listed under each band of time it touches, a version under its one band.
+    periods = cuts.select("_at", "_before", "_no", F.explode(F.sequence(band(F.col("_pos_before")), band(F.col("_pos")))).alias("_band"))
+    rest = [c for c in (*payload, *tie) if c not in (*ek, since)]
+    placed = versions.select(
+        *ek, since, *dict.fromkeys(rest), band(F.greatest(version_pos, F.lit(low))).alias("_band")
+    )
+    dated = placed.join(periods, "_band").filter(
+        (F.col(since) <= F.col("_at")) & (F.col("_before").isNull() | (F.col(since) > F.col("_before")))
     )
 
-    newest = latest_per_key(dated, [*ek, "_from"], [since, *tie])
+    newest = latest_per_key(dated.drop("_band", "_at", "_before"), [*ek, "_no"], [since, *tie])
     # At most one row per snapshot and entity from here on.
-    upto = F.lead("_from").over(Window.partitionBy(*ek).orderBy("_from")) - F.lit(1)
-    held = (
-        newest.withColumn("_upto", upto)
-        .withColumn("_no", F.explode(F.sequence("_from", F.coalesce("_upto", "_last"))))
+    upto = F.lead("_no").over(Window.partitionBy(*ek).orderBy("_no")) - F.lit(1)
+    held = newest.withColumn("_upto", F.coalesce(upto, F.lit(n).cast("long"))).withColumn(
+        "_no", F.explode(F.sequence("_no", "_upto"))
     )
-    return held.join(cuts, "_no").select(F.col("_t").alias(at), *ek, since, *payload)
+    return held.join(cuts.select("_no", "_at"), "_no").select(F.col("_at").alias(at), *ek, since, *payload)
 
 
 def snapshot(
     snapshots: DataFrame, at: str, collection: str, versions: DataFrame, ek: Sequence[str], since: str,
-    payload: Sequence[str], hot_rows: int = HOT_ROWS,
+    payload: Sequence[str],
 ) -> Rules:
     """Each moment once, and its collection is exactly the states of all entities then.
 
@@ -147,20 +155,20 @@ def snapshot(
     return {
         "time_not_null": _nulls(snapshots, [at]),
         "time_unique": duplicates(snapshots, [at]),
-        "collection_is_complete": snapshot_differences(told, at, versions, ek, since, payload, snapshots, hot_rows),
+        "collection_is_complete": snapshot_differences(told, at, versions, ek, since, payload, snapshots),
     }
 
 
 def snapshot_differences(
     told: DataFrame, at: str, versions: DataFrame, ek: Sequence[str], since: str, payload: Sequence[str],
-    times: DataFrame, hot_rows: int = HOT_ROWS,
+    times: DataFrame,
 ) -> DataFrame:
     """States told by flat snapshot rows but not true, or true and not told.
 
     Snapshots of many entities are kept flat, one row per moment and entity.
     """
     cols = [at, *ek, since, *payload]
-    true = states_at(versions, ek, since, payload, times, at, hot_rows=hot_rows)
+    true = states_at(versions, ek, since, payload, times, at)
     return count_sides(told.select(*cols), true.select(*cols)).filter(F.col("n_left") != F.col("n_right"))
 
 

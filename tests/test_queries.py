@@ -10,7 +10,11 @@ from conftest import ROOT, SMALL
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry_module  # noqa: E402
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from rowgrain.queries import ORACLES, QUERIES  # noqa: E402
+
+
+def test_all_are_registered():
+    assert QUERIES.keys() <= entry_module.queries().keys() and ORACLES.keys() <= entry_module.oracle_sql().keys()
 
 
 @pytest.fixture(scope="module")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgrain.llm import simhash, vectors
+from rowgrain.llm import imatch, mixing, packing, pii, quality, simhash, token_counts, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +27,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the pseudonyms in the registered queries; a real corpus gets a secret one.
+PSEUDONYM_KEY = "registered queries"
+
+
+@query("op1_pii_pseudonyms")
+def op1(spark, sf):
+    return pii.pseudonymised(table(spark, sf, "documents"), PSEUDONYM_KEY)
+
+
+@query("op2_token_files")
+def op2(spark, sf):
+    return token_files.written_and_read(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
 @query("op3_embedding_near_duplicates")
 def op3(spark, sf):
     return vectors.near_duplicates(table(spark, sf, "embeddings"), cosine=0.9)
 
 
+@query("op4_pfair_mixing")
+def op4(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "source", "block", "release", "deadline", "slot", "in_block", "position", "mixed")
+
+
 @query("op5_simhash_near_duplicates")
 def op5(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), simhash.SimHash(words=4, words64=1, distance=4))
+
+
+@query("op7_token_counts")
+def op7(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query("op8_vector_best_fit_packing")
+def op8(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.Capacity(tokens=2048))
+
+
+@query("op9_quality_factorisation_machine")
+def op9(spark, sf):
+    return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_imatch_fingerprints")
+def op10(spark, sf):
+    return imatch.edit_test(table(spark, sf, "documents"))

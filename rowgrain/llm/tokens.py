@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pre-tokens kept per task; beyond that the cache starts anew.
-CACHE = 400_000
+#: Pre-tokens, and stretches of text, kept per task; beyond that a cache starts anew.
+CACHE = 600_000
 
 #: Outside of these the library cuts the text: white space that classes differ on, and letters beyond Latin-1.
 _UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
@@ -27,6 +28,30 @@ _SPACED = re.compile(rf"{_CLITIC}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\t-\r {_LETT
 _BARE = re.compile(rf"{_CLITIC}|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r {_LETTER}{_NUMBER}]+")
 
 
+def _shown() -> list[str]:
+    """The character that byte-level files use for each byte: printable ones stand for themselves, others are moved up."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    moved = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(moved)) for b in range(256)]
+
+
+_SHOWN = _shown()
+
+
+class _Kept(dict):
+    """Values made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Pieces:
     """Pre-tokens and ids of one tokenizer file."""
 
@@ -39,7 +64,8 @@ class Pieces:
         self.lower = spec["normalizer"] is not None
         self.cut = _BARE if self.lower else _SPACED
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split if self.specials else None
-        self.cache: dict[str, bytes] = {}
+        self.pieces = _Kept(self._piece)
+        self.cache = _Kept(self._chunk if self.lower else lambda chunk: self._chunk(" " + chunk))
 
     def _plain(self, text: str) -> list[str] | None:
         if _UNUSUAL.search(text) is not None:
@@ -70,26 +96,30 @@ class Pieces:
         """Number of ids of each pre-token."""
         return [len(e.ids) for e in self.lib.encode_batch(pretokens, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else "".join([_SHOWN[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch of plain text whose pre-tokens are its own."""
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(chunk)))
+
     def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """Ids of each text (NULL: none), as ``<u4``."""
+        """Ids of each text (NULL: none), as ``<u4``.
+
+        Where white space is dropped, no pre-token goes over it; where a space belongs to the word after it, none goes
+        over the place before a single space.  So stretches between are looked up whole.
+        """
         out = []
         for text in texts:
-            if not text:
-                out.append(np.empty(0, dtype="<u4"))
-                continue
-            if _UNUSUAL.search(text) is not None:
+            text = text or ""
+            odd = _UNUSUAL.search(text) is not None or any(s in text for s in self.specials)
+            if odd or (not self.lower and "  " in text):
                 out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-                continue
-            pieces = self.pretokens(text)
-            cache = self.cache
-            try:
-                raw = b"".join(map(cache.__getitem__, pieces))
-            except KeyError:
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({p for p in pieces if p not in cache})
-                for p, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-                    cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-                raw = b"".join(map(cache.__getitem__, pieces))
-            out.append(np.frombuffer(raw, dtype="<u4"))
+            elif self.lower:
+                out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, text.lower().split())), dtype="<u4"))
+            else:
+                first, *rest = text.split(" ")
+                raw = self._chunk(first) + b"".join(map(self.cache.__getitem__, rest))
+                out.append(np.frombuffer(raw, dtype="<u4"))
         return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgrain.llm import imatch, mixing, packing, pii, quality, simhash, token_counts, token_files, vectors
+from rowgrain.llm import imatch, mixing, packing, pii, quality, simhash, suffixes, token_counts, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,11 @@ def op5(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), simhash.SimHash(words=4, words64=1, distance=4))
 
 
+@query("op6_suffix_intervals")
+def op6(spark, sf):
+    return suffixes.removed(table(spark, sf, "documents"), length=400)
+
+
 @query("op7_token_counts")
 def op7(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)

@@ -33,8 +33,8 @@ class IMatch:
 
     low: float = 0.001
     high: float = 0.3
-    densities: tuple[int, ...] = (4, 6, 8, 10)
-    subsets: int = 16
+    densities: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 10, 12)
+    subsets: int = 8
     least: int = 4
     seed: int = 11
 
@@ -105,15 +105,23 @@ class Fingerprinter:
         return "".join(code)
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of the subsets with terms of either document whose codes agree; 1 for equal fingerprints."""
+def likeness(a: str, b: str, how: IMatch = IMatch(), evidence: int = 8) -> float:
+    """Share of subsets whose codes agree, among those with terms of either document; 1 for equal fingerprints.
+
+    The sparsest subsets are taken first, as one changed term spoils least of them, and denser ones until ``evidence``
+    subsets have terms.
+    """
     if a == b:
         return 1.0
-    none = "0" * DIGITS
-    x = [a[i:i + DIGITS] for i in range(0, len(a), DIGITS)]
-    y = [b[i:i + DIGITS] for i in range(0, len(b), DIGITS)]
-    both = [(p, q) for p, q in zip(x, y) if p != none or q != none]
-    return sum(p == q for p, q in both) / len(both) if both else 0.0
+    none, step = "0" * DIGITS, how.subsets * DIGITS
+    agree = held = 0
+    for lo in range(len(a) - step, -1, -step):
+        codes = [(a[i:i + DIGITS], b[i:i + DIGITS]) for i in range(lo, lo + step, DIGITS)]
+        held += sum(p != none or q != none for p, q in codes)
+        agree += sum(p == q != none for p, q in codes)
+        if held >= evidence:
+            break
+    return agree / held if held else 0.0
 
 
 def fingerprints(docs: DataFrame, how: IMatch = IMatch()) -> DataFrame:
@@ -186,7 +194,7 @@ def edit_test(docs: DataFrame, how: IMatch = IMatch(), parts: int | None = None)
                     ends = make(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
                     number = None if key == -(1 << 63) else key
-                    out.append((number, len(before), digest, its, ends, likeness(its, ends), likeness(its, own)))
+                    out.append((number, len(before), digest, its, ends, likeness(its, ends, how), likeness(its, own, how)))
                 last = None if guest else (part, k, text, own)
             cols = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -70,84 +70,85 @@ def schedule(spark: SparkSession, shares: Mapping[str, int]) -> DataFrame:
     return made.select(source.alias("source"), F.col("e.k").alias("k"), F.col("e.slot").alias("slot"))
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], chunks: int) -> DataFrame:
-    """Adds ``_n``: a running number from 0 within each group (never NULL), by a hash of ``order``.
+def numbered(rows: DataFrame, group: str, order: str, chunks: int) -> DataFrame:
+    """Adds ``_n``: a running number from 0 within each group (never NULL) by the number in ``order``, a hash.
 
     A frequent group is numbered in ``chunks`` parts, moved apart by the sizes of the parts before.
     """
-    part = F.pmod(F.xxhash64(*order, F.lit(5)), F.lit(chunks)).cast("long")
-    dealt = rows.withColumn("_part", part)
-    own = Window.partitionBy(group, "_part").orderBy(F.xxhash64(*order), *order)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(chunks)).cast("long"))
     sizes = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    here = dealt.withColumn("_own", F.row_number().over(own))
+    here = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)))
     return (
         here.join(offsets, [group, "_part"]).withColumn("_n", F.col("_before") + F.col("_own") - 1)
         .drop("_part", "_before", "_own")
     )
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 32, period: int = PERIOD, chunk: int = CHUNK) -> DataFrame:
-    """All rows of ``docs (doc_id, text, source)`` with their place in the mix.
+ADDED = ("block", "release", "deadline", "slot", "in_block", "mixed")
+
 
-    Adds ``block`` (of the source, from 0), ``release`` and ``deadline`` (slots), ``slot`` (taken in), ``in_block``,
-    ``position`` (gapless over the whole mix, from 0) and ``mixed``: true while every source still has blocks.  Columns
-    of these names are replaced.  No row is dropped: where a source runs out its slots stay empty and the others keep
-    their weights among themselves.
+def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 32, period: int = PERIOD, chunk: int = CHUNK) -> DataFrame:
+    """All rows of ``docs (doc_id, text, source)`` with their slot in the mix; ``slot, in_block`` is the order.
+
+    Adds ``block`` (of the source, from 0), ``release`` and ``deadline`` (slots), ``slot`` (taken in), ``in_block`` and
+    ``mixed``: true while every source still has blocks.  Columns of these names are replaced.  No row is dropped:
+    where a source runs out its slots stay empty and the others keep their weights among themselves.
 
     ``weights`` by source; sources without one get the smallest given.  By default the square root of the number of
     rows, which lifts small sources.  A NULL source is a source of its own, named by the empty string here and equal
-    to it.  Rows within a source are in hashed order; ties are equal rows.  An empty table gives an empty result.
+    to it.  Rows within a source are in hashed order; only equal rows tie.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    added = ["block", "release", "deadline", "slot", "in_block", "position", "mixed"]
-    name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.drop(*added).withColumn("_source", name)
+    rows = docs.drop(*ADDED).withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_h": F.xxhash64("doc_id", "text")})
     # One row per source; their number is bounded by the period.
     counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
     if len(counts) > period:
         raise ValueError("more sources than slots in a period")
     if not counts:
-        return docs.drop(*added).select("*", *[F.lit(None).cast("boolean" if c == "mixed" else "long").alias(c) for c in added])
-    if weights is None:
-        weights = {s: n**0.5 for s, n in counts.items()}
-    weights = {s: weights.get(s, min(weights.values())) for s in counts}
-    shares = whole_shares(weights, period)
-    total = sum(counts.values())
-    order = [c for c in ("doc_id", "text") if c in docs.columns]
-    seq = numbered(rows, "_source", order, max(1, -(-total // chunk)))
+        return docs.drop(*ADDED).select("*", *[F.lit(None).cast("boolean" if c == "mixed" else "long").alias(c) for c in ADDED])
+    weights = weights or {s: n**0.5 for s, n in counts.items()}
+    shares = whole_shares({s: weights.get(s, min(weights.values())) for s in counts}, period)
+    # The schedule has one row per slot of a period.
+    steps = schedule(spark, shares)
+    slots: dict[str, list[int]] = {}
+    for r in steps.orderBy("slot").collect():
+        slots.setdefault(r["source"], []).append(r["slot"])
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    empty = min(blocks[s] // shares[s] * period + slots[s][blocks[s] % shares[s]] for s in counts)  # the first slot left empty
+    seq = numbered(rows, "_source", "_h", max(1, -(-sum(counts.values()) // chunk)))
     share = F.coalesce(*[F.when(F.col("_source") == s, F.lit(w).cast("long")) for s, w in shares.items()])
-    k, p = F.col("block"), F.lit(period).cast("long")
+    k, w, p = F.col("block"), F.col("_w"), F.lit(period).cast("long")
     seq = seq.withColumns({"block": F.floor(F.col("_n") / block).cast("long"), "in_block": F.pmod("_n", F.lit(block)).cast("long"), "_w": share})
-    seq = seq.withColumn("_k", F.pmod(k, F.col("_w")))
-    # The schedule has one row per slot of a period.
-    plan = F.broadcast(schedule(spark, shares).select(F.col("source").alias("_source"), F.col("k").alias("_k"), F.col("slot").alias("_slot")))
-    placed = seq.join(plan, ["_source", "_k"]).withColumns({
-        "slot": F.floor(k / F.col("_w")).cast("long") * p + F.col("_slot"),
-        "release": F.floor(k * p / F.col("_w")).cast("long"),
-        "deadline": F.ceil((k + 1) * p / F.col("_w")).cast("long"),
+    plan = F.broadcast(steps.select(F.col("source").alias("_source"), F.col("k").alias("_k"), F.col("slot").alias("_slot")))
+    out = seq.withColumn("_k", F.pmod(k, w)).join(plan, ["_source", "_k"]).withColumns({
+        "slot": F.floor(k / w).cast("long") * p + F.col("_slot"), "release": F.floor(k * p / w).cast("long"),
+        "deadline": F.ceil((k + 1) * p / w).cast("long"),
     })
-    # The first slot that a source leaves empty.
-    pattern: dict[str, list[int]] = {}
-    for r in schedule(spark, shares).orderBy("slot").collect():
-        pattern.setdefault(r["source"], []).append(r["slot"])
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    empty = min(blocks[s] // shares[s] * period + pattern[s][blocks[s] % shares[s]] for s in counts)
+    return out.withColumn("mixed", F.col("slot") < F.lit(empty)).select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 32, period: int = PERIOD, chunk: int = CHUNK) -> DataFrame:
+    """:func:`placed` with ``position``, gapless over the whole mix, from 0."""
+    rows = placed(docs.drop("position"), weights, block, period, chunk)
     # Rows before a slot: those of the runs of slots before it, and those before it in its run.
-    width = max(1, chunk // block)
-    placed = placed.withColumn("_run", F.floor(F.col("slot") / width).cast("long"))
-    runs = placed.groupBy("_run").agg(F.count(F.lit(1)).alias("_size"))
+    rows = rows.withColumn("_run", F.floor(F.col("slot") / max(1, chunk // block)).cast("long"))
+    runs = rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_size")).withColumn("_top", F.floor(F.col("_run") / 1024).cast("long"))
     # Two levels of sums, so that no task takes the list of all runs.
-    upper = runs.groupBy(F.floor(F.col("_run") / 1024).cast("long").alias("_top")).agg(F.sum("_size").alias("_sum"))
-    tops = upper.select("_top", F.coalesce(F.sum("_sum").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    low = Window.partitionBy("_top").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    upper = runs.groupBy("_top").agg(F.sum("_size").alias("_sum"))
+
+    def before(column: str, order: str, by: Window | None = None) -> Column:
+        w = by.orderBy(order) if by is not None else Window.orderBy(order)
+        return F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    tops = upper.select("_top", before("_sum", "_top").alias("_above"))
     starts = (
-        runs.withColumn("_top", F.floor(F.col("_run") / 1024).cast("long"))
-        .withColumn("_low", F.coalesce(F.sum("_size").over(low), F.lit(0))).join(tops, "_top")
+        runs.withColumn("_low", before("_size", "_run", Window.partitionBy("_top"))).join(tops, "_top")
         .select("_run", (F.col("_low") + F.col("_above")).alias("_start"))
     )
-    own = Window.partitionBy("_run").orderBy("slot", "in_block")
-    out = placed.withColumn("_row", F.row_number().over(own)).join(starts, "_run")
-    out = out.withColumns({"position": F.col("_start") + F.col("_row") - 1, "mixed": F.col("slot") < F.lit(empty)})
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    own = F.row_number().over(Window.partitionBy("_run").orderBy("slot", "in_block"))
+    return (
+        rows.withColumn("_row", own).join(starts, "_run").withColumn("position", F.col("_start") + F.col("_row") - 1)
+        .select(*rows.drop("_run").columns, "position")
+    )

@@ -3,8 +3,9 @@
 A document takes tokens, one place in the document count, and attention cost (the square of its length).  Pieces go
 in order of falling size to the open sequence that fits best under every capacity: the one with the smallest weighted
 product of what is left in it and what the piece takes (``dot``), or with the smallest weighted norm of what would be
-left (``norm``).  Full pieces are sequences of their own; the others are dealt out evenly over shards of a fixed
-number of pieces, so that a shard leaves at most one sequence far from full and any number of shards works alike.
+left (``norm``).  Full pieces are sequences of their own; the others are packed with those of the documents next to
+them in the input, in shards of a bounded number of documents, so that a sequence keeps the mix of its input and a
+shard leaves about one sequence far from full.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from rowgrain.llm.tokens import Pieces
 from rowgrain.session import cut_lineage
 
-#: Pieces packed together.
+#: Documents packed together; a document has one piece at most that is not full.
 SHARD = 8192
 
 
@@ -106,24 +107,21 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) ->
 
 
 def pack(cut: DataFrame, cap: Capacity = Capacity(), shard: int = SHARD) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows of ``row, piece, length``; a bounded number of rows per task.
+    """Adds ``sequence_id`` and ``offset`` to rows of ``row, piece, length``; at most ``shard`` rows are packed at once.
 
     Sequences are numbered with gaps.
     """
     alone = F.col("length") == cap.tokens
-    n = cut.filter(~alone).count()
-    shards = max(1, -(-n // shard))
     # Full pieces need no partner; their numbers are negative, those of the shards are not.
     single = cut.filter(alone).withColumns({
         "sequence_id": F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
     })
-    key = F.xxhash64("row", "piece", F.lit(17))
-    dealt = cut.filter(~alone).withColumn("shard", F.pmod(key, F.lit(shards)).cast("long"))
+    dealt = cut.filter(~alone).withColumn("shard", F.floor(F.col("row") / shard).cast("long"))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["row", "piece"], kind="stable")
         bins, offset = best_fit(part["length"].to_numpy(), cap)
-        return part.assign(sequence_id=part["shard"].to_numpy() * (1 << 32) + bins, offset=offset)
+        return part.assign(sequence_id=part["shard"].to_numpy() * shard + bins, offset=offset)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     mixed = dealt.groupBy("shard").applyInPandas(packed, f"{fields}, sequence_id long, offset long").drop("shard")

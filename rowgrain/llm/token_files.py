@@ -34,8 +34,9 @@ _ONE = 12  # bits of a probability
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 46)
 _W = np.uint64(16)
 _SIZE1, _SIZE2, _SURE = 12, 13, 15
-_STEP, _LIMIT = 24, 4096 - 24
-_NIBBLE = np.arange(16, dtype=np.uint16)
+_STEP, _LIMIT = 24, (1 << 14) - 24
+#: What a half-byte adds to the running sums.
+_ADD = np.triu(np.full((16, 16), _STEP, dtype=np.uint16))
 
 #: Logistic scale in whole numbers: 8 bits after the point.
 _SQUASH = np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], dtype=np.int64).clip(16, 4080)
@@ -94,26 +95,32 @@ class _Model:
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = x
 
-    def rows(self, n: int, k: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, lane: np.ndarray, k: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running sums of half-byte ``k`` after the half-bytes ``before``, and where they are kept."""
-        at = (self.lane[:n] << (4 * k)) + before
-        return self.sums[k][at], at
+        at = (lane << (4 * k)) + before
+        return self.sums[k].take(at, axis=0), at
 
-    def count(self, k: int, at: np.ndarray, rows: np.ndarray, digit: np.ndarray, new: np.ndarray) -> None:
-        rows += (_NIBBLE >= digit[:, None]) * np.where(new, _STEP, 0).astype(np.uint16)[:, None]
+    def count(self, k: int, at: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
+        rows += _ADD.take(digit, axis=0)
         full = np.flatnonzero(rows[:, 15] > _LIMIT)
         if full.size:
             rows[full] = np.cumsum(np.diff(rows[full], axis=1, prepend=np.uint16(0)) + 1 >> 1, axis=1)
         self.sums[k][at] = rows
 
 
-def _bounds(rows: np.ndarray, digit: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, width and total of a half-byte; the whole range in lanes that code none."""
-    lane = np.arange(len(rows))
-    total = rows[:, 15].astype(np.uint64)
-    high = rows[lane, digit].astype(np.uint64)
-    low = np.where(digit > 0, rows[lane, digit - 1], 0).astype(np.uint64)
-    return np.where(new, low, 0), np.where(new, high - low, total), total
+def _bounds(rows: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of a half-byte."""
+    flat, at = rows.ravel(), np.arange(0, 16 * len(rows), 16) + digit
+    start = flat.take(at - 1, mode="wrap") * (digit > 0)
+    return start.astype(np.uint64), (flat.take(at) - start).astype(np.uint64)
+
+
+def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose highest word is settled, and the width left there (cut where it has become too small)."""
+    agreed = (low ^ (low + (width - np.uint64(1)))) < _TOP
+    at = np.flatnonzero(agreed | (width < _BOTTOM))
+    wide = width[at]
+    return at, np.where(agreed[at], wide, _BOTTOM - (low[at] & (_BOTTOM - np.uint64(1))))
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -128,24 +135,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     out, used = np.zeros(lanes * room, dtype="<u2"), np.arange(lanes) * room
 
-    def narrow(n: int, start, part, total) -> None:
-        r = width[:n] // total
-        low[:n] += r * start.astype(np.uint64)
-        width[:n] = r * part.astype(np.uint64)
-
-    def pass_on(n: int) -> None:
-        at = np.arange(n)
-        while at.size:
-            lo, wide = low[at], width[at]
-            agreed = (lo ^ (lo + (wide - np.uint64(1)))) < _TOP
-            small = ~agreed & (wide < _BOTTOM)
-            keep = agreed | small
-            at, lo, wide, small = at[keep], lo[keep], wide[keep], small[keep]
-            wide = np.where(small, _BOTTOM - (lo & (_BOTTOM - np.uint64(1))), wide)
-            out[used[at]] = lo >> np.uint64(48)
-            used[at] += 1
-            low[at] = lo << _W
-            width[at] = np.minimum(wide, _TOP - np.uint64(1)) << _W
+    def pass_on(lane: np.ndarray) -> None:
+        while lane.size:
+            at, wide = _settled(low[lane], width[lane])
+            lane = lane[at]
+            out[used[lane]] = low[lane] >> np.uint64(48)
+            used[lane] += 1
+            low[lane] <<= _W
+            width[lane] = np.minimum(wide, _TOP - np.uint64(1)) << _W
 
     for t in range(longest):
         n = int(np.searchsorted(-size, -t, side="left"))
@@ -153,18 +150,24 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict(n)
         hit2 = (model.f2 > 0) & (model.g2 == x)
         hit1 = ~hit2 & (model.f1 > 0) & (model.g1 == x)
-        new = ~(hit1 | hit2)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        narrow(n, start, np.where(hit2, model.f2, np.where(hit1, model.f1, 4096 - model.f2 - model.f1)), np.uint64(4096))
-        before = np.zeros(n, dtype=np.int64)
+        both = model.f2 + model.f1
+        r = width[:n] >> np.uint64(_ONE)
+        low[:n] += r * np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(np.uint64)
+        width[:n] = r * np.where(hit2, model.f2, np.where(hit1, model.f1, 4096 - both)).astype(np.uint64)
+        new = np.flatnonzero(~(hit1 | hit2))
+        y, before = x[new], np.zeros(len(new), dtype=np.int64)
         for k in range(4):
-            digit = (x >> (12 - 4 * k)) & 15
-            rows, at = model.rows(n, k, before)
-            narrow(n, *_bounds(rows, digit, new))
-            model.count(k, at, rows, digit, new)
+            digit = (y >> (12 - 4 * k)) & 15
+            rows, at = model.rows(new, k, before)
+            start, part = _bounds(rows, digit)
+            r = width[new] // rows[:, 15]
+            low[new] += r * start
+            width[new] = r * part
+            model.count(k, at, rows, digit)
             before = before << 4 | digit
-            if k & 1:
-                pass_on(n)
+            if k == 1:
+                pass_on(new)
+        pass_on(model.lane[:n])
         model.learn(n, x)
     made: list[bytes] = [b""] * lanes
     for k, i in enumerate(order):
@@ -193,49 +196,44 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     ids = np.zeros((longest, lanes), dtype=np.int64)
 
-    def narrow(n: int, start, part, r) -> None:
-        low[:n] += r * start.astype(np.uint64)
-        width[:n] = r * part.astype(np.uint64)
-
-    def take_in(n: int) -> None:
-        at = np.arange(n)
-        while at.size:
-            lo, wide = low[at], width[at]
-            agreed = (lo ^ (lo + (wide - np.uint64(1)))) < _TOP
-            small = ~agreed & (wide < _BOTTOM)
-            keep = agreed | small
-            at, lo, wide, small = at[keep], lo[keep], wide[keep], small[keep]
-            wide = np.where(small, _BOTTOM - (lo & (_BOTTOM - np.uint64(1))), wide)
-            code[at] = code[at] << _W | stream[used[at]]
-            used[at] += 1
-            low[at] = lo << _W
-            width[at] = np.minimum(wide, _TOP - np.uint64(1)) << _W
+    def take_in(lane: np.ndarray) -> None:
+        while lane.size:
+            at, wide = _settled(low[lane], width[lane])
+            lane = lane[at]
+            code[lane] = code[lane] << _W | stream[used[lane]]
+            used[lane] += 1
+            low[lane] <<= _W
+            width[lane] = np.minimum(wide, _TOP - np.uint64(1)) << _W
 
     for t in range(longest):
         n = int(np.searchsorted(-size, -t, side="left"))
         model.predict(n)
-        r = width[:n] // np.uint64(4096)
-        v = np.minimum((code[:n] - low[:n]) // r, np.uint64(4095)).astype(np.int64)
+        r = width[:n] >> np.uint64(_ONE)
+        v = ((code[:n] - low[:n]) // r).astype(np.int64)
+        both = model.f2 + model.f1
         hit2 = v < model.f2
-        hit1 = ~hit2 & (v < model.f2 + model.f1)
-        new = ~(hit1 | hit2)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        narrow(n, start, np.where(hit2, model.f2, np.where(hit1, model.f1, 4096 - model.f2 - model.f1)), r)
-        known = np.where(hit2, model.g2, model.g1).astype(np.int64)
-        before = np.zeros(n, dtype=np.int64)
+        hit1 = ~hit2 & (v < both)
+        low[:n] += r * np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(np.uint64)
+        width[:n] = r * np.where(hit2, model.f2, np.where(hit1, model.f1, 4096 - both)).astype(np.uint64)
+        new = np.flatnonzero(~(hit1 | hit2))
+        before = np.zeros(len(new), dtype=np.int64)
         for k in range(4):
-            rows, at = model.rows(n, k, before)
-            r = width[:n] // rows[:, 15].astype(np.uint64)
-            v = np.minimum((code[:n] - low[:n]) // r, np.uint64(65535)).astype(np.uint16)
-            digit = np.where(new, np.minimum((rows <= v[:, None]).sum(1), 15), (known >> (12 - 4 * k)) & 15)
-            start, part, _ = _bounds(rows, digit, new)
-            narrow(n, start, part, r)
-            model.count(k, at, rows, digit, new)
+            rows, at = model.rows(new, k, before)
+            r = width[new] // rows[:, 15]
+            v = np.minimum((code[new] - low[new]) // r, np.uint64(65535)).astype(np.uint16)
+            digit = np.minimum((rows <= v[:, None]).sum(1), 15)
+            start, part = _bounds(rows, digit)
+            low[new] += r * start
+            width[new] = r * part
+            model.count(k, at, rows, digit)
             before = before << 4 | digit
-            if k & 1:
-                take_in(n)
-        ids[t, :n] = before
-        model.learn(n, before)
+            if k == 1:
+                take_in(new)
+        take_in(model.lane[:n])
+        x = np.where(hit2, model.g2, model.g1).astype(np.int64)
+        x[new] = before
+        ids[t, :n] = x
+        model.learn(n, x)
     made: list[np.ndarray] = [np.empty(0, dtype="<u4")] * lanes
     for k, i in enumerate(order):
         got = ids[: size[k], k].astype("<u4")

@@ -32,7 +32,7 @@ def whole_shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str
     names = sorted(exact, key=lambda s: (share[s] - exact[s], s))
     i = 0
     while (rest := period - sum(share.values())) != 0:
-        s = names[i % len(names)] if rest > 0 else max(share, key=lambda s: (share[s] - exact[s], share[s], s))
+        s = names[i % len(names)] if rest > 0 else max((s for s in share if share[s] > 1), key=lambda s: (share[s] - exact[s], share[s], s))
         share[s] += 1 if rest > 0 else -1
         i += 1
     return share

@@ -104,7 +104,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         parted = np.concatenate([[True], np.diff(key[order]) != 0])
         fresh = np.empty(n, dtype=np.int64)
         fresh[order] = np.cumsum(parted) - 1
-        if known >= depth:
+        if known >= depth and rank is not None:
             before = np.concatenate([[True], np.diff(rank[order]) != 0])
             return order, before, known // 2
         rank = fresh

@@ -109,7 +109,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
             return order, before, known // 2
         rank = fresh
         after = np.zeros(n, dtype=np.int64)
-        after[: n - known] = rank[known:] + 1
+        after[: max(n - known, 0)] = rank[known:] + 1
         key = rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
         known *= 2
 

@@ -364,7 +364,7 @@ def removed(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     A byte is removed if some string of ``length`` bytes over it also starts anywhere else, in this or another row,
     overlaps included; what is left of other matches does not matter.  Texts are UTF-8; a NULL text is empty.  Rows are
-    told apart by place, which the scan of ``docs`` must repeat, so repeated rows and NULL numbers are documents like
+    told apart by place, so ``docs`` must be a table as read (write it first if it comes from a shuffle), and repeated rows and NULL numbers are documents like
     any other.  Other columns are ignored; an empty table gives an empty result.
     """
     if length < 2 * GRAM:
@@ -378,10 +378,10 @@ def removed(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    index = saved(docs.select("text").mapInArrow(_anchored(length), "key long, row long, place long, start long, windows int"), "index")
+    index = saved(docs.mapInArrow(_anchored(length), "key long, row long, place long, start long, windows int"), "index")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = _salted(index, shared, ["key"]).groupBy("row").agg(F.collect_list(F.struct("key", "n", "place", "start", "windows")).alias("hits"))
-    numbered = docs.select("text", "doc_id").mapInArrow(_numbered, f"row long, text string, doc_id {kind}").withColumn("text", F.coalesce("text", F.lit("")))
+    numbered = docs.mapInArrow(_numbered, f"row long, doc_id {kind}, text string").withColumn("text", F.coalesce("text", F.lit("")))
     # Texts that are equal as a whole: the first stands for all in what follows, and all are removed.
     digest = numbered.select("row", F.sha2("text", 256).alias("sha256"))
     twins = digest.groupBy("sha256").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")

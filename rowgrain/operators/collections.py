@@ -1,6 +1,7 @@
 """Tables as collections that hold one row per grain value.
 
-``k`` is the list of grain columns.  Inputs hold each key once; where a batch
+``k`` is the list of grain columns; a NULL in one is a value like any other,
+so two rows with NULL there have the same key.  Inputs hold each key once; where a batch
 may not, the reduction to one row per key says by an explicit order which row
 is kept.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rowgrain.functions.columns import fresh
-from rowgrain.operators.joins import anti_join, semi_join
+from rowgrain.operators.joins import anti_join, match, semi_join
 from rowgrain.operators.ordered import first_per_key
 
 
@@ -31,14 +32,17 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def lookup(df: DataFrame, k: Sequence[str], values: Mapping) -> DataFrame:
-    """The row of one key, or nothing; the condition reaches the scan."""
+    """The row of one key, or nothing; the condition reaches the scan.
+
+    More than one row comes back where ``k`` is not a key after all.
+    """
     for c in k:
-        df = df.filter(F.col(c) == F.lit(values[c]))
-    return df.limit(1)
+        df = df.filter(F.col(c).isNull() if values[c] is None else F.col(c) == F.lit(values[c]))
+    return df
 
 
 def lookup_many(df: DataFrame, k: Sequence[str], wanted: DataFrame) -> DataFrame:
-    return semi_join(df, wanted, list(k))
+    return semi_join(df, wanted, list(k), null_safe=True)
 
 
 def contains(df: DataFrame, rows: DataFrame, k: Sequence[str], name: str = "is_member") -> DataFrame:
@@ -46,9 +50,8 @@ def contains(df: DataFrame, rows: DataFrame, k: Sequence[str], name: str = "is_m
     (whole,) = fresh([*df.columns, name], "_whole")
     cols = list(rows.columns)
     held = df.select(*k, F.struct(*cols).alias(whole))
-    return rows.join(held, list(k), "left").select(
-        *cols, F.coalesce(F.col(whole).eqNullSafe(F.struct(*[rows[c] for c in cols])), F.lit(False)).alias(name)
-    )
+    found = F.col(whole).isNotNull() & F.col(whole).eqNullSafe(F.struct(*cols))
+    return match(rows, held, list(k), "left", null_safe=True).select(*cols, found.alias(name))
 
 
 def dedup(df: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -58,11 +61,11 @@ def dedup(df: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> Dat
 
 def insert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Add rows whose key is not there yet; a key already present keeps its row."""
-    return coll.unionByName(anti_join(dedup(new, k, order), coll, list(k), right_unique=True))
+    return coll.unionByName(anti_join(dedup(new, k, order), coll, list(k), right_unique=True, null_safe=True))
 
 
 def delete(coll: DataFrame, gone: DataFrame, k: Sequence[str]) -> DataFrame:
-    return anti_join(coll, gone, list(k))
+    return anti_join(coll, gone, list(k), null_safe=True)
 
 
 def upsert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -72,16 +75,16 @@ def upsert(coll: DataFrame, new: DataFrame, k: Sequence[str], order: Sequence[Co
 
 def union(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
     """By key; where both have one, the row of the right side stays."""
-    return right.unionByName(anti_join(left, right, list(k), right_unique=True))
+    return right.unionByName(anti_join(left, right, list(k), right_unique=True, null_safe=True))
 
 
 def intersection(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
     """Rows of the left side whose key is on the right as well."""
-    return semi_join(left, right, list(k), right_unique=True)
+    return semi_join(left, right, list(k), right_unique=True, null_safe=True)
 
 
 def difference(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
-    return anti_join(left, right, list(k), right_unique=True)
+    return anti_join(left, right, list(k), right_unique=True, null_safe=True)
 
 
 def conflicts(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
@@ -89,7 +92,7 @@ def conflicts(left: DataFrame, right: DataFrame, k: Sequence[str]) -> DataFrame:
     rest = [c for c in left.columns if c not in k]
     l = left.select(*k, F.struct(*rest).alias("left_row"))
     r = right.select(*k, F.struct(*rest).alias("right_row"))
-    return l.join(r, list(k)).filter(~F.col("left_row").eqNullSafe(F.col("right_row")))
+    return match(l, r, list(k), "inner", null_safe=True).filter(~F.col("left_row").eqNullSafe(F.col("right_row")))
 
 
 def some_element(df: DataFrame, k: Sequence[str]) -> DataFrame:

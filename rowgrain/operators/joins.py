@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgrain.functions.columns import fresh
 from rowgrain.spec import GrainError
 
 LEFT_SUFFIX, RIGHT_SUFFIX = "_r1", "_r2"
@@ -155,31 +157,46 @@ def theta_join(
 
 
 def semi_join(
-    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False
+    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False, null_safe: bool = False
 ) -> DataFrame:
-    return _existence(left, right, on, "left_semi", right_unique, left_unique)
+    return _existence(left, right, on, "left_semi", right_unique, left_unique, null_safe)
 
 
 def anti_join(
-    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False
+    left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False, null_safe: bool = False
 ) -> DataFrame:
-    return _existence(left, right, on, "left_anti", right_unique, left_unique)
+    return _existence(left, right, on, "left_anti", right_unique, left_unique, null_safe)
 
 
-def _existence(left, right, on, how, right_unique, left_unique) -> DataFrame:
+def _existence(left, right, on, how, right_unique, left_unique, null_safe) -> DataFrame:
     """Right keys are reduced to one each before the shuffle, unless they are known to be unique.
 
     The few keys left are shuffled again for the join, so that Spark can split
-    a frequent key of the left side, unless that is known to be unique.
+    a frequent key of the left side, unless that is known to be unique.  With
+    ``null_safe`` a NULL in a key is a value; else it matches nothing.
     """
     pairs = key_pairs(on)
     keys = [a for a, _ in pairs]
     wanted = right.select(*[F.col(b).alias(a) for a, b in pairs])
+    wanted = wanted if right_unique else wanted.distinct()
     if right_unique or left_unique:
-        wanted = wanted if right_unique else wanted.distinct()
-        return left.join(wanted, on=keys, how=how).select(*left.columns)
-    l, r = _with_companion(left, keys), _with_companion(wanted.distinct(), keys)
-    return l.join(r, on=[*keys, COMPANION], how=how).select(*left.columns)
+        return match(left, wanted, keys, how, null_safe).select(*left.columns)
+    l, r = _with_companion(left, keys), _with_companion(wanted, keys)
+    return match(l, r, [*keys, COMPANION], how, null_safe).select(*left.columns)
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+    """A join on columns of one name; the left side's columns stay, the right side's keys go.
+
+    Spark hashes a comparison that takes NULL for a value like any other.
+    """
+    if not null_safe:
+        return left.join(right, on=list(keys), how=how)
+    names = fresh([*left.columns, *right.columns], *[f"_right_{i}" for i in range(len(keys))])
+    other = right.withColumnsRenamed(dict(zip(keys, names)))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    out = left.join(other, reduce(lambda a, b: a & b, same), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names)
 
 
 def unmatched(df: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence[str]) -> DataFrame:

@@ -118,6 +118,69 @@ def c12_some_element(spark, sf):
     return co.some_element(slices(spark, sf)[0], K)
 
 
+# Keys with NULL ----------------------------------------------------------------
+#
+# Documents without a label have NULL for quality.  One row per quality and language; the second collection lacks a
+# language, has one the first lacks, and counts characters in some rows, so that keys with NULL agree, differ and miss.
+
+NK = ["quality", "lang"]
+NULL_SIDES = """
+    WITH g AS (SELECT quality, lang, COUNT(*) AS n, CAST(SUM(n_chars) AS BIGINT) AS chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+         a AS (SELECT quality, lang, n FROM g WHERE lang <> 'es'),
+         b AS (SELECT quality, lang, CASE WHEN lang = 'en' THEN chars ELSE n END AS n FROM g WHERE lang <> 'de')
+"""
+_SAME = "a.quality IS NOT DISTINCT FROM b.quality AND a.lang = b.lang"
+_ONLY_A = f"SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_SAME})"
+_ONLY_B = f"SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_SAME})"
+
+
+def null_sides(spark, sf):
+    labelled = raw(spark, sf, "documents").join(raw(spark, sf, "labels"), "doc_id", "left")
+    groups = labelled.groupBy(*NK).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    left = groups.filter(F.col("lang") != "es").select(*NK, "n")
+    other = F.when(F.col("lang") == "en", F.col("chars")).otherwise(F.col("n")).alias("n")
+    return left, groups.filter(F.col("lang") != "de").select(*NK, other)
+
+
+@query("c2_lookup_null_keys", NULL_SIDES + f"SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_SAME})")
+def c2_lookup_null_keys(spark, sf):
+    left, right = null_sides(spark, sf)
+    return co.lookup_many(left, NK, right)
+
+
+@query("c3_member_null_keys", NULL_SIDES + f"SELECT a.*, COALESCE(a.n = b.n, FALSE) AS is_member FROM a LEFT JOIN b ON {_SAME}")
+def c3_member_null_keys(spark, sf):
+    left, right = null_sides(spark, sf)
+    return co.contains(right, left, NK)
+
+
+@query("c4_insert_null_keys", NULL_SIDES + f"SELECT * FROM a UNION ALL {_ONLY_B}")
+def c4_insert_null_keys(spark, sf):
+    return co.insert(*null_sides(spark, sf), NK, ["n"])
+
+
+@query("c5_upsert_null_keys", NULL_SIDES + f"{_ONLY_A} UNION ALL SELECT * FROM b")
+def c5_upsert_null_keys(spark, sf):
+    return co.upsert(*null_sides(spark, sf), NK, ["n"])
+
+
+@query("c6_union_null_keys", NULL_SIDES + f"SELECT * FROM b UNION ALL {_ONLY_A}")
+def c6_union_null_keys(spark, sf):
+    return co.union(*null_sides(spark, sf), NK)
+
+
+@query("c8_difference_null_keys", NULL_SIDES + _ONLY_A)
+def c8_difference_null_keys(spark, sf):
+    return co.difference(*null_sides(spark, sf), NK)
+
+
+@query("c9_conflicts_null_keys", NULL_SIDES + f"""
+    SELECT a.quality, a.lang, a.n AS left_n, b.n AS right_n FROM a JOIN b ON {_SAME} WHERE a.n <> b.n""")
+def c9_conflicts_null_keys(spark, sf):
+    found = co.conflicts(*null_sides(spark, sf), NK)
+    return found.select(*NK, F.col("left_row.n").alias("left_n"), F.col("right_row.n").alias("right_n"))
+
+
 # Comparisons -----------------------------------------------------------------
 
 def compare_sql(n_left, n_right, only_left, only_right):

@@ -22,7 +22,7 @@ def as_dict(df):
 
 
 def make(spark, rng, agree=False):
-    keys = rng.sample(range(12), rng.randint(0, 8))
+    keys = rng.sample([*range(11), None], rng.randint(0, 8))
     data = [(k, f"{'x' if agree else rng.choice('pqr')}{k}") for k in keys]
     return dict(data), spark.createDataFrame(data, SCHEMA)
 
@@ -103,3 +103,18 @@ def test_partition(spark):
     swapped = check(low, whole.filter("k in (4, 6, 7, 8, 9)"))  # the counts add up, still wrong
     assert (swapped.n_missing, swapped.n_overlapping) == (1, 1)
     assert check(low, high, spark.createDataFrame([(99,)], "k bigint")).n_foreign == 1
+
+
+def test_null_is_a_key_like_any_other(spark):
+    a = spark.createDataFrame([(None, "p"), (1, "q")], SCHEMA)
+    b = spark.createDataFrame([(None, "r"), (2, "s")], SCHEMA)
+    k = ["k"]
+    assert as_dict(co.union(a, b, k)) == {None: "r", 1: "q", 2: "s"}
+    assert as_dict(co.insert(a, b, k, ["v"])) == {None: "p", 1: "q", 2: "s"}
+    assert as_dict(co.upsert(a, b, k, ["v"])) == {None: "r", 1: "q", 2: "s"}
+    assert as_dict(co.difference(a, b, k)) == {1: "q"} and as_dict(co.intersection(a, b, k)) == {None: "p"}
+    assert rows(co.conflicts(a, b, k).select("k", "left_row.v", "right_row.v").toDF("k", "l", "r")) == [(None, "p", "r")]
+    assert {r.k: r.is_member for r in co.contains(a, a, k).collect()} == {None: True, 1: True}
+    assert {r.k: r.is_member for r in co.contains(a, b, k).collect()} == {None: False, 2: False}
+    assert rows(co.lookup(a, k, {"k": None})) == [(None, "p")] == rows(co.lookup_many(a, k, b))
+    assert co.lookup(a.unionByName(a), k, {"k": 1}).count() == 2, "not a key after all"

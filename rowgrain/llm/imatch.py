@@ -167,13 +167,22 @@ def edited(text: str, after: str) -> str:
 def edit_test(docs: DataFrame, how: IMatch = IMatch(), parts: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they are; and how like the next document's.
 
-    A NULL or empty text has no terms: all codes are zero.  Repeated numbers are ordered by text.  Rows with a NULL
+    A NULL or empty text has no terms: all codes are zero.  Rows of one number stand in a fixed order.  Rows with a NULL
     number come first.  Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(lexicon(docs, how))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ranges(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "k", "text")
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are compressed for the shuffle, and with their length in front."""
+        for b in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+            short = [len(r).to_bytes(8, "little") + pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]
+            yield pa.RecordBatch.from_arrays([b["part"], b["guest"], b["k"], pa.array(short, pa.binary())], names=["part", "guest", "k", "raw"])
+
+    # Twice as many ranges as tasks, so that tasks with several of them are more alike.
+    rows = ranges(docs, 2 * parts).select("part", "guest", "k", "text").mapInArrow(packed, "part int, guest boolean, k long, raw binary")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "guest", "k", "raw")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +190,9 @@ def edit_test(docs: DataFrame, how: IMatch = IMatch(), parts: int | None = None)
         last = None  # part, k, text, fingerprint: waits for its successor
         for b in batches:
             out = []
-            for part, k, guest, text in zip(*(b[c].to_pylist() for c in ("part", "k", "guest", "text"))):
-                text = text or ""
+            for part, k, guest, raw in zip(*(b[c].to_pylist() for c in ("part", "k", "guest", "raw"))):
+                size = int.from_bytes(raw[:8], "little")
+                text = pa.decompress(raw[8:], size, "zstd", asbytes=True).decode("utf-8", "surrogatepass") if raw else ""
                 if last is not None and last[0] != part:
                     last = None
                 if guest and last is None:

@@ -14,6 +14,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgrain.functions.columns import references
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
@@ -106,13 +107,17 @@ class GrainedFrame:
         """Distinct rows of some columns.  No shuffle where the grain is among them already."""
         if self.grain <= set(cols):
             return self.select(*cols)
-        spec = replace(self.spec.restricted(cols), grain=columns(cols), alternatives=(), clustered=columns(cols))
+        spec = replace(self.spec.restricted(cols), grain=columns(cols), alternatives=(), homes={}, clustered=columns(cols))
         if spec.entity_key and not spec.entity_key <= spec.grain:
             spec = replace(spec, entity_key=None)
         return GrainedFrame(self.df.select(*cols).distinct(), spec)
 
     def extend(self, **exprs: Column) -> "GrainedFrame":
-        """Add columns computed from the row; grain columns cannot be overwritten."""
+        """Add columns computed from the row; grain columns cannot be overwritten.
+
+        A computed column is at home where the columns it comes from are, all
+        taken together, so a measure stays guarded under another name.
+        """
         over = sorted(self.grain & set(exprs))
         if over:
             raise GrainLost(f"would overwrite grain columns: {', '.join(over)}")
@@ -120,7 +125,15 @@ class GrainedFrame:
         measures = {m: h for m, h in self.spec.measures.items() if m not in hit}
         fds = tuple(fd for fd in self.spec.fds if not (fd.lhs | fd.rhs) & hit)
         alternatives = tuple(a for a in self.spec.alternatives if not a & hit)
-        return self._with(self.df.withColumns(exprs), measures=measures, fds=fds, alternatives=alternatives)
+        homes = {c: h for c, h in self.spec.homes.items() if c not in hit}
+        if len(set(map(self.spec.home, self.columns))) > 1 or self.repeated_measures():
+            for name, expr in exprs.items():
+                used = references(self.df, expr)
+                if used is None:  # cannot be told, so all columns
+                    used = set(self.columns)
+                if used:
+                    homes[name] = frozenset().union(*map(self.spec.home, used))
+        return self._with(self.df.withColumns(exprs), measures=measures, homes=homes, fds=fds, alternatives=alternatives)
 
     def rename(self, names: Mapping[str, str]) -> "GrainedFrame":
         after = [names.get(c, c) for c in self.df.columns]
@@ -153,7 +166,7 @@ class GrainedFrame:
         if self.grain != ek:
             df = df.distinct()
         spec = self.spec.restricted(wanted)
-        return GrainedFrame(df, replace(spec, grain=ek, entity_key=ek, alternatives=(), measures={}))
+        return GrainedFrame(df, replace(spec, grain=ek, entity_key=ek, alternatives=(), measures={}, homes={}))
 
     def factor(self, determinant: Sequence[str], dependent: Sequence[str]) -> tuple["GrainedFrame", "GrainedFrame"]:
         """Split off columns that depend on ``determinant``; joining the two gives the frame back."""
@@ -212,8 +225,12 @@ class GrainedFrame:
             jk,
         )
         entity = left.entity_key if left.entity_key and left.entity_key <= grain else None
+        homes = {
+            **right.other_homes(names.right.get(c, c) for c in other.columns),
+            **left.other_homes(names.left.get(c, c) for c in self.columns),
+        }
         return GrainedFrame(
-            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures}, clustered=jk)
+            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures}, homes, clustered=jk)
         )
 
     def natural_join(self, other: "GrainedFrame") -> "GrainedFrame":
@@ -254,8 +271,11 @@ class GrainedFrame:
             (right, [rnames.get(c, c) for c in other.columns], False),
             frozenset(),
         )
+        homes = {
+            **right.other_homes(rnames.get(c, c) for c in other.columns), **left.other_homes(lnames.get(c, c) for c in self.columns),
+        }
         return GrainedFrame(
-            df, GrainSpec(left.grain | right.grain, left.entity_key, (), fds, {**left.measures, **right.measures})
+            df, GrainSpec(left.grain | right.grain, left.entity_key, (), fds, {**left.measures, **right.measures}, homes)
         )
 
     def semi_join(self, other: "GrainedFrame | DataFrame", on: str | jn.Pairs) -> "GrainedFrame":
@@ -276,12 +296,11 @@ class GrainedFrame:
     # Aggregation -------------------------------------------------------------
 
     def repeated_measures(self) -> dict[str, Columns]:
-        """Measures whose home grain differs from the frame's: adding them up double-counts."""
+        """Columns whose home grain differs from the frame's: adding them up double-counts."""
         fds = self.fds
-        return {
-            m: h for m, h in self.spec.measures.items()
-            if compare_grains(h, self.grain, fds) != EQUAL
-        }
+        homes = {**self.spec.homes, **self.spec.measures}
+        away = {h for h in set(homes.values()) if compare_grains(h, self.grain, fds) != EQUAL}
+        return {c: h for c, h in homes.items() if h in away}
 
     def aggregate(self, keys: str | Sequence[str], **aggs: ag.Agg) -> "GrainedFrame":
         """Group; the grain becomes the grouping columns.
@@ -306,7 +325,7 @@ class GrainedFrame:
         df = grouped.agg(*exprs) if exprs else self.df.select(*keys).distinct()
         grain = columns(keys)
         spec = replace(self.spec.restricted(keys), grain=grain, alternatives=(), kind=None,
-                       measures={n: grain for n in aggs}, clustered=grain)
+                       measures={n: grain for n in aggs}, homes={}, clustered=grain)
         return GrainedFrame(df, spec)
 
     def aggregate_to(self, target: Sequence[str], **aggs: ag.Agg) -> "GrainedFrame":
@@ -341,7 +360,10 @@ class GrainedFrame:
         entity = self.entity_key if self.entity_key and self.entity_key <= grain else None
         repeated = self.repeated_measures()
         measures = {m: h if m in repeated else grain for m, h in self.spec.measures.items()}
-        return self._with(df, grain=grain, entity_key=entity, alternatives=(), measures=measures, kind=None, clustered=grain)
+        homes = {c: h for c, h in self.spec.homes.items() if c in repeated}
+        return self._with(
+            df, grain=grain, entity_key=entity, alternatives=(), measures=measures, homes=homes, kind=None, clustered=grain
+        )
 
     def top(self, n: int, *order: Column | str) -> "GrainedFrame":
         return self._with(self.df.orderBy(*order).limit(n), clustered=None)

@@ -48,7 +48,7 @@ def digit(number: Column, divisor: int, base: int) -> Column:
     return (whole_division(number, divisor) % F.lit(base) + F.lit(1)).cast("long")
 
 
-def whole_division(a: Column, b: int) -> Column:
+def whole_division(a: Column, b: Column | int) -> Column:
     """Division of whole numbers without a detour through floating point."""
     return F.call_function("div", a, F.lit(b))
 
@@ -68,3 +68,14 @@ def fresh(df_columns: Iterable[str], *wanted: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def references(df: DataFrame, expr: Column) -> set[str] | None:
+    """Columns of ``df`` that an expression reads, from Spark's analysis; None where that cannot be told.  No job runs."""
+    if not hasattr(df, "_jdf"):
+        return None
+    found = df.select(expr.alias("_read"))._jdf.queryExecution().analyzed().references().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().name())
+    return names if names <= set(df.columns) else None

@@ -11,10 +11,10 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgrain.plans.sweep import SCHEMA, beside_rows
+from rowgrain.plans.sweep import SCHEMA
 
-#: Sizes a key column can have.
-SIZES = (4, 5, 6, 8, 10, 12, 15, 20)
+#: Sizes a key column can have; the first column of a left key has no limit, so that no row is lost.
+SIZES = (2, 3, 4)
 
 
 def _sizes(n_columns: int, count: int) -> list[tuple[int, ...]]:
@@ -39,12 +39,13 @@ def _equal_grains():
         shared = [f"g{i}" for i in range(1, m + 1)]
         side = lambda s: shared + [f"g{i}{s}" for i in range(m + 1, n + 1)]
         g1, g2 = side("_r1"), side("_r2")
-        sizes = _sizes(n, 10 * len(SIZES))[no]
+        sizes = _sizes(n, 50)[no]
         left = list(sizes)
         yield "equal grains", "A", g1 + ["v1"], g2 + ["v2"], shared, g1, g2, left, left[m:]
 
 
 def build() -> list[tuple]:
+    # Shapes of the nine families, and how many examples each has.
     rows = [
         *_family("main", "B", 50, "a b c e", "a c", "a b c d", "a b", "a b c"),
         *_family("incomparable", "B", 50, "a b c v1", "a c", "a b d v2", "b d", "a b"),
@@ -81,8 +82,8 @@ WORKED = (
 
 def build_worked() -> list[tuple]:
     """The fifteen worked shapes and 85 more of their kinds."""
-    # In case A: more values than join columns outside the key have (47), so that keys share a join value.
-    wide = {1: (200,), 2: (60, 50), 3: (4, 6, 60)}
+    # In case A the last column goes round the other columns (60) twice, so that keys share a join value.
+    wide = {1: (1,), 2: (1, 120), 3: (1, 2, 120)}
     rows = []
     for cat, case, *shape in WORKED:
         sizes = [wide[len(shape[1].split())] + (5,) * len(shape[3].split())] if case == "A" else None
@@ -112,20 +113,22 @@ def examples(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     )
 
 
-def left_rows(placed: DataFrame, derived: DataFrame, n_configs: int | None = None) -> DataFrame:
-    """Left rows: the key counts through its sizes, a key that comes again keeps its first row."""
-    cols = beside_rows(derived.select("config_id", "r1_fields", "jk", "g1", "left_sizes"), n_configs)
+def left_rows(placed: DataFrame, derived: DataFrame) -> DataFrame:
+    """Left rows: the key counts through its sizes, its first column without limit, so every row has a key of its own.
+
+    Columns outside the key repeat after 60 rows, a multiple of all sizes, so
+    that they tell the limited key columns but not the unlimited one.
+    """
+    cols = derived.select("config_id", "r1_fields", "jk", "g1", "left_sizes")
     digits = """
         transform(left_sizes, (s, p) ->
-            i div aggregate(slice(left_sizes, p + 2, size(left_sizes)), 1L, (acc, x) -> acc * x) % s + 1)"""
-    firsts = (
-        placed.join(cols, "config_id").select("config_id", F.expr(digits).alias("key"), "i")
-        .groupBy("config_id", "key").agg(F.min("i").alias("i"))
-    )
+            i div aggregate(slice(left_sizes, p + 2, size(left_sizes)), 1L, (acc, x) -> acc * x)
+            % case when p = 0 then 9223372036854775807 else s end)"""
+    firsts = placed.join(cols, "config_id").select("config_id", F.expr(digits).alias("key"), "i")
     cell = """
         transform(r1_fields, (x, p) ->
             case when array_contains(g1, x) then key[cast(array_position(g1, x) as int) - 1]
-                 else (i % 1000000) * (7 * p + 3) % 47 + 1 end)"""
+                 else (i + p) % 60 end)"""
     return (
         firsts.join(cols, "config_id")
         .withColumn("vals", F.expr(cell))
@@ -133,9 +136,9 @@ def left_rows(placed: DataFrame, derived: DataFrame, n_configs: int | None = Non
     )
 
 
-def right_rows(left: DataFrame, derived: DataFrame, n_configs: int | None = None) -> DataFrame:
+def right_rows(left: DataFrame, derived: DataFrame) -> DataFrame:
     """Right rows made from the left join keys: one per right key part, times a series per further key column."""
-    cols = beside_rows(derived.select("config_id", "r2_fields", "jk", "g2_jk", "g2_rest", "right_sizes"), n_configs)
+    cols = derived.select("config_id", "r2_fields", "jk", "g2_jk", "g2_rest", "right_sizes")
     inside = "transform(g2_jk, x -> jkv[cast(array_position(jk, x) as int) - 1])"
     base = (
         left.join(cols, "config_id").groupBy("config_id", F.expr(inside).alias("inside")).agg(F.min("jkv").alias("jkv"))
@@ -146,8 +149,8 @@ def right_rows(left: DataFrame, derived: DataFrame, n_configs: int | None = None
             case when array_contains(jk, x) then jkv[cast(array_position(jk, x) as int) - 1]
                  when array_contains(g2_rest, x) then
                     e div aggregate(slice(right_sizes, cast(array_position(g2_rest, x) as int) + 1, size(right_sizes)), 1L, (acc, y) -> acc * y)
-                    % right_sizes[cast(array_position(g2_rest, x) as int) - 1] + 1
-                 else (e + 5 * jkv[0]) * (7 * p + 3) % 47 + 1 end)"""
+                    % right_sizes[cast(array_position(g2_rest, x) as int) - 1]
+                 else (e + jkv[0]) * (p + 2) % 31 end)"""
     return (
         base.join(cols, "config_id").withColumn("e", F.expr(number))
         .select("config_id", "jkv", F.expr(cell).alias("vals"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowgrain.functions import grainsets as gs
-from rowgrain.sources.generate import pool_index
+from rowgrain.sources.generate import key_index
 
 SCHEMA = (
     "config_id bigint, r1_fields array<string>, r2_fields array<string>, jk array<string>,"
@@ -150,20 +150,6 @@ def edge_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA + ", name string")
 
 
-#: Up to this many configurations (some kilobytes each at most) are sent to every task.
-BROADCAST_CONFIGS = 50_000
-
-
-def beside_rows(configs: DataFrame, n_configs: int | None) -> DataFrame:
-    """Configurations as the small side of a join with rows, where their number is known and small.
-
-    Otherwise the join is left to Spark; its skew handling splits a
-    configuration with very many rows.
-    """
-    known_small = n_configs is not None and n_configs <= BROADCAST_CONFIGS
-    return F.broadcast(configs) if known_small else configs
-
-
 # Rows ------------------------------------------------------------------------
 
 def placed_rows(numbers: DataFrame, number: str, n_configs: int) -> DataFrame:
@@ -175,7 +161,7 @@ def placed_rows(numbers: DataFrame, number: str, n_configs: int) -> DataFrame:
 
 
 def table_rows(
-    placed: DataFrame, configs: DataFrame, side: int, fan: int = 2, n_configs: int | None = None,
+    placed: DataFrame, configs: DataFrame, side: int, fan: int = 2,
     skew_pool: int | None = None,
 ) -> DataFrame:
     """Rows of one side of every configuration: ``config_id, jkv, vals``, keyed by its grain.
@@ -185,12 +171,12 @@ def table_rows(
     one without limit; columns outside grain and key depend on the row.
     """
     f, g, rest, inside = (f"r{side}_fields", f"g{side}", f"g{side}_rest", f"g{side}_jk")
-    joined = placed.join(beside_rows(configs.select("config_id", f, "jk", rest, inside), n_configs), "config_id")
+    joined = placed.join(configs.select("config_id", f, "jk", rest, inside), "config_id")
     has_rest, has_key = f"size({rest}) > 0", f"size({inside}) > 0"
     if skew_pool is None:
         shared, within = F.expr(f"i div {fan}"), F.expr(f"case when {has_rest} and {has_key} then i % {fan} else i end")
     else:
-        shared, within = pool_index(F.col("i"), skew_pool, "skewed", seed=side), F.col("i")
+        shared, within = key_index(F.col("i"), skew_pool, 1), F.col("i")
     numbered = joined.select(
         "config_id", "i", f, "jk", rest,
         F.when(F.expr(has_rest), shared).otherwise(F.col("i")).alias("k"),
@@ -199,13 +185,13 @@ def table_rows(
     )
     cell = f"""
         transform({f}, (x, p) ->
-            case when array_contains(jk, x) then k * n_jk + array_position(jk, x)
+            case when array_contains(jk, x) then k ^ array_position(jk, x)
                  when array_position({rest}, x) = n_rest then shiftright(m, n_rest - 1) + 1
                  when array_contains({rest}, x) then shiftright(m, cast(array_position({rest}, x) as int) - 1) % 2 + 1
-                 else (i % 1000) * (7 * p + 3) % 47 + 1 end)"""
+                 else (i + p) * (p + 2) % 31 end)"""
     return numbered.select(
         "config_id",
-        F.expr("transform(jk, (x, p) -> k * n_jk + p + 1)").alias("jkv"),
+        F.expr("transform(jk, (x, p) -> k ^ cast(p + 1 as bigint))").alias("jkv"),
         F.expr(cell).alias("vals"),
     )
 
@@ -244,7 +230,7 @@ def with_key_sets(configs: DataFrame, superseded: bool = False) -> DataFrame:
 
 
 def key_counts(
-    configs: DataFrame, left: DataFrame, right: DataFrame, superseded: bool = False, n_configs: int | None = None
+    configs: DataFrame, left: DataFrame, right: DataFrame, superseded: bool = False
 ) -> DataFrame:
     """Rows and distinct keys of every column set of every configuration: ``config_id, no, n_rows, n_keys``.
 
@@ -260,7 +246,7 @@ def key_counts(
         .unionByName(right.select("config_id", "vals", F.lit(2).alias("which")))
     )
     keyed = (
-        every.join(beside_rows(sets, n_configs), "config_id")
+        every.join(sets, "config_id")
         .select("config_id", "vals", F.explode(F.get("sets", "which")).alias("s"))
         .select("config_id", F.col("s.no").alias("no"), F.expr("transform(s.at, p -> vals[p])").alias("key"))
     )
@@ -292,11 +278,9 @@ def per_config(configs: DataFrame, counts: DataFrame, roles: Sequence[str]) -> D
     return facts
 
 
-def check_properties(
-    configs: DataFrame, left: DataFrame, right: DataFrame, n_configs: int | None = None
-) -> DataFrame:
+def check_properties(configs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The six properties of every configuration, each ``pass``, ``fail`` or ``inconclusive``."""
-    facts = per_config(configs, key_counts(configs, left, right, n_configs=n_configs), ("f1", "f2", "g1", "g2"))
+    facts = per_config(configs, key_counts(configs, left, right), ("f1", "f2", "g1", "g2"))
     few = F.col("f1_rows") <= 1
     inputs = (F.col("g1_removable") == 0) & (F.col("g2_removable") == 0)
     by_rel = lambda for_super, other: F.when(F.col("jk_rel") == "proper_superset", F.col(for_super)).otherwise(F.col(other))
@@ -338,19 +322,17 @@ def sweep(
     """Deal the rows of a table to all configurations and check every property of each."""
     derived = derive(configs)
     placed = placed_rows(numbers, number, n_configs)
-    left, right = (table_rows(placed, derived, side, fan, n_configs, skew_pool) for side in (1, 2))
-    return check_properties(derived, left, right, n_configs)
+    left, right = (table_rows(placed, derived, side, fan, skew_pool) for side in (1, 2))
+    return check_properties(derived, left, right)
 
 
-def compare_formulas(
-    configs: DataFrame, left: DataFrame, right: DataFrame, n_configs: int | None = None
-) -> DataFrame:
+def compare_formulas(configs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The older two-case formula beside the present one: unique? minimal? which columns can go?
 
     ``configs`` comes from ``derive``; further columns of it are kept.
     """
     roles = ("f1", "f2", "g1", "g2", "superseded")
-    counts = key_counts(configs, left, right, True, n_configs)
+    counts = key_counts(configs, left, right, True)
     facts = per_config(configs, counts, roles)
     base = ROLES.index("superseded") * _STEP
     gone = counts.filter(

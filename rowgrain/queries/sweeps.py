@@ -16,7 +16,7 @@ from rowgrain.functions import grainsets as gs
 from rowgrain.plans import examples as ex
 from rowgrain.plans import sweep as sw
 from rowgrain.queries.catalog import query, raw
-from rowgrain.sources.generate import dense_partner, fan_pool, keyed_rows, pool_index, pool_value
+from rowgrain.sources.generate import dense_partner, key_index, key_value, keyed_rows
 
 MAX_SIZE = 5
 
@@ -86,7 +86,7 @@ def _cells(bits, rest, start, m):
     """Values of the columns of one side outside the join key, from row number ``i``."""
     rank = f"bit_count({rest} & ((1::BIGINT << q) - 1))"
     return f"""list_transform(range({bits}), lambda q: CASE
-        WHEN ({rest} >> q) & 1 = 0 THEN (i % 1000) * (7 * (q + {start}) + 3) % 47 + 1
+        WHEN ({rest} >> q) & 1 = 0 THEN (i + q + {start}) * (q + {start} + 2) % 31
         WHEN {rank} = bit_count({rest}) - 1 THEN ({m} >> {rank}) + 1 ELSE ({m} >> {rank}) % 2 + 1 END)"""
 
 
@@ -100,7 +100,7 @@ def _sweep_sql(configs, n_configs, final):
     r0 AS (SELECT u.*, i, CASE WHEN rest2 <> 0 THEN i // 2 ELSE i END AS k, CASE WHEN rest2 <> 0 AND k2 <> 0 THEN i % 2 ELSE i END AS m
            FROM placed JOIN u USING (config_id)),
     r AS (SELECT *, {_cells('n_right', 'rest2', 'n_jk', 'm')} AS bv FROM r0),
-    jv AS (SELECT DISTINCT config_id, n_jk, k, list_transform(range(n_jk), lambda q: k * n_jk + q + 1) AS v FROM (SELECT config_id, n_jk, k FROM l UNION SELECT config_id, n_jk, k FROM r)),
+    jv AS (SELECT DISTINCT config_id, n_jk, k, list_transform(range(n_jk), lambda q: xor(k, q + 1)) AS v FROM (SELECT config_id, n_jk, k FROM l UNION SELECT config_id, n_jk, k FROM r)),
     cells AS (
         SELECT 'j' AS side, config_id, list_concat(list_concat(v, av), bv) AS v FROM l JOIN r USING (config_id, k) JOIN jv USING (config_id, k)
         UNION ALL SELECT 'l', config_id, list_concat(v, av) FROM l JOIN jv USING (config_id, k)
@@ -214,15 +214,15 @@ def _formula_sql(rows):
     u AS (SELECT *, CASE WHEN (d12 > 0 AND d21 = 0) OR (d12 > 0 AND d21 > 0 AND len(f2) < len(f1)) THEN f2 ELSE f1 END AS newer,
             CASE WHEN d12 = 0 OR d21 = 0 THEN {_PLUS(_PLUS('o1', 'o2'), _BOTH(a='p1', b='p2'))} ELSE {_PLUS(_PLUS('o1', 'o2'), _PLUS('p1', 'p2'))} END AS older FROM e),
     placed AS (SELECT o_orderkey % {len(rows)} AS config_id, o_orderkey // {len(rows)} AS i FROM orders),
-    l0 AS (SELECT config_id, list_transform(range(1, len(ls) + 1), lambda p: i // {_TAIL('ls', 'p + 1')} % ls[p] + 1) AS key, MIN(i) AS i FROM placed JOIN u USING (config_id) GROUP BY 1, 2),
+    l0 AS (SELECT config_id, list_transform(range(1, len(ls) + 1), lambda p: i // {_TAIL('ls', 'p + 1')} % CASE WHEN p = 1 THEN 9223372036854775807 ELSE ls[p] END) AS key, i FROM placed JOIN u USING (config_id)),
     l1 AS (SELECT config_id, list_transform(range(1, len(r1) + 1), lambda p: CASE WHEN list_contains(g1, r1[p]) THEN key[list_position(g1, r1[p])]
-             ELSE (i % 1000000) * (7 * (p - 1) + 3) % 47 + 1 END) AS lv, r1, jk FROM l0 JOIN u USING (config_id)),
+             ELSE (i + p - 1) % 60 END) AS lv, r1, jk FROM l0 JOIN u USING (config_id)),
     l AS (SELECT config_id, lv, list_transform(jk, lambda x: lv[list_position(r1, x)]) AS jkv FROM l1),
     r0 AS (SELECT config_id, list_transform(list_sort(p2), lambda x: jkv[list_position(jk, x)]) AS inside, MIN(jkv) AS jkv FROM l JOIN u USING (config_id) GROUP BY 1, 2),
     r1_ AS (SELECT r0.config_id, jkv, jk, r2, list_sort(o2) AS o2, rs, unnest(range({_TAIL('rs', '1')})) AS e FROM r0 JOIN u USING (config_id)),
     r AS (SELECT config_id, jkv, list_transform(range(1, len(r2) + 1), lambda p: CASE WHEN list_contains(jk, r2[p]) THEN jkv[list_position(jk, r2[p])]
-             WHEN list_contains(o2, r2[p]) THEN e // {_TAIL('rs', 'list_position(o2, r2[p]) + 1')} % rs[list_position(o2, r2[p])] + 1
-             ELSE (e + 5 * jkv[1]) * (7 * (p - 1) + 3) % 47 + 1 END) AS rv FROM r1_),
+             WHEN list_contains(o2, r2[p]) THEN e // {_TAIL('rs', 'list_position(o2, r2[p]) + 1')} % rs[list_position(o2, r2[p])]
+             ELSE (e + jkv[1]) * (p + 1) % 31 END) AS rv FROM r1_),
     j AS (SELECT config_id, list_concat(lv, rv) AS v FROM l JOIN r USING (config_id, jkv)),
     wholes AS (SELECT config_id, 'old' AS role, older AS cols, list_concat(r1, r2) AS fields FROM u UNION ALL SELECT config_id, 'new', newer, list_concat(r1, r2) FROM u),
     sets AS (SELECT config_id, role, NULL AS gone, cols, fields FROM wholes
@@ -242,8 +242,8 @@ def _formulas(spark, sf, rows):
     """Both formulas on examples whose left rows are counted from order numbers."""
     derived, n = sw.derive(ex.examples(spark, rows)), len(rows)
     placed = sw.placed_rows(raw(spark, sf, "orders").select("o_orderkey"), "o_orderkey", n)
-    left = ex.left_rows(placed, derived, n)
-    compared = sw.compare_formulas(derived, left, ex.right_rows(left, derived, n), n)
+    left = ex.left_rows(placed, derived)
+    compared = sw.compare_formulas(derived, left, ex.right_rows(left, derived))
     return sw.formula_summary(compared, ["category", "case_type"])
 
 
@@ -260,22 +260,23 @@ def x6_worked_examples(spark, sf):
 # Counters --------------------------------------------------------------------
 
 @query("s8_keyed_counter", """
-    SELECT n // 143 % 700 + 1 AS a, n // 13 % 11 + 1 AS b, n % 13 + 1 AS c, MIN(n) AS first_number
+    SELECT n // 143 + 1 AS a, n // 13 % 11 + 1 AS b, n % 13 + 1 AS c, MIN(n) AS first_number
     FROM (SELECT o_orderkey AS n FROM orders) GROUP BY 1, 2, 3""")
 def s8_keyed_counter(spark, sf):
-    return keyed_rows(raw(spark, sf, "orders"), "o_orderkey", ["a", "b", "c"], [700, 11, 13], first_number=F.col("o_orderkey"))
+    numbers = raw(spark, sf, "orders")
+    return keyed_rows(numbers, "o_orderkey", ["a", "b", "c"], [None, 11, 13], first_number=F.col("o_orderkey"))
 
 
 @query("s9_dense_partner", """
-    WITH f AS (SELECT n // 11 % 700 + 1 AS a, n % 11 + 1 AS c, MIN(n) AS n FROM (SELECT o_orderkey AS n FROM orders) GROUP BY 1, 2),
-         l AS (SELECT a, c, n * 3 % 47 + 1 AS b FROM f),
-         r AS (SELECT b, a, d FROM (SELECT b, MIN(a) AS a FROM l GROUP BY 1) CROSS JOIN (VALUES (1), (2), (3)) s(d)),
+    WITH l AS (SELECT o_custkey AS a, o_orderkey AS c, o_orderkey % 31 AS b FROM orders),
+         r AS (SELECT b, a, d FROM (SELECT DISTINCT b, a FROM l) CROSS JOIN (VALUES (1), (2), (3)) s(d)),
          j AS (SELECT l.a, l.b, c, d FROM l JOIN r ON l.a = r.a AND l.b = r.b)
     SELECT COUNT(*) AS n_rows, COUNT(DISTINCT (a, c, d)) AS n_keys, (SELECT COUNT(*) FROM r) AS n_right FROM j""")
 def s9_dense_partner(spark, sf):
-    """A right table made to meet the left one, and their join checked on its grain."""
-    left = keyed_rows(raw(spark, sf, "orders"), "o_orderkey", ["a", "c"], [700, 11], b=F.col("o_orderkey") * 3 % 47 + 1)
-    right = dense_partner(left, ["a", "b"], ["b", "d"], {"d": 3})
+    """A right table made to meet every order by customer and a part of its number, and their join on its grain."""
+    orders = raw(spark, sf, "orders")
+    left = orders.select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("c"), (F.col("o_orderkey") % 31).alias("b"))
+    right = dense_partner(left, ["a", "b"], ["a", "b", "d"], {"d": 3})
     n = right.groupBy("b", "a").agg(F.count(F.lit(1)).alias("n_right"))
     joined = left.join(right, ["a", "b"]).groupBy("a", "c", "d").agg(F.count(F.lit(1)).alias("n"))
     return (
@@ -285,21 +286,32 @@ def s9_dense_partner(spark, sf):
     )
 
 
-_POOLS = {"uniform": "GREATEST(2, n // 2)", "extreme_low": "GREATEST(1, n // 5)", "extreme_high": "n"}
+#: Rows per key value on average, and degrees of skew.
+_FANS = ((1, 0), (4, 0), (4, 1), (4, 2))
+
+
+def _index_sql(skew):
+    at = "o_orderkey % pool"
+    for _ in range(skew):
+        at = f"(({at}) * (({at}) + 1)) // pool"
+    return at
 
 
 @query("s12_fan_control", " UNION ALL ".join(
-    f"SELECT '{d}' AS distribution, COUNT(*) AS n_values, CAST(MAX(c) AS BIGINT) AS most_rows, CAST(SUM(v) AS BIGINT) AS value_sum FROM (SELECT COUNT(*) AS c, o_orderkey % {p} * 2 + 1 AS v"
-    f" FROM orders, (SELECT COUNT(*) AS n FROM orders) GROUP BY o_orderkey % {p})" for d, p in _POOLS.items()))
+    f"SELECT {per} AS rows_per_key, {skew} AS skew, COUNT(*) AS n_values, CAST(MAX(c) AS BIGINT) AS most_rows, CAST(SUM(v) AS BIGINT) AS value_sum"
+    f" FROM (SELECT xor({_index_sql(skew)}, 1) AS v, COUNT(*) AS c FROM orders, (SELECT GREATEST(COUNT(*) // {per}, 1) AS pool FROM orders) GROUP BY 1)"
+    for per, skew in _FANS))
 def s12_fan_control(spark, sf):
-    """How many order rows share a join-key value under each way of dealing them out."""
+    """How many order rows share a join-key value, by rows per value and by skew."""
     orders = raw(spark, sf, "orders").select("o_orderkey")
-    n = orders.count()
+    n = orders.agg(F.count(F.lit(1))).scalar()
     parts = []
-    for d in _POOLS:
-        index = pool_index(F.col("o_orderkey"), fan_pool(n, d), d)
-        per_value = orders.groupBy(pool_value(index, 0, 2).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    for per, skew in _FANS:
+        dealt = orders.withColumn("pool", F.greatest(F.floor(n / per), F.lit(1)).cast("long"))
+        value = key_value(key_index(F.col("o_orderkey"), F.col("pool"), skew), 0)
+        per_value = dealt.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
         parts.append(per_value.agg(
-            F.lit(d).alias("distribution"), F.count(F.lit(1)).alias("n_values"), F.max("c").alias("most_rows"), F.sum("v").alias("value_sum")
+            F.lit(per).alias("rows_per_key"), F.lit(skew).alias("skew"), F.count(F.lit(1)).alias("n_values"), F.max("c").alias("most_rows"),
+            F.sum("v").alias("value_sum"),
         ))
     return reduce(DataFrame.unionByName, parts)

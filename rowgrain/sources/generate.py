@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from rowgrain.functions.columns import digit, hashed, whole_division
 
-DISTRIBUTIONS = ("uniform", "skewed", "extreme_low", "extreme_high")
-
 
 def series(spark: SparkSession, first: int, last: int, name: str = "i") -> DataFrame:
     """The numbers from ``first`` to ``last``, both included."""
     return spark.range(first, last + 1).withColumnRenamed("id", name)
 
 
-def counter(number: Column, bases: Sequence[int]) -> list[Column]:
-    """Mixed-radix digits: distinct up to the product of the bases, then they repeat."""
-    return [digit(number, prod(bases[i + 1:]), b) for i, b in enumerate(bases)]
+def counter(number: Column, bases: Sequence[int | None]) -> list[Column]:
+    """Mixed-radix digits: distinct up to the product of the bases, then they repeat.
+
+    A first base of None has no limit, so that all numbers stay distinct.
+    """
+    return [
+        (whole_division(number, prod(bases[1:])) + F.lit(1)).cast("long") if b is None else digit(number, prod(bases[i + 1:]), b)
+        for i, b in enumerate(bases)
+    ]
 
 
-def keyed_rows(df: DataFrame, number: str, names: Sequence[str], bases: Sequence[int], **derived: Column) -> DataFrame:
+def keyed_rows(df: DataFrame, number: str, names: Sequence[str], bases: Sequence[int | None], **derived: Column) -> DataFrame:
     """Rows whose key columns count through ``bases``; a key that comes up again keeps its first row."""
     cols = [c.alias(n) for n, c in zip(names, counter(F.col(number), bases))]
     firsts = df.select(number, *cols).groupBy(*names).agg(F.min(number).alias(number))
@@ -54,60 +58,44 @@ def shuffled(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*key_cols, F.lit(seed)), *key_cols)
 
 
-def fan_pool(n_rows: int, distribution: str) -> int:
-    """How many join-key values ``n_rows`` rows share: the fewer, the more rows meet in the join."""
-    return {
-        "uniform": max(2, n_rows // 2),
-        "skewed": max(2, n_rows // 3),
-        "extreme_low": max(1, n_rows // 5),
-        "extreme_high": n_rows,
-    }[distribution]
-
-
-def pool_index(row: Column, pool: int, distribution: str, seed: int = 42) -> Column:
-    """Which join-key value a row gets.
+def key_index(row: Column, pool: Column | int, skew: int = 0) -> Column:
+    """Which of ``pool`` join-key values a row takes, counted from 0.
 
-    Row 0 always takes value 0, so two tables made this way have a row in
-    common.  ``skewed`` follows a Zipf law: the chance of value ``k`` falls as
-    ``1 / (k + 1)``, drawn here by its inverse, ``(pool + 1) ** u - 1``.
+    Rows go round the values.  Each degree of ``skew`` squares the place in the
+    pool, in whole numbers, so that low values get more rows: of ``pool``
+    values about the square root get half of them at degree one.
     """
-    if distribution != "skewed":
-        return (row % F.lit(pool)).cast("long")
-    u = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = F.floor(F.pow(F.lit(float(pool + 1)), u) - F.lit(1.0)).cast("long")
-    return F.when(row == 0, F.lit(0)).otherwise(F.least(drawn, F.lit(pool - 1)))
+    n = F.lit(pool).cast("long") if isinstance(pool, int) else pool
+    at = F.pmod(row.cast("long"), n)
+    for _ in range(skew):
+        at = whole_division(at * (at + 1), n)
+    return at
 
 
-def pool_value(index: Column, column_no: int, n_columns: int) -> Column:
-    """Join-key columns that grow together, so any one of them tells the value apart."""
-    return index * F.lit(n_columns) + F.lit(column_no + 1)
+def key_value(index: Column, column_no: int) -> Column:
+    """The value of a join-key column: each tells the index apart, and columns of one row differ."""
+    return index.bitwiseXOR(F.lit(column_no + 1).cast("long"))
 
 
 def generate_table(
     spark: SparkSession, tag: str, fields: Sequence[str], jk: Sequence[str], grain: Sequence[str],
-    n_rows: int = 20, distribution: str = "uniform", seed: int = 42,
+    n_rows: int = 20, rows_per_key: float = 2.0, skew: int = 0, seed: int = 42,
 ) -> DataFrame:
     """A table of ``n_rows`` rows with ``grain`` as key and every other column depending on it.
 
-    Rows that share a join-key value are told apart by the grain columns
-    outside the key, which count in base 2 (the last one without limit).
+    ``rows_per_key`` rows share a join-key value on average, if the grain has
+    columns outside the key to tell them apart; those count in base 3, the
+    last one without limit.
     """
-    if n_rows < 1:
-        raise ValueError("n_rows must be at least 1")
-    if distribution not in DISTRIBUTIONS:
-        raise ValueError(f"no such distribution: {distribution}")
+    if n_rows < 1 or rows_per_key < 1 or skew < 0:
+        raise ValueError("n_rows and rows_per_key must be at least 1, skew at least 0")
     rest = [c for c in grain if c not in jk]
-    pool = fan_pool(n_rows, distribution) if rest else n_rows
-    i = F.col("id")
-    index = pool_index(i, pool, distribution if rest else "extreme_high", seed)
-    # With a key column in the grain, the rest only has to tell rows of one key value apart.
-    within = i if distribution == "skewed" or set(rest) == set(grain) else whole_division(i, pool)
-    cols = {}
-    for no, c in enumerate(sorted(jk)):
-        cols[c] = pool_value(index + F.lit(seed % 1000), no, len(jk))
+    row = F.col("id")
+    index = key_index(row, max(1, int(n_rows / rows_per_key)), skew) if rest else row
+    cols = {c: key_value(index + F.lit(seed % 1000), no) for no, c in enumerate(sorted(jk))}
     for no, c in enumerate(rest):
-        step = whole_division(within, 2**no)
-        cols[c] = (step if no == len(rest) - 1 else step % 2).cast("long") + F.lit(1)
+        step = whole_division(row, 3**no)
+        cols[c] = (step if no == len(rest) - 1 else step % 3).cast("long")
     for c in fields:
         if c not in cols:
             cols[c] = hashed([F.lit(tag), F.lit(c), F.lit(seed), *[cols[g] for g in grain]], 1000).cast("long")

@@ -181,6 +181,8 @@ class GrainSpec:
     alternatives: tuple[Columns, ...] = ()
     fds: tuple[FD, ...] = ()
     measures: Mapping[str, Columns] = field(default_factory=dict)
+    #: Home grain of further columns where it is not the grain itself.
+    homes: Mapping[str, Columns] = field(default_factory=dict)
     kind: str | None = None
     #: Columns the rows were last shuffled by, as far as known; matters for joins with frequent keys.
     clustered: Columns | None = None
@@ -207,6 +209,7 @@ class GrainSpec:
             alternatives=tuple(rename_set(a, names) for a in self.alternatives),
             fds=tuple(fd.renamed(names) for fd in self.fds),
             measures={names.get(m, m): rename_set(h, names) for m, h in self.measures.items()},
+            homes={names.get(c, c): rename_set(h, names) for c, h in self.homes.items()},
             clustered=None if self.clustered is None else rename_set(self.clustered, names),
         )
 
@@ -224,9 +227,18 @@ class GrainSpec:
             alternatives=tuple(a for a in self.alternatives if a <= kept),
             fds=tuple(FD(fd.lhs, fd.rhs & kept) for fd in self.fds if fd.lhs <= kept and fd.rhs & kept),
             measures={m: gone(h) for m, h in self.measures.items() if m in kept},
+            homes={c: gone(h) for c, h in self.homes.items() if c in kept},
             clustered=self.clustered if self.clustered and self.clustered <= kept else None,
         )
 
+    def home(self, column: str) -> Columns:
+        """The grain at which a value of the column is one fact: where it was read, whatever was joined since."""
+        return self.measures.get(column) or self.homes.get(column) or self.grain
+
+    def other_homes(self, available: Iterable[str]) -> dict[str, Columns]:
+        """The home of every column that is not a measure, written down before the grain changes."""
+        return {c: self.home(c) for c in available if c not in self.measures}
+
     def all_fds(self, available: Iterable[str]) -> tuple[FD, ...]:
         """Declared dependencies plus: every key determines the whole row."""
         whole = frozenset(available)

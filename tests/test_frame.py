@@ -284,3 +284,24 @@ def test_contracts_refuse_misuse(no_jobs, kinds):
         version.select("customer_id", "name")  # grain column lost on the way
     with pytest.raises(TypeError):
         entity_report(entity.df)
+
+
+def test_a_measure_stays_guarded_under_another_name(spark, no_jobs):
+    orders = source(spark.createDataFrame([(1, 10.0, 3)], "o long, p double, other int"), "o", measures=["p"])
+    items = source(spark.createDataFrame([(1, 1, 2), (1, 2, 5)], "o long, line int, qty int"), ["o", "line"])
+    joined = orders.join(items, "o")
+    for made in (F.col("p") * 1, F.lit(2) + F.col("p"), F.col("other") + F.col("p"), F.coalesce("p", "qty") * 0 + F.col("p")):
+        if "qty" not in str(made):
+            with pytest.raises(FanTrap):
+                joined.extend(p2=made).aggregate([], s=ag.total("p2"))
+    with pytest.raises(FanTrap):
+        joined.extend(p=F.col("p") + 0).aggregate([], s=ag.total("p"))  # overwritten
+    with pytest.raises(FanTrap):
+        joined.aggregate([], s=ag.total("other"))  # never declared
+    with pytest.raises(FanTrap):
+        joined.extend(a=F.col("other") + 1).extend(b=F.col("a") + 1).rename({"b": "c"}).aggregate([], s=ag.total("c"))
+    joined.extend(q2=F.col("qty") * 2).aggregate([], s=ag.total("q2"))
+    joined.extend(value=F.col("qty") * F.col("p")).aggregate("o", s=ag.total("value"))  # one fact per item
+    joined.extend(one=F.lit(1)).aggregate([], s=ag.total("one"))
+    orders.extend(p2=F.col("p") * 2).aggregate([], s=ag.total("p2"))
+    joined.aggregate(["o"], s=ag.total("qty")).aggregate([], t=ag.total("s"))

@@ -129,8 +129,8 @@ def test_both_formulas_on_350_examples(spark):
     """The present formula: unique and minimal always.  The older one: minimal only in case A."""
     derived = sw.derive(ex.examples(spark))
     placed = sw.placed_rows(spark.range(350 * 400), "id", 350)
-    left = ex.left_rows(placed, derived, 350)
-    out = sw.formula_summary(sw.compare_formulas(derived, left, ex.right_rows(left, derived, 350), 350), ["case_type"]).collect()
+    left = ex.left_rows(placed, derived)
+    out = sw.formula_summary(sw.compare_formulas(derived, left, ex.right_rows(left, derived)), ["case_type"]).collect()
     got = {r.case_type: r for r in out}
     assert {c: r.n_examples for c, r in got.items()} == {"A": 200, "B": 150}
     assert {c: r.old_unique for c, r in got.items()} == {"A": 200, "B": 150}
@@ -144,8 +144,8 @@ def test_worked_examples(spark):
     assert len(rows) == 100
     derived = sw.derive(ex.examples(spark, rows))
     placed = sw.placed_rows(spark.range(100 * 3000), "id", 100)
-    left = ex.left_rows(placed, derived, 100)
-    out = sw.compare_formulas(derived, left, ex.right_rows(left, derived, 100), 100).collect()
+    left = ex.left_rows(placed, derived)
+    out = sw.compare_formulas(derived, left, ex.right_rows(left, derived)).collect()
     assert all(r.result_rows > 1 and r.new_unique and r.new_minimal and r.old_unique for r in out)
     assert all(r.old_minimal == (r.case_type == "A") for r in out)
 
@@ -163,43 +163,42 @@ def test_removable_column_of_the_older_formula_is_named(spark):
 CONFIG = dict(fields=["a0", "a1", "j0", "j1"], jk=["j0", "j1"], grain=["a0", "j0"])
 
 
-@pytest.mark.parametrize("distribution", gen.DISTRIBUTIONS)
-def test_generated_table_obeys_its_key(spark, distribution):
-    df = gen.generate_table(spark, "r1", n_rows=40, distribution=distribution, **CONFIG)
+FANS = [dict(rows_per_key=1), dict(rows_per_key=2), dict(rows_per_key=5), dict(rows_per_key=3, skew=1), dict(rows_per_key=3, skew=2)]
+
+
+@pytest.mark.parametrize("fan", FANS)
+def test_generated_table_obeys_its_key(spark, fan):
+    df = gen.generate_table(spark, "r1", n_rows=40, **fan, **CONFIG)
     rows = df.collect()
     assert df.columns == CONFIG["fields"] and len(rows) == 40
     assert len({(r.a0, r.j0) for r in rows}) == 40
-    assert len({(r.j0, r.j1) for r in rows}) == len({r.j0 for r in rows})  # key columns grow together
-    again = gen.generate_table(spark, "r1", n_rows=40, distribution=distribution, **CONFIG).collect()
-    assert rows == again
-    other = gen.generate_table(spark, "r1", n_rows=40, distribution=distribution, seed=7, **CONFIG).collect()
-    assert rows != other
+    assert len({(r.j0, r.j1) for r in rows}) == len({r.j0 for r in rows})  # each key column tells the value apart
+    assert rows == gen.generate_table(spark, "r1", n_rows=40, **fan, **CONFIG).collect()
+    assert rows != gen.generate_table(spark, "r1", n_rows=40, seed=7, **fan, **CONFIG).collect()
 
 
 def test_generated_tables_meet(spark):
     for grain2 in (["b0"], ["j0"], ["j0", "b0"]):
-        for distribution in gen.DISTRIBUTIONS:
-            l = gen.generate_table(spark, "r1", n_rows=20, distribution=distribution, **CONFIG)
-            r = gen.generate_table(spark, "r2", ["j0", "j1", "b0"], ["j0", "j1"], grain2, 20, distribution)
+        for fan in FANS:
+            l = gen.generate_table(spark, "r1", n_rows=20, **fan, **CONFIG)
+            r = gen.generate_table(spark, "r2", ["j0", "j1", "b0"], ["j0", "j1"], grain2, 20, **fan)
             assert l.join(r, ["j0", "j1"]).limit(1).count() == 1
 
 
-def test_fewer_pool_values_mean_more_rows_per_key(spark):
-    n = {}
-    for d in gen.DISTRIBUTIONS:
-        df = gen.generate_table(spark, "r1", n_rows=100, distribution=d, **CONFIG)
-        per_key = df.groupBy("j0").count()
-        n[d] = per_key.count(), per_key.agg(F.max("count")).first()[0]
-    assert n["extreme_low"] == (20, 5) and n["uniform"] == (50, 2) and n["extreme_high"] == (100, 1)
-    assert n["skewed"][1] > 5  # one value is much more frequent than the rest
+def test_rows_per_key_and_skew(spark):
+    def fan(**how):
+        per_key = gen.generate_table(spark, "r1", n_rows=100, **how, **CONFIG).groupBy("j0").count()
+        return per_key.count(), per_key.agg(F.max("count")).first()[0]
+
+    assert fan(rows_per_key=5) == (20, 5) and fan(rows_per_key=2) == (50, 2) and fan(rows_per_key=1) == (100, 1)
+    assert fan(rows_per_key=2)[1] < fan(rows_per_key=2, skew=1)[1] < fan(rows_per_key=2, skew=2)[1]
 
 
 def test_single_row_and_bad_arguments(spark):
     assert gen.generate_table(spark, "r1", n_rows=1, **CONFIG).count() == 1
-    with pytest.raises(ValueError):
-        gen.generate_table(spark, "r1", n_rows=0, **CONFIG)
-    with pytest.raises(ValueError):
-        gen.generate_table(spark, "r1", n_rows=1, distribution="odd", **CONFIG)
+    for bad in (dict(n_rows=0), dict(rows_per_key=0.5), dict(skew=-1)):
+        with pytest.raises(ValueError):
+            gen.generate_table(spark, "r1", **bad, **CONFIG)
 
 
 def test_counter_and_partner(spark):
@@ -209,6 +208,8 @@ def test_counter_and_partner(spark):
     assert set(right.columns) == {"a", "b", "d", "v"}
     assert right.count() == left.select("b").distinct().count() * 3 == right.select("b", "d").distinct().count()
     assert left.join(right, ["a", "b"]).limit(1).count() == 1
+    endless = gen.keyed_rows(gen.series(spark, 0, 999), "i", ["a", "c"], [None, 4])
+    assert endless.count() == 1000 and endless.agg(F.max("a")).first()[0] == 250
 
 
 def test_digits_of_numbers_beyond_double_precision(spark):

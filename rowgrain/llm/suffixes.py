@@ -35,8 +35,10 @@ GRAM = 32
 HOT = 512
 #: Windows in a piece at each further split.
 STEPS = (46, 6, 1)
-#: Bytes of fragments that are sorted together, and bytes of text hashed together.
-BUNDLE, TEXT = 1 << 20, 4 << 20
+#: Bytes of fragments that are sorted together, and bytes of text hashed together: what a processor's cache holds.
+BUNDLE, TEXT = 1 << 18, 1 << 19
+#: Bytes of fragments that a task gathers to find equal ones, and documents whose fragments are unpacked at once.
+HELD, DOCS = 8 << 20, 256
 _PLACE = np.dtype([("row", "<i8"), ("at", "<i8")])
 
 
@@ -177,11 +179,14 @@ def _anchored(length: int):
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (b.slice(lo, DOCS) for b in batches for lo in range(0, b.num_rows, DOCS)):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
-            for k, key, place, start, n in fragments(texts, length):
+            got = list(fragments(texts, length))
+            if got:
+                rows = np.repeat([row + k for k, *_ in got], [len(f[1]) for f in got])
+                key, place, start, n = (np.concatenate([f[c] for f in got]) for c in range(1, 5))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.full(len(key), row + k)), pa.array(place), pa.array(start), pa.array(n.astype(np.int32))],
+                    [pa.array(key), pa.array(rows), pa.array(place), pa.array(start), pa.array(n.astype(np.int32))],
                     names=["key", "row", "place", "start", "windows"],
                 )
             row += len(texts)
@@ -210,7 +215,7 @@ def _cut_out(length: int):
         def out() -> pa.RecordBatch:
             return _batch([(key, *rest, np.array(m, dtype=_PLACE).tobytes()) for (key, *rest), m in held.items()])
 
-        for b in batches:
+        for b in (b.slice(lo, DOCS) for b in batches for lo in range(0, b.num_rows, DOCS)):
             for row, text, hits in zip(b["row"].to_pylist(), b["text"].to_pylist(), b["hits"].to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 for h in hits:
@@ -222,7 +227,7 @@ def _cut_out(length: int):
                         size += len(piece)
                     else:
                         got.append((row, s))
-                if size > 8 * BUNDLE:
+                if size > HELD:
                     yield out()
                     held.clear()
                     size = 0

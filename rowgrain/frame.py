@@ -155,9 +155,12 @@ class GrainedFrame:
         """The grains alone.  They are unique by declaration, so there is no distinct."""
         return self.df.select(*sorted(self.grain))
 
-    def entities(self, *cols: str) -> "GrainedFrame":
-        """One row per entity with columns that depend on the entity only."""
-        ek = self._need_entity_key()
+    def entities(self, *cols: str, key: Sequence[str] | None = None) -> "GrainedFrame":
+        """One row per entity with columns that depend on the entity only.
+
+        ``key``: another key than the declared one, such as that of a joined table.
+        """
+        ek = self._need_entity_key() if key is None else columns(key)
         wanted = sorted(ek) + [c for c in cols if c not in ek]
         loose = sorted(set(cols) - closure(ek, self.spec.fds))
         if loose and self.grain != ek:

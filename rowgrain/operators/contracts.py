@@ -44,7 +44,9 @@ def entity(df: DataFrame, ek: Sequence[str]) -> Rules:
 
 def event(df: DataFrame, ek: Sequence[str], at: str) -> Rules:
     """One row per entity and moment."""
-    return {"time_not_null": _nulls(df, [at]), "entity_and_time_unique": duplicates(df, [*ek, at])}
+    return {
+        "entity_key_not_null": _nulls(df, ek), "time_not_null": _nulls(df, [at]), "entity_and_time_unique": duplicates(df, [*ek, at]),
+    }
 
 
 ordered = event  # the same contract for an order other than time
@@ -190,6 +192,7 @@ def link(
     """A many-to-many relation, or the edges of a graph: one row per pair of parties."""
     return {
         "entity_key_unique": duplicates(df, ek),
+        "parties_not_null": _nulls(df, [*fk1, *fk2]),
         "pair_unique": duplicates(df, [*fk1, *fk2]),
         "party1_exists": unmatched(df, fk1, party1, pk1),
         "party2_exists": unmatched(df, fk2, party2, pk2),

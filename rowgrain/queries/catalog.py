@@ -39,7 +39,7 @@ DECLARED = {
     ),
     "supplier": dict(grain="s_suppkey", entity_key="s_suppkey", kind="entity", measures=["s_acctbal"]),
     "part": dict(grain="p_partkey", entity_key="p_partkey", kind="entity", measures=["p_retailprice"]),
-    "orders": dict(grain="o_orderkey", entity_key="o_orderkey", kind="event", measures=["o_totalprice"]),
+    "orders": dict(grain="o_orderkey", entity_key="o_orderkey", kind="entity", measures=["o_totalprice"]),
     "lineitem": dict(grain=ITEM_KEY, kind="link", measures=["l_quantity", "l_extendedprice"]),
     "events": dict(
         grain=["user_id", "ts"], entity_key="user_id", kind="event", measures=["value"], alternatives=[["event_id"]]

@@ -335,6 +335,7 @@ def b1_entity(spark, sf):
 
 
 @query("b2_event", _rules(
+    entity_key_not_null="SELECT 1 FROM orders WHERE o_custkey IS NULL",
     time_not_null="SELECT 1 FROM orders WHERE o_orderdate IS NULL", entity_and_time_unique=_dup("orders", "o_custkey", "o_orderdate")))
 def b2_event(spark, sf):
     return ct.report(ct.event(raw(spark, sf, "orders"), ["o_custkey"], "o_orderdate"))
@@ -353,6 +354,7 @@ _UNCHANGED = """SELECT 1 FROM (SELECT event_type, LAG(event_type) OVER (PARTITIO
 
 
 @query("b3_multi_version", _rules(
+    entity_key_not_null="SELECT 1 FROM events WHERE user_id IS NULL",
     time_not_null="SELECT 1 FROM events WHERE ts IS NULL", entity_and_time_unique=_dup("events", "user_id", "ts"), neighbours_differ=_UNCHANGED))
 def b3_multi_version(spark, sf):
     return ct.report(ct.multi_version(raw(spark, sf, "events"), ["user_id"], "ts", ["event_type"]))
@@ -418,6 +420,7 @@ def b5_snapshot(spark, sf):
 
 
 @query("b6_ordered", _rules(
+    entity_key_not_null="SELECT 1 FROM conversations WHERE conv_id IS NULL",
     time_not_null="SELECT 1 FROM conversations WHERE turn IS NULL", entity_and_time_unique=_dup("conversations", "conv_id", "turn")))
 def b6_ordered(spark, sf):
     return ct.report(ct.ordered(raw(spark, sf, "conversations"), ["conv_id"], "turn"))
@@ -442,6 +445,7 @@ _PAIRS = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem"
 
 @query("b9_link", _rules(
     entity_key_unique=f"SELECT 1 FROM ({_PAIRS}) GROUP BY l_partkey, l_suppkey HAVING COUNT(*) > 1",
+    parties_not_null=f"SELECT 1 FROM ({_PAIRS}) WHERE l_partkey IS NULL OR l_suppkey IS NULL",
     pair_unique=f"SELECT 1 FROM ({_PAIRS}) GROUP BY l_partkey, l_suppkey HAVING COUNT(*) > 1",
     party1_exists=f"SELECT 1 FROM ({_PAIRS}) WHERE l_partkey NOT IN (SELECT p_partkey FROM part)",
     party2_exists=f"SELECT 1 FROM ({_PAIRS}) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"))

@@ -84,11 +84,7 @@ def p8_entities(spark, sf):
     customer = frame(spark, sf, "customer")
     orders = frame(spark, sf, "orders").rename({"o_custkey": "c_custkey"})
     joined = orders.join(customer, "c_custkey")
-    by_customer = source(
-        joined.df, ["c_custkey", "o_orderkey"], entity_key="c_custkey",
-        fds=[(["c_custkey"], ["c_name", "c_mktsegment"])],
-    )
-    return by_customer.entities("c_name", "c_mktsegment").df
+    return joined.expect_grain("o_orderkey").entities("c_name", "c_mktsegment", key=["c_custkey"]).df
 
 
 @query("p10_grain_rows", "SELECT user_id, ts FROM events")
@@ -273,17 +269,26 @@ def j13_self_join(spark, sf):
 
 
 @query("j14_nongrain_join", """
+    SELECT c_nationkey, COUNT(*) AS n_pairs, COUNT(DISTINCT c_custkey) AS n_customers, COUNT(DISTINCT s_suppkey) AS n_suppliers
+    FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1""")
+def j14_nongrain_join(spark, sf):
+    """Neither grain is in the join key, so both are needed to tell a result row."""
+    joined = frame(spark, sf, "customer").join(frame(spark, sf, "supplier"), [("c_nationkey", "s_nationkey")])
+    return joined.expect_grain("c_custkey", "s_suppkey").aggregate(
+        "c_nationkey", n_pairs=ag.rows(), n_customers=ag.different("c_custkey"), n_suppliers=ag.different("s_suppkey")
+    ).df
+
+
+@query("j14_join_size", """
     WITH a AS (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY 1)
     SELECT CAST(SUM(COALESCE(a.n, 0)) AS BIGINT) AS n_left, CAST(SUM(COALESCE(b.n, 0)) AS BIGINT) AS n_right,
            CAST(SUM(COALESCE(a.n, 0) * COALESCE(b.n, 0)) AS BIGINT) AS n_result,
            CAST(COALESCE(SUM(a.n) FILTER (WHERE b.k IS NULL), 0) AS BIGINT) AS left_unmatched,
            CAST(COALESCE(SUM(b.n) FILTER (WHERE a.k IS NULL), 0) AS BIGINT) AS right_unmatched
     FROM a FULL JOIN b ON a.k = b.k""")
-def j14_nongrain_join(spark, sf):
-    customer, supplier = frame(spark, sf, "customer"), frame(spark, sf, "supplier")
-    on = [("c_nationkey", "s_nationkey")]
-    customer.join(supplier, on).expect_grain("c_custkey", "s_suppkey")
-    size = traps.join_size(customer.df, supplier.df, on)
+def j14_join_size(spark, sf):
+    """How large that join is, counted by key without joining."""
+    size = traps.join_size(raw(spark, sf, "customer"), raw(spark, sf, "supplier"), [("c_nationkey", "s_nationkey")])
     return size.withColumn("n_result", F.col("n_result").cast("long"))
 
 
@@ -351,11 +356,8 @@ def a3_count(spark, sf):
     SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def a4_latest(spark, sf):
-    orders = source(
-        raw(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
-        ["o_custkey", "o_orderkey"], entity_key="o_custkey",
-    )
-    return orders.latest(["o_orderdate", "o_orderkey"]).expect_grain("o_custkey").df
+    orders = frame(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return orders.latest(["o_orderdate", "o_orderkey"], keys=["o_custkey"]).expect_grain("o_custkey").df
 
 
 @query("a5_group_sum", """

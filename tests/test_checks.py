@@ -165,7 +165,7 @@ def test_entity_event_sequence(spark, versions):
     data, good = versions
     assert ct.holds(ct.event(good, ["e"], "t")) and not ct.holds(ct.entity(good, ["e"]))
     twice = good.unionByName(good.filter("e = 1").limit(1))
-    assert counts(ct.event(twice, ["e"], "t")) == {"time_not_null": 0, "entity_and_time_unique": 1}
+    assert counts(ct.event(twice, ["e"], "t")) == {"entity_key_not_null": 0, "time_not_null": 0, "entity_and_time_unique": 1}
     missing = good.unionByName(spark.createDataFrame([(9, None, "a")], good.schema))
     assert counts(ct.event(missing, ["e"], "t"))["time_not_null"] == 1
     numbered = spark.createDataFrame([(i, day(i)) for i in range(5)], "e int, t timestamp_ntz")
@@ -225,7 +225,7 @@ def test_parents_links_constraints(spark):
     assert rows(ct.roots(child, ["parent"])) == [(2, None)]
     edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (5, 1)], "x int, y int")
     got = counts(ct.link(edges, ["x", "y"], ["x"], parent, ["id"], ["y"], parent, ["id"]))
-    assert got == {"entity_key_unique": 1, "pair_unique": 1, "party1_exists": 1, "party2_exists": 0}
+    assert got == {"entity_key_unique": 1, "parties_not_null": 0, "pair_unique": 1, "party1_exists": 1, "party2_exists": 0}
     ask = spark.createDataFrame([(1, 2), (2, 2)], "x int, y int")
     assert rows(ct.relates_to(edges, ask, ["x", "y"])) == [(1, 2, True), (2, 2, False)]
     assert rows(ct.each_row(child, F.col("parent") < 5)) == [(2, None), (3, 9)]
@@ -268,3 +268,16 @@ def test_integrate(spark):
     assert rows(out.df) == [(1, 5, 0), (2, 6, 8)]
     with pytest.raises(GrainError):
         ct.integrate([a, b], ["e"])
+
+
+def test_null_keys_and_parties_are_violations(spark):
+    from rowgrain.operators import contracts as ct
+
+    def broken(rules):
+        return {r.rule for r in ct.report(rules).collect() if r.n_violations}
+
+    events = spark.createDataFrame([(None, 1), (1, 1), (1, 2)], "k int, at int")
+    assert broken(ct.event(events, ["k"], "at")) == {"entity_key_not_null"}
+    parties = spark.createDataFrame([(1,), (2,)], "id int")
+    links = spark.createDataFrame([(1, 1, 2), (2, None, 1)], "k int, a int, b int")
+    assert broken(ct.link(links, ["k"], ["a"], parties, ["id"], ["b"], parties, ["id"])) == {"parties_not_null"}

@@ -63,11 +63,12 @@ class SimHash:
     def for_similarity(cls, rows: int, similarity: float = 0.8, words: int = 5, words64: int = 4, recall: float = 0.98) -> SimHash:
         """Find pairs of shingle-set similarity (Jaccard) ``similarity`` among ``rows`` documents.
 
-        Keys have so many bits that about four unrelated documents share one.  The similarity's cosine gives the share of differing bits; the distance adds 1.65 standard deviations of the estimate, so
-        that 95 in 100 pairs just at the similarity pass, and nearly all above it.
+        Keys have so many bits that about four unrelated documents share one.  The similarity's cosine gives the share
+        of differing bits; the distance adds 1.65 standard deviations of the estimate, so that 95 in 100 pairs just at
+        the similarity pass, and nearly all above it.
         """
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        bits, key_bits = 64 * words64, max(8, math.ceil(math.log2(max(rows, 1) / 4)) if rows > 4 else 8)
+        bits, key_bits = 64 * words64, max(8, math.ceil(math.log2(max(rows, 4) / 4)))
         distance = round(bits * share + 1.65 * math.sqrt(bits * share * (1 - share)))
         tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** key_bits))
         return cls(words, words64, distance, 32, tables, key_bits)

@@ -369,8 +369,8 @@ def removed(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     A byte is removed if some string of ``length`` bytes over it also starts anywhere else, in this or another row,
     overlaps included; what is left of other matches does not matter.  Texts are UTF-8; a NULL text is empty.  Rows are
-    told apart by place, so ``docs`` must be a table as read (write it first if it comes from a shuffle), and repeated rows and NULL numbers are documents like
-    any other.  Other columns are ignored; an empty table gives an empty result.
+    told apart by place, so ``docs`` must be a table as read (write it first if it comes from a shuffle), and repeated
+    rows and NULL numbers are documents like any other.  Other columns are ignored; an empty table gives an empty result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be {2 * GRAM} at least")

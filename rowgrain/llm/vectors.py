@@ -26,7 +26,7 @@ RECALL = 0.995
 
 def tables_and_bits(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
     """Tables and bits per table for ``n`` vectors."""
-    bits = max(4, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)) if n > BUCKET_ROWS else 4)
+    bits = max(4, math.ceil(math.log2(max(n, BUCKET_ROWS) / BUCKET_ROWS)))
     meet = (1 - math.acos(cosine) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))), bits
 

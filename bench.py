@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 #: Sweeps and checks with published run times first, then one or two of each kind of operator.
 HEADLINE = (
-    "x5_sweep_all", "x5_sweep_random", "x4_edge_cases", "v6_compare_formulas", "i5_derive",
+    "x5_sweep_all", "x5_sweep_random", "x4_edge_cases", "v6_compare_formulas", "x6_worked_examples", "i5_derive",
     "sales_report_safe", "j1_inner_equijoin", "j2_ordered_join", "j6_theta_join", "j9_full_outer", "j11_semi_join", "j16_as_of",
     "a1_group_by", "a2_group_collect", "a4_latest", "a5_group_sum", "a9_ordered_fold", "o2_distinct_on",
     "v1_unique", "v2b_removable", "v3_audit_join", "v5_dependency", "e3b_inflation", "e4_chain_loss", "e6_registry_audit",

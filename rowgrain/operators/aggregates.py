@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowgrain.functions.columns import fresh, key, money, position
+from rowgrain.operators.joins import match
 from rowgrain.operators.ordered import in_slices, slices_of_hot_keys
 from rowgrain.spec import GrainError
 
@@ -91,7 +92,7 @@ def collect_groups(
         .filter(F.col(pieces) > 1)
     )
     # At most rows / piece_rows keys are that big.
-    placed = df.join(F.broadcast(big), list(keys), "left").withColumn(
+    placed = match(df, F.broadcast(big), keys, "left", null_safe=True).withColumn(
         "piece", F.pmod(F.xxhash64(*rest), F.coalesce(F.col(pieces), F.lit(1)))
     )
     return placed.groupBy(*keys, "piece").agg(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgrain.functions.columns import fresh, position
+from rowgrain.operators.joins import match
 
 #: A key with more rows than this is cut into slices of about this size.
 HOT_ROWS = 2_000_000
@@ -95,7 +96,7 @@ def carry(
         .select(*keys, part, finer, edge)
     )
     return (
-        within.join(F.broadcast(edges), [*keys, part, finer], "left")
+        match(within, edges, [*keys, part, finer], "left", null_safe=True)
         .withColumn(name, F.coalesce(F.col(local), F.col(edge)[val]))
         .select(*df.columns, name)
     )
@@ -118,7 +119,7 @@ def in_slices(rows: DataFrame, hot: DataFrame, keys: Sequence[str], pos: str, na
     """Add the slice number of each row; rows of other keys are all in slice 0."""
     number = F.when(F.col("_width") > 0, F.floor((F.col(pos) - F.col("_lo")) / F.col("_width"))).otherwise(F.lit(0))
     return (
-        rows.join(F.broadcast(hot), list(keys), how)
+        match(rows, F.broadcast(hot), keys, how, null_safe=True)
         .withColumn(name, F.coalesce(number, F.lit(0)).cast("long"))
         .drop("_lo", "_width")
     )

@@ -145,3 +145,16 @@ def test_ordered_fold_is_independent_of_slices(table, piece_rows, monkeypatch):
 def test_distinct_tuples_with_nulls(spark):
     df = spark.createDataFrame([(1, 1), (1, None), (None, None), (None, None)], "a int, b int")
     assert ag.distinct_count(df, ["a", "b"]).first()[0] == 3
+
+
+def test_a_null_key_is_cut_like_any_other(table):
+    _, df = table
+    hot = df.withColumn("k", F.when(F.col("k") != 0, F.col("k")))
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    want = hot.withColumn("x", F.last("v", ignorenulls=True).over(w))
+    assert rows(od.carry(hot, ["k"], ["t"], F.col("v"), "x", hot_rows=10)) == rows(want)
+    slices = od.slices_of_hot_keys(hot.select("k", F.col("t").alias("p")), ["k"], "p", 100)
+    cut = od.in_slices(hot.withColumn("p", F.col("t")), slices, ["k"], "p", "part", "left")
+    assert cut.filter("k is null").select("part").distinct().count() > 1
+    pieces = ag.collect_groups(hot, ["k"], ["t"], piece_rows=20).filter("k is null")
+    assert pieces.count() > 5 and pieces.agg(F.sum(F.size("members"))).first()[0] == hot.filter("k is null").count()

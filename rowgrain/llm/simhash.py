@@ -15,6 +15,9 @@ selective.  Keys are then random bits of the fingerprint, in as many tables as
 a pair at the similarity asked for needs to meet with probability ``recall``.
 
 Either way the chains are checked first on candidates, then the full distance.
+
+With a ``similarity`` the distance only proposes: documents it connects are compared by their sets of shingles, and
+linked where the exact similarity (Jaccard) is reached.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.llm.links import components, linked_in_buckets, with_components
+from rowgrain.llm.links import SALTS, components, forest, linked_in_buckets, runs_of, with_components
 from rowgrain.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +44,8 @@ _BITS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _AT_ONCE = 1 << 16
 #: Nodes without a document number are numbered from here.
 NAMELESS = 1 << 62
+#: Shingle sets in a block of a large group, and shared shingles that are compared at once.
+SETS, TERMS = 128, 8192
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,8 @@ class SimHash:
     """``words`` per shingle, ``words64`` 64-bit words per fingerprint, links at ``distance`` or fewer bits.
 
     ``segments`` on the ring (default: one more than the distance).  ``tables`` and ``key_bits`` choose sampled keys;
-    without them keys are complete.
+    without them keys are complete.  With a ``similarity`` the fingerprint is that of the distinct shingles, and only
+    sets at least so similar are linked.
     """
 
     words: int = 5
@@ -58,20 +64,21 @@ class SimHash:
     tables: int = 0
     key_bits: int = 16
     seed: int = 42
+    similarity: float = 0.0
 
     @classmethod
-    def for_similarity(cls, rows: int, similarity: float = 0.8, words: int = 5, words64: int = 4, recall: float = 0.98) -> SimHash:
+    def for_similarity(cls, rows: int, similarity: float = 0.8, words: int = 5, words64: int = 4, recall: float = 0.999) -> SimHash:
         """Find pairs of shingle-set similarity (Jaccard) ``similarity`` among ``rows`` documents.
 
         Keys have so many bits that about four unrelated documents share one.  The similarity's cosine gives the share
-        of differing bits; the distance adds 1.65 standard deviations of the estimate, so that 95 in 100 pairs just at
-        the similarity pass, and nearly all above it.
+        of differing bits; the distance adds three standard deviations of the estimate, so that 998 in 1,000 pairs just
+        at the similarity become candidates, and nearly all above it.  The sets of shingles decide.
         """
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi
         bits, key_bits = 64 * words64, max(8, math.ceil(math.log2(max(rows, 4) / 4)))
-        distance = round(bits * share + 1.65 * math.sqrt(bits * share * (1 - share)))
+        distance = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
         tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** key_bits))
-        return cls(words, words64, distance, 32, tables, key_bits)
+        return cls(words, words64, distance, 32, tables, key_bits, similarity=similarity)
 
     @property
     def ring(self) -> list[tuple[int, int]]:
@@ -123,6 +130,105 @@ def fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp binary")
 
 
+def shingle_set(text: str | None, how: SimHash) -> np.ndarray:
+    return np.unique(shingle_hashes(text or "", how.words, how.seed))
+
+
+def set_fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
+    """``(doc_id, text_hash, fp, node)``: fingerprint and digest of each document's set of shingles."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, how) for t in b["text"].to_pylist()]
+            fp, node = [fingerprint(x, how.words64).tobytes() for x in sets], [xxhash.xxh128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["text_hash"], pa.array(fp, pa.binary()), pa.array(node, pa.binary())], names=["doc_id", "text_hash", "fp", "node"]
+            )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, fp binary, node binary")
+
+
+def _alike(similarity: float):
+    """Links between the sets of each unit, as a forest."""
+
+    def shared(sets: list[np.ndarray]) -> np.ndarray:
+        """Size of the intersection of any two sets."""
+        out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        _, term, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        kept = n[term] > 1
+        term, row = (np.cumsum(n > 1) - 1)[term[kept]], row[kept]
+        order = np.argsort(term, kind="stable")
+        term, row = term[order], row[order]
+        for lo in range(0, int(term[-1]) + 1 if len(term) else 0, TERMS):
+            a, b = np.searchsorted(term, [lo, lo + TERMS])
+            has = np.zeros((len(sets), TERMS), dtype=np.float32)
+            has[row[a:b], term[a:b] - lo] = 1
+            out += has @ has.T
+        return out
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS))
+        for t, run in runs_of(small, ["component", "p", "q"]):
+            ids, lists = t["id"].to_numpy(), t["shingles"].combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                sets = [flat[ends[k]:ends[k + 1]] for k in range(lo, hi)]
+                size = np.array([len(x) for x in sets])
+                both = shared(sets).astype(np.float64)
+                union = size[:, None] + size[None, :] - both
+                a, b = np.nonzero(np.triu(both / np.maximum(union, 1) >= similarity, 1))
+                root, own = forest(hi - lo, a, b), ids[lo:hi]
+                at = np.flatnonzero(root != np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[root[at]])], names=["a", "b"])
+
+    return work
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
+    """``(a, b)`` between ``nodes (component, id, k, text_hash)`` of one component: trees of the pairs at ``similarity``.
+
+    ``k, text_hash`` name a document of the node.  First all meet the node that the component is named by; that is
+    enough for groups of near copies.  Nodes that are not linked to it then meet all others, block by block.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+            sets = [shingle_set(t, how).view(np.int64) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["component"], b["id"], pa.array(sets, pa.list_(pa.int64()))], names=["component", "id", "shingles"])
+
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("k"), F.xxhash64("text").alias("text_hash"), "text")
+    sets = cut_lineage(keyed.join(nodes, ["k", "text_hash"]).select("component", "id", "text").mapInArrow(work, "component long, id long, shingles array<long>"))
+    salt, salts = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    first = sets.filter("id = component").dropDuplicates(["id"]).select("component", F.col("shingles").alias("of"), salts.alias("salt"))
+    both = F.size(F.array_intersect("shingles", "of"))
+    near = both / F.greatest(F.size("shingles") + F.size("of") - both, F.lit(1)) >= how.similarity
+    star = cut_lineage(
+        sets.withColumn("salt", salt).join(first, ["component", "salt"])
+        .select("component", "id", ((F.col("id") == F.col("component")) | near).alias("near"))
+    )
+    counts = star.groupBy("component").agg(
+        F.ceil(F.count_if("near") / SETS).cast("int").alias("n_near"), F.ceil(F.count_if(~F.col("near")) / SETS).cast("int").alias("n_far")
+    ).filter("n_far > 0")
+    # Units of work: two blocks of far nodes, or one of them and one of near nodes, which has a number below zero.
+    left = (
+        sets.join(star.dropDuplicates(["id"]), ["component", "id"]).withColumn("salt", salt)
+        .join(counts.withColumn("salt", salts), ["component", "salt"])
+        .withColumn("own", F.pmod(F.xxhash64("id", F.lit(SETS)), F.when(F.col("near"), F.col("n_near")).otherwise(F.col("n_far"))).cast("int"))
+    )
+    units = F.expr(
+        "if(near, transform(sequence(0, n_far - 1), o -> named_struct('p', o, 'q', -1 - own)), concat("
+        "transform(sequence(0, n_far - 1), o -> named_struct('p', least(own, o), 'q', greatest(own, o))),"
+        "transform(sequence(0, n_near - 1), o -> named_struct('p', own, 'q', -1 - o))))"
+    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["component", "p", "q"]
+    dealt = left.select("component", "id", "shingles", F.explode(units).alias("u")).select("component", "u.p", "u.q", "id", "shingles")
+    found = dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_alike(how.similarity), "a long, b long")
+    return star.filter("near and id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
+
+
 def within(how: SimHash):
     """Compare for buckets: the chains of some start within their budgets, then the full distance."""
     ring, n = how.ring, how.distance
@@ -192,23 +298,30 @@ def bucketed(reps: DataFrame, how: SimHash) -> DataFrame:
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``.
 
-    Documents with one fingerprint are one node, so copies cost nothing.  ``component_id`` is the smallest ``doc_id``
+    Documents with one fingerprint (with a similarity: one set of shingles) are one node, so copies cost nothing.  ``component_id`` is the smallest ``doc_id``
     reachable over links.  A NULL text counts as empty; an empty one has the fingerprint zero and is linked like any
     other.  Rows with a NULL ``doc_id`` take part, but a component is only named by one of them if it
     has no other, and then its name is NULL.  Repeated rows come back repeated; other columns are ignored; an empty table gives an empty result.
     """
-    fps = cut_lineage(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), how))
+    docs, exact = docs.withColumn("doc_id", F.col("doc_id").cast("long")), how.similarity > 0
+    fps = cut_lineage(set_fingerprints(docs, how) if exact else fingerprints(docs, how))
+    by = ["node", "fp"] if exact else ["fp"]  # the fingerprint follows from the set
     # A node is numbered by its smallest document; one without any, above all of them.
-    nameless = F.shiftrightunsigned(F.xxhash64("fp"), 2).bitwiseOR(F.lit(NAMELESS))
-    reps = cut_lineage(
-        fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count(F.lit(1)).alias("n"))
-    )
+    nameless = F.shiftrightunsigned(F.xxhash64(by[0]), 2).bitwiseOR(F.lit(NAMELESS))
+    kept = [F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count(F.lit(1)).alias("n")]
+    if exact:
+        k = F.coalesce("doc_id", F.lit(NAMELESS))
+        kept += [F.min(k).alias("k"), F.min_by("text_hash", k).alias("text_hash")]
+    reps = cut_lineage(fps.groupBy(*by).agg(*kept))
     edges = linked_in_buckets(bucketed(reps, how), within(how)).filter("a <> b").select("a", "b")
+    if exact:
+        nodes = reps.join(components(edges).withColumnRenamed("node", "id"), "id").select("component", "id", "k", "text_hash")
+        edges = exact_links(docs.select("doc_id", "text"), nodes, how)
     found = reps.join(components(edges).withColumnRenamed("node", "id"), "id", "left")
     # Alone, a document is its own component and needs no lookup.
-    shared = found.filter("n > 1 or component is not null").select("fp", F.coalesce("component", "id").alias("component"))
+    shared = found.filter("n > 1 or component is not null").select(by[0], F.coalesce("component", "id").alias("component"))
     named = F.coalesce("component", "doc_id")
-    return with_components(fps, "fp", shared).select(
+    return with_components(fps, by[0], shared).select(
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(named < NAMELESS, named).alias("component_id")
     )
 

@@ -108,6 +108,45 @@ def test_similar_documents_are_found_and_one_stays(spark):
     assert simhash.keep_first(awkward(spark), how).count() > 0 and simhash.keep_first(nothing(spark), how).count() == 0
 
 
+def test_the_similarity_decides_on_both_sides(spark):
+    draw = random.Random(12)
+    made, link = [], []
+    for g in range(60):  # 80 of 100 shingles shared, or of 101
+        for more in (20, 21):
+            words = [f"w{draw.getrandbits(40)}" for _ in range(84 + more)]
+            made += [" ".join(words[:84]), " ".join(words)]
+            link.append(more == 20)
+    own = [" ".join(f"{c}{draw.getrandbits(40)}" for _ in range(20)) for c in "ab"]
+    made += [f"{'x ' * 500}{own[0]}", f"{'x ' * 500}{own[1]}"]  # one fingerprint with repeats, other sets
+    link.append(False)
+    lines = [" ".join(f"w{draw.getrandbits(40)}" for _ in range(30)) for _ in range(4)]
+    made += [" ".join(lines), " ".join([lines[0]] * 40 + lines[1:])]  # one line repeated
+    link.append(True)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = rows_of(simhash.near_duplicates(docs, simhash.SimHash.for_similarity(len(made))))
+    assert [got[2 * g + 1].component_id == 2 * g for g in range(len(link))] == link
+
+
+def test_exact_links_of_a_chained_group_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 7)
+    draw = random.Random(4)
+    base = [f"w{draw.getrandbits(40)}" for _ in range(150)]
+    made = []
+    for _ in range(60):
+        words = list(base)
+        at, n = draw.randint(0, 150 - 40), draw.randint(1, 40)
+        words[at:at + n] = [f"w{draw.getrandbits(40)}" for _ in range(n)]
+        made.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t, simhash.SimHash()).tolist()) for t in made]
+    pairs = [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components(60, pairs)
+    assert 2 < len(set(want)) < 58
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    nodes = docs.selectExpr("0L as component", "doc_id as id", "doc_id as k", "xxhash64(text) as text_hash")
+    edges = simhash.exact_links(docs, nodes, simhash.SimHash(similarity=0.8)).collect()
+    assert components(60, [(r.a, r.b) for r in edges]) == want
+
+
 def test_vectors_equal_all_pairs(spark):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(400, 16))

@@ -140,6 +140,32 @@ def test_schedule_keeps_every_window(spark, shares):
         assert r.k * period // w <= r.slot < -(-(r.k + 1) * period // w)
 
 
+@pytest.mark.parametrize("weights", [{"a": 45, "b": 45, "c": 5, "d": 5}, {"a": 2**0.5, "b": 1, "c": 0.31, "d": 0.007}, {str(i): (i + 1) ** 0.5 for i in range(20)}])
+def test_schedule_of_many_periods_keeps_the_exact_weights(spark, weights):
+    shares, total, taken = mixing.whole_shares(weights, 1 << 40), sum(weights.values()), Counter()
+    rows = sorted(mixing.schedule(spark, shares, 1500, 12).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(1500))
+    for r in rows:
+        assert r.k == taken[r.source] and r.release <= r.slot < r.deadline
+        exact = r.k * total / weights[r.source]
+        assert abs(r.release - exact) < 1 + 1e-6 and abs(r.deadline - exact - total / weights[r.source]) < 1 + 1e-6
+        taken[r.source] += 1
+        assert all(abs(taken[s] - w * (r.slot + 1) / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_mix_of_many_periods_is_less_than_a_block_off(spark):
+    n = {f"s{i:02}": 400 + i for i in range(19)} | {"big": 4000}
+    docs = spark.createDataFrame([(f"{s}-{i}", "", s) for s, c in n.items() for i in range(c)], "doc_id string, text string, source string")
+    rows = sorted(mixing.mix(docs, block=1).collect(), key=lambda r: r.position)
+    total, taken = sum(c**0.5 for c in n.values()), Counter()
+    assert Counter(r.source for r in rows) == n and sum(r.mixed for r in rows) > 5000
+    for r in rows:
+        taken[r.source] += 1
+        if r.mixed:
+            assert r.slot == r.position and r.release <= r.slot < r.deadline
+            assert all(abs(taken[s] - c**0.5 * (r.slot + 1) / total) < 1 + 1e-6 for s, c in n.items())
+
+
 def test_shares():
     assert mixing.whole_shares({"a": 1, "b": 2}, 10) == {"a": 3, "b": 7}
     assert sum(mixing.whole_shares({str(i): 1 / (i + 1) for i in range(300)}, 1000).values()) == 1000

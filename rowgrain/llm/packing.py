@@ -5,7 +5,8 @@ in order of falling size to the open sequence that fits best under every capacit
 product of what is left in it and what the piece takes (``dot``), or with the smallest weighted norm of what would be
 left (``norm``).  Full pieces are sequences of their own; the others are packed with those of the documents next to
 them in the input, in shards of a bounded number of documents, so that a sequence keeps the mix of its input and a
-shard leaves about one sequence far from full.
+shard leaves about one sequence far from full.  The input's order is that of the scan, or that of a column of positions,
+by which sequences are then numbered too.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from rowgrain.session import cut_lineage
 
 #: Documents packed together; a document has one piece at most that is not full.
 SHARD = 8192
+#: Bits for the piece in a sequence number made of a position and a piece.
+PIECE_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -81,8 +84,11 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
     return bins, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) -> DataFrame:
-    """``(row, doc_id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut at ``tokens``."""
+def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0, position: str | None = None) -> DataFrame:
+    """``(row, doc_id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut at ``tokens``.
+
+    ``row`` is the number in the column ``position``, or follows the scan.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = Pieces(tokenizer)
@@ -90,12 +96,13 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) ->
         stop = np.array([end], dtype="<u4")
         for b in batches:
             out = []
-            for d, ids in zip(b["doc_id"].to_pylist(), lib.ids(b["text"].to_pylist())):
+            rows = b["row"].to_pylist() if position else range(next_row, next_row + b.num_rows)
+            next_row += b.num_rows
+            for row, d, ids in zip(rows, b["doc_id"].to_pylist(), lib.ids(b["text"].to_pylist())):
                 ids = np.concatenate([ids, stop])
                 for k, s in enumerate(range(0, len(ids), tokens)):
                     part = ids[s:s + tokens]
-                    out.append((next_row, d, k, s, len(part), zlib.crc32(part.tobytes())))
-                next_row += 1
+                    out.append((row, d, k, s, len(part), zlib.crc32(part.tobytes())))
             cols = list(zip(*out)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -103,36 +110,44 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) ->
             )
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text", *([F.col(position).alias("row")] if position else [])).mapInArrow(work, schema)
 
 
-def pack(cut: DataFrame, cap: Capacity = Capacity(), shard: int = SHARD) -> DataFrame:
+def pack(cut: DataFrame, cap: Capacity = Capacity(), shard: int = SHARD, by_row: bool = False) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of ``row, piece, length``; at most ``shard`` rows are packed at once.
 
-    Sequences are numbered with gaps.
+    Sequences are numbered with gaps; ``by_row``: all in the order of the first row in each, full ones included.
     """
+    first = F.shiftleft("row", PIECE_BITS) + F.col("piece")
     alone = F.col("length") == cap.tokens
     # Full pieces need no partner; their numbers are negative, those of the shards are not.
     single = cut.filter(alone).withColumns({
-        "sequence_id": F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
+        "sequence_id": first if by_row else F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
     })
     dealt = cut.filter(~alone).withColumn("shard", F.floor(F.col("row") / shard).cast("long"))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["row", "piece"], kind="stable")
         bins, offset = best_fit(part["length"].to_numpy(), cap)
-        return part.assign(sequence_id=part["shard"].to_numpy() * shard + bins, offset=offset)
+        if not by_row:
+            return part.assign(sequence_id=part["shard"].to_numpy() * shard + bins, offset=offset)
+        _, head = np.unique(bins, return_index=True)  # the first row of each sequence; bins count from 0
+        number = (part["row"].to_numpy() << PIECE_BITS) + part["piece"].to_numpy()
+        return part.assign(sequence_id=number[head][bins], offset=offset)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     mixed = dealt.groupBy("shard").applyInPandas(packed, f"{fields}, sequence_id long, offset long").drop("shard")
     return single.unionByName(mixed)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), end: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), end: int = 0, position: str | None = None, shard: int = SHARD) -> DataFrame:
     """One row per piece of every row of ``docs (doc_id, text)``: its place in a sequence.
 
+    With a column ``position``, gapless from 0, neighbours are those by position, and ascending ``sequence_id`` follows
+    the first position in each sequence; without, neighbours are those of the scan.
+
     A NULL or empty text is the end id alone.  Repeated rows and NULL numbers are packed like any other.  Other
     columns are ignored; an empty table gives an empty result.
     """
-    cut = cut_lineage(pieces(docs, tokenizer, cap.tokens, end))
-    return pack(cut, cap).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = cut_lineage(pieces(docs, tokenizer, cap.tokens, end, position))
+    return pack(cut, cap, shard, position is not None).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -3,6 +3,7 @@
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import ROOT
 from helpers import SMALL, awkward, documents, nothing, rows_of
@@ -10,7 +11,7 @@ from helpers import SMALL, awkward, documents, nothing, rows_of
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry_module  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from rowgrain.llm import queries  # noqa: E402
+from rowgrain.llm import mixing, packing, queries  # noqa: E402
 from rowgrain.llm.tokens import Pieces  # noqa: E402
 import public_tokenizers  # noqa: E402
 
@@ -68,6 +69,27 @@ def test_stages(spark):
     assert got == want
 
 
+def test_sequences_follow_the_mix_in_reread_files(spark, tmp_path):
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat_ws(" ", *["text"] * 40)).otherwise(F.col("text"))
+    docs = documents(spark).withColumn("text", F.substring(text, 1, 40_000))
+    position = {r.doc_id: r.position for r in mixing.mix(docs).select("doc_id", "position").collect()}
+    corpus_pipeline.mixed(spark, docs, SMALL).write.parquet(f"{tmp_path}/mixed")
+    reread = spark.read.parquet(f"{tmp_path}/mixed").repartition(5, "text")
+    rows = corpus_pipeline.packed(spark, reread, SMALL).collect()
+    first = {}
+    for r in rows:
+        first[r.sequence_id] = min(first.get(r.sequence_id, (1 << 40, 0)), (position[r.doc_id], r.piece))
+    assert any(r.length == 2048 for r in rows) and {r.doc_id for r in rows} == set(position)
+    assert [first[s] for s in sorted(first)] == sorted(first.values())
+    at = docs.join(spark.createDataFrame(list(position.items()), "doc_id long, position long"), "doc_id")
+    small = packing.pack_documents(at, public_tokenizers.path("word_bpe_49k.json"), position="position", shard=16).collect()
+    shards = {}
+    for r in small:
+        shards.setdefault(r.sequence_id, set()).add(position[r.doc_id] // 16)
+    assert all(len(x) == 1 for x in shards.values())
+    assert [min(shards[s]) for s in sorted(shards)] == sorted(min(x) for x in shards.values())
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and {r.doc_id for r in rows} < set(rows_of(documents(spark)))

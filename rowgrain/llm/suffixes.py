@@ -178,24 +178,23 @@ def _anchored(length: int):
     """Rows of the index: each document's fragments by string."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for b in (b.slice(lo, DOCS) for b in batches for lo in range(0, b.num_rows, DOCS)):
+            row = b["row"].to_numpy()
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
             got = list(fragments(texts, length))
             if got:
-                rows = np.repeat([row + k for k, *_ in got], [len(f[1]) for f in got])
+                rows = np.repeat(row[[k for k, *_ in got]], [len(f[1]) for f in got])
                 key, place, start, n = (np.concatenate([f[c] for f in got]) for c in range(1, 5))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(rows), pa.array(place), pa.array(start), pa.array(n.astype(np.int32))],
                     names=["key", "row", "place", "start", "windows"],
                 )
-            row += len(texts)
 
     return work
 
 
 def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows numbered by place, as in the index."""
+    """Rows numbered by place."""
     row = TaskContext.get().partitionId() << 33
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns], names=["row", *b.schema.names])
@@ -369,8 +368,8 @@ def removed(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     A byte is removed if some string of ``length`` bytes over it also starts anywhere else, in this or another row,
     overlaps included; what is left of other matches does not matter.  Texts are UTF-8; a NULL text is empty.  Rows are
-    told apart by place, so ``docs`` must be a table as read (write it first if it comes from a shuffle), and repeated
-    rows and NULL numbers are documents like any other.  Other columns are ignored; an empty table gives an empty result.
+    told apart by a number of their own, written once with the texts and read from there by all that follows, so
+    repeated rows and NULL numbers are documents like any other.  Other columns are ignored; an empty table gives an empty result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be {2 * GRAM} at least")
@@ -382,11 +381,11 @@ def removed(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    index = saved(docs.mapInArrow(_anchored(length), "key long, row long, place long, start long, windows int"), "index")
+    numbered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_numbered, f"row long, doc_id {kind}, text string")
+    numbered = saved(numbered, "texts")
+    index = saved(numbered.select("row", "text").mapInArrow(_anchored(length), "key long, row long, place long, start long, windows int"), "index")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = _salted(index, shared, ["key"]).groupBy("row").agg(F.collect_list(F.struct("key", "n", "place", "start", "windows")).alias("hits"))
-    numbered = docs.mapInArrow(_numbered, f"row long, doc_id {kind}, text string").withColumn("text", F.coalesce("text", F.lit("")))
     # Texts that are equal as a whole: the first stands for all in what follows, and all are removed.
     digest = numbered.select("row", F.sha2("text", 256).alias("sha256"))
     twins = digest.groupBy("sha256").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")

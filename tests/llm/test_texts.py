@@ -219,6 +219,29 @@ def test_removed_strings(spark, hot):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == plain_removed(texts, 100)
 
 
+def test_removed_from_a_table_whose_scan_changes_between_jobs(spark, tmp_path, monkeypatch):
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(list("abcdefgh"), 300)) for _ in range(60)]
+    texts = [t + texts[k - 7][:150] * (k % 3 == 0 and k > 6) for k, t in enumerate(texts)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id").write.parquet(f"{tmp_path}/texts")
+    size, plain = "spark.sql.files.maxPartitionBytes", suffixes.with_components
+
+    def later(*args):  # after the index is written, fewer cores are there
+        spark.conf.set(size, "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return plain(*args)
+
+    monkeypatch.setattr(suffixes, "with_components", later)
+    try:
+        spark.conf.set(size, "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = rows_of(suffixes.removed(spark.read.parquet(f"{tmp_path}/texts"), length=100))
+    finally:
+        for k in (size, "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == plain_removed(texts, 100)
+
+
 def test_removed_from_awkward_rows(spark):
     df = awkward(spark)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removed(df).collect())

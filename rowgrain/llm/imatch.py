@@ -4,6 +4,7 @@ The lexicon holds the terms whose document frequency lies in a band; its lower e
 the lexicon has at most (mean distinct terms per document) / share terms whatever the size of the corpus, and can be
 sent to every task.  A fingerprint has one code per subset: the hash of the document's distinct lexicon terms that
 are in the subset, in sorted order.  Subsets of several densities serve short and long documents.
+The first code is of all terms, so that only a text without terms has zeros alone.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ class Fingerprinter:
         for s in np.flatnonzero(held.any(0)).tolist():
             raw = rows[held[:, s] == 1, 0].tobytes()
             code[s] = f"{1 + xxhash.xxh64_intdigest(raw, s) % (16**DIGITS - 1):0{DIGITS}x}"
-        return "".join(code)
+        whole = f"{1 + xxhash.xxh64_intdigest(rows[:, 0].tobytes(), self.n) % (16**DIGITS - 1):0{DIGITS}x}" if len(rows) else "0" * DIGITS
+        return "".join([whole, *code])
 
 
 def likeness(a: str, b: str, how: IMatch = IMatch(), evidence: int = 8) -> float:
@@ -115,8 +117,8 @@ def likeness(a: str, b: str, how: IMatch = IMatch(), evidence: int = 8) -> float
         return 1.0
     none, step = "0" * DIGITS, how.subsets * DIGITS
     agree = held = 0
-    for lo in range(len(a) - step, -1, -step):
-        codes = [(a[i:i + DIGITS], b[i:i + DIGITS]) for i in range(lo, lo + step, DIGITS)]
+    for hi in range(len(a), 0, -step):  # the code of all terms is left for the end
+        codes = [(a[i:i + DIGITS], b[i:i + DIGITS]) for i in range(max(hi - step, 0), hi, DIGITS)]
         held += sum(p != none or q != none for p, q in codes)
         agree += sum(p == q != none for p, q in codes)
         if held >= evidence:

@@ -355,6 +355,13 @@ def test_likeness():
     assert make("rare words") != make("other words")
 
 
+def test_only_texts_without_terms_have_zeros_alone():
+    make = imatch.Fingerprinter([], imatch.IMatch())
+    codes = [make(f"word{i}") for i in range(300)]
+    assert len(set(codes)) == 300 and make("") not in codes
+    assert max(imatch.likeness(a, b) for a, b in zip(codes, codes[1:])) < 1
+
+
 def test_fingerprints_of_awkward_rows(spark):
     df = awkward(spark)
     got = imatch.edit_test(df).collect()

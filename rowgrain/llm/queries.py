@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgrain.llm import imatch, mixing, packing, pii, quality, simhash, suffixes, token_counts, token_files, vectors
+from rowgrain.llm import alignment, imatch, language, mixing, packing, pii, pivots, quality, simhash, suffixes, token_counts, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,18 @@ def op9(spark, sf):
 @query("op10_imatch_fingerprints")
 def op10(spark, sf):
     return imatch.edit_test(table(spark, sf, "documents"))
+
+
+@query("op11_pivot_table_clusters", pivots.clusters_sql())
+def op11(spark, sf):
+    return pivots.clusters(table(spark, sf, "embeddings"))
+
+
+@query("op12_language_centroids")
+def op12(spark, sf):
+    return language.predicted(table(spark, sf, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

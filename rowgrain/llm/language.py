@@ -59,7 +59,8 @@ class Grams:
         """Occurrences per bucket; None for a text without letters."""
         total = np.zeros(self.buckets, dtype=np.int64)
         before, in_word, some = np.array([32], dtype=np.uint32), False, False
-        for lo in range(0, len(text or ""), SLICE):
+        text = f"{text or ''} "  # the last word ends too
+        for lo in range(0, len(text), SLICE):
             c = np.frombuffer(text[lo:lo + SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
             letter = self.letter[c]
             # Letters, and one space after each word.

@@ -18,7 +18,7 @@ from rowgrain.functions.columns import references
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import ordered as od
-from rowgrain.operators import verify as vf
+from rowgrain.operators import keys as key_checks
 from rowgrain.session import cut_lineage
 from rowgrain.spec import (
     FD, EQUAL, Columns, FanTrap, GrainError, GrainLost, GrainMismatch, GrainSpec,
@@ -82,7 +82,7 @@ class GrainedFrame:
 
     def check(self) -> DataFrame:
         """The declared grain measured on the rows: unique, and no column of it can go."""
-        return vf.accept_grain(self.df, self.grain)
+        return key_checks.accept_grain(self.df, self.grain)
 
     def checkpoint(self) -> "GrainedFrame":
         """Store the rows in the shared checkpoint folder and go on from there."""

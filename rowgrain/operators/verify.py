@@ -124,18 +124,6 @@ def minimality(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     )
 
 
-def accept_grain(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Does a declared grain hold on these rows?  One row: unique, minimal, and the counts behind it."""
-    counts = reduced_counts(df, cols)
-    whole = F.col("dropped").isNull()
-    return counts.agg(
-        F.max("n_rows").alias("n_rows"),
-        F.max(F.when(whole, F.col("n_keys"))).alias("n_keys"),
-        F.max(F.when(whole, F.col("n_keys") == F.col("n_rows"))).alias("is_unique"),
-        (F.count_if("removable") == 0).alias("is_minimal"),
-    )
-
-
 def is_minimal(df: DataFrame, cols: Iterable[str]) -> bool:
     """Stops at the first column that can go."""
     cols = sorted(cols)

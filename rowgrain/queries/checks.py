@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from rowgrain.functions.columns import money
 from rowgrain.frame import safe_join_aggregate
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import contracts as ct
-from rowgrain.operators import traps
+from rowgrain.operators import keys, traps
 from rowgrain.operators import verify as vf
 from rowgrain.plans import registry as rg
 from rowgrain.plans import reports
@@ -63,7 +64,7 @@ _V2B = " UNION ALL ".join(
     SELECT MAX(n_rows) AS n_rows, COUNT(*) FILTER (WHERE dropped IS NOT NULL AND n_keys = n_rows) AS n_removable,
            COUNT(*) FILTER (WHERE dropped IS NOT NULL AND n_keys = n_rows) = 0 AS is_minimal FROM ({_V2B})""")
 def v2_minimal(spark, sf):
-    return vf.minimality(raw(spark, sf, "lineitem"), LINE_KEYS["four_columns"])
+    return keys.minimality(raw(spark, sf, "lineitem"), LINE_KEYS["four_columns"])
 
 
 @query("v2b_removable", f"SELECT *, dropped IS NOT NULL AND n_keys = n_rows AND n_rows > 1 AS removable FROM ({_V2B})")
@@ -125,12 +126,33 @@ def _key_sql(label, table, cols):
 
 @query("v7_keys", " UNION ALL ".join(_key_sql(n, *k) for n, k in _KEYS.items()))
 def v7_keys(spark, sf):
-    def one(table, cols):
-        counts = vf.reduced_counts(raw(spark, sf, table), cols)
-        whole = F.max(F.when(F.col("dropped").isNull(), F.col("n_keys") == F.col("n_rows")))
-        return counts.agg(whole.alias("is_superkey"), (whole & (F.count_if("removable") == 0)).alias("is_key"))
+    return stack({n: keys.is_key(raw(spark, sf, table), cols) for n, (table, cols) in _KEYS.items()}, "key_name")
 
-    return stack({n: one(*k) for n, k in _KEYS.items()}, "key_name")
+
+def _discovery_sql(table, cols, most):
+    """Every set of up to ``most`` columns counted; minimal are the unique ones without a unique subset."""
+    sets = [s for k in range(1, most + 1) for s in combinations(range(len(cols)), k)]
+    counted = " UNION ALL ".join(
+        f"SELECT '{','.join(cols[i] for i in s)}' AS key_columns, {sum(1 << i for i in s)} AS mask, {len(s)} AS n_columns, "
+        f"(SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(cols[i] for i in s)} FROM {table})) AS n" for s in sets
+    )
+    return f"""WITH u AS (SELECT * FROM ({counted}) WHERE n = (SELECT COUNT(*) FROM {table}))
+        SELECT key_columns, n_columns FROM u WHERE NOT EXISTS (SELECT 1 FROM u t WHERE t.mask <> u.mask AND (t.mask & u.mask) = t.mask)"""
+
+
+_LINE_COLUMNS = sorted(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                        "l_returnflag", "l_linestatus", "l_shipdate"])
+_EVENT_COLUMNS = sorted(["event_id", "ts", "user_id", "event_type", "value", "props"])
+
+
+@query("v8_discover_line_keys", _discovery_sql("lineitem", _LINE_COLUMNS, 3))
+def v8_discover_line_keys(spark, sf):
+    return keys.discovered(raw(spark, sf, "lineitem"), _LINE_COLUMNS, max_size=3)
+
+
+@query("v8_discover_event_keys", _discovery_sql("events", _EVENT_COLUMNS, 4))
+def v8_discover_event_keys(spark, sf):
+    return keys.discovered(raw(spark, sf, "events"), _EVENT_COLUMNS, max_size=4)
 
 
 _DECLARED = {

@@ -6,7 +6,8 @@ product of what is left in it and what the piece takes (``dot``), or with the sm
 left (``norm``).  Full pieces are sequences of their own; the others are packed with those of the documents next to
 them in the input, in shards of a bounded number of documents, so that a sequence keeps the mix of its input and a
 shard leaves about one sequence far from full.  The input's order is that of the scan, or that of a column of positions,
-by which sequences are then numbered too.
+by which sequences are then numbered too.  Where tokens leave room for fewer sequences, the least full ones are packed
+anew by a bounded search for the fullest.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgrain.llm.tokens import Pieces
@@ -33,13 +34,15 @@ PIECE_BITS = 24
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds.  ``documents`` and ``attention`` of None never bind."""
+    """What a sequence holds.  ``documents`` and ``attention`` of None never bind.  With ``alone`` the attention capacity
+    may be below the cost of a full piece: a piece that exceeds it by itself has a sequence of its own."""
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
     weights: tuple[float, float, float] = (1.0, 0.05, 0.2)
     rule: str = "norm"
+    alone: bool = False
 
     def limits(self) -> np.ndarray:
         """As many documents as tokens, and the cost of one full document, cannot be exceeded within the tokens."""
@@ -48,12 +51,17 @@ class Capacity:
     def __post_init__(self):
         if self.rule not in ("dot", "norm"):
             raise ValueError(f"no such rule: {self.rule}")
-        if self.attention is not None and self.attention < self.tokens**2:
-            raise ValueError("a full piece must fit the attention capacity")
+        if self.attention is not None and self.attention < self.tokens**2 and not self.alone:
+            raise ValueError("a full piece must fit the attention capacity, or stand alone")
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece.  Ties go to the sequence opened first."""
+    """Sequence and offset of each piece, the least full sequences packed anew where that saves any."""
+    return refined(lengths, cap, *_by_falling_size(lengths, cap))
+
+
+def _by_falling_size(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
+    """Ties go to the sequence opened first."""
     limit = cap.limits()
     weight = np.array(cap.weights)
     order = np.argsort(-lengths, kind="stable")
@@ -84,6 +92,85 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
     return bins, offset
 
 
+#: Sequences packed anew after best-fit where there may be one too many, and steps of the search for each.
+AGAIN, STEPS = 64, 1000
+
+
+def _fullest(sizes: list[int], count: dict[int, int], left: list[float]) -> list[int]:
+    """Pieces that fill what is left of a sequence as far as a bounded search finds, under every capacity.
+
+    ``sizes``: lengths still there, falling; ``count``: how many of each.
+    """
+    best: list[int] = []
+    best_sum, steps = 0, 0
+    goal = left[0]
+
+    def search(at: int, tokens: float, documents: float, attention: float, chosen: list[int], total: int) -> bool:
+        nonlocal best, best_sum, steps
+        if total > best_sum:
+            best, best_sum = chosen[:], total
+        if best_sum == goal:
+            return True
+        for k in range(at, len(sizes)):
+            s = sizes[k]
+            if s > tokens or s * s > attention or documents < 1 or chosen.count(s) >= count[s]:
+                continue
+            steps += 1
+            if steps > STEPS:
+                return True
+            if search(k, tokens - s, documents - 1, attention - s * s, [*chosen, s], total + s):
+                return True
+        return False
+
+    search(0, *left, [], 0)
+    return best
+
+
+def refined(lengths: np.ndarray, cap: Capacity, bins: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pack the least full sequences anew, each filled as far as possible from its largest piece on, where that saves any.
+
+    Nothing is done where the tokens leave no sequence to save.
+    """
+    n = int(bins.max()) + 1 if len(bins) else 0
+    limit = cap.limits()
+    if n <= -(-int(lengths.sum()) // cap.tokens):
+        return bins, offset
+    full = np.bincount(bins, lengths, n)
+    again = np.sort(np.argsort(full, kind="stable")[:AGAIN])
+    rows = np.flatnonzero(np.isin(bins, again))
+    of: dict[int, list[int]] = {}
+    for i in rows[::-1].tolist():
+        of.setdefault(int(lengths[i]), []).append(i)
+    packed: list[list[int]] = []
+    while of:
+        sizes = sorted(of, reverse=True)
+        first = sizes[0]
+        count = {s: len(x) - (s == first) for s, x in of.items()}
+        left = [float(limit[0] - first), float(limit[1] - 1), float(limit[2] - first * first)]
+        chosen = [first, *_fullest([s for s in sizes if count[s]], count, left)]
+        packed.append([of[s].pop() for s in chosen])
+        of = {s: x for s, x in of.items() if x}
+    if len(packed) >= len(again):
+        return bins, offset
+    bins, offset = bins.copy(), offset.copy()
+    for name, members in zip(again.tolist(), packed):
+        at = 0
+        for i in members:
+            bins[i], offset[i] = name, at
+            at += int(lengths[i])
+    return np.unique(bins, return_inverse=True)[1], offset
+
+
+def numbered(cut: DataFrame) -> DataFrame:
+    """Rows numbered without gaps: scan partitions leave some, and shards of numbers would be as many as partitions."""
+    part = F.shiftright("row", 33)
+    rows = cut.groupBy(part.alias("part")).agg((F.max(F.col("row").bitwiseAND((1 << 33) - 1)) + 1).alias("n"))
+    # One row per partition of the scan.
+    before = rows.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    joined = cut.withColumn("part", part).join(F.broadcast(before), "part")
+    return joined.withColumn("row", F.col("before") + F.col("row").bitwiseAND((1 << 33) - 1)).select(*cut.columns)
+
+
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0, position: str | None = None) -> DataFrame:
     """``(row, doc_id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut at ``tokens``.
 
@@ -128,7 +215,8 @@ def pack(cut: DataFrame, cap: Capacity = Capacity(), shard: int = SHARD, by_row:
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["row", "piece"], kind="stable")
-        bins, offset = best_fit(part["length"].to_numpy(), cap)
+        lengths = part["length"].to_numpy()
+        bins, offset = best_fit(lengths, cap)
         if not by_row:
             return part.assign(sequence_id=part["shard"].to_numpy() * shard + bins, offset=offset)
         _, head = np.unique(bins, return_index=True)  # the first row of each sequence; bins count from 0
@@ -150,4 +238,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(),
     columns are ignored; an empty table gives an empty result.
     """
     cut = cut_lineage(pieces(docs, tokenizer, cap.tokens, end, position))
-    return pack(cut, cap, shard, position is not None).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(cut if position else numbered(cut), cap, shard, position is not None).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -19,10 +19,11 @@ ROUNDS = 8
 #: Dates from 1900-01-01 to 2099-12-31: 229 * 319 days.
 _DAY0, _DAYS = "1900-01-01", (229, 319)
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,}"
+# No group is repeated without a limit: the pattern engine goes one call deeper for each round of such a group.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9])[A-Za-z0-9.\-]*\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_key|apikey)(?-i) ?[=:] ?[\"']?[^\s\"']{6,}"
+SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_key|apikey)(?-i) ?[=:] ?[\"']?(?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[^\s\"']{6,}"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 OTHER_DATE = r"(?<![\d./])\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![\d/])(?!\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"

@@ -172,10 +172,22 @@ def fit(docs: DataFrame, labels: DataFrame, how: FM = FM()) -> Model:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = texts.select("doc_id", "text", "label").mapInArrow(work, f"doc_id {kind}, label int, at binary, value binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.at, r.value))
-    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
-    return train(rows, np.array([r.label for r in got], dtype=np.float64), how)
+    got = texts.select("doc_id", "text", "label").mapInArrow(work, f"doc_id {kind}, label int, at binary, value binary")
+    # One number may stand for many rows, so the bound is applied once more; the fit itself is the work of one task.
+    bounded = got.orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id", "at", "value").limit(how.sample).coalesce(1)
+
+    def learnt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "at", "value", "label")))]
+        held.sort(key=lambda r: r[:3])
+        rows = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(value, "<f4").astype(np.float64)) for _, at, value, _ in held]
+        m = train(rows, np.array([r[3] for r in held], dtype=np.float64), how)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.bias]), pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.factor.tobytes()], pa.binary())], names=["bias", "weight", "factor"])
+
+    found = bounded.mapInArrow(learnt, "bias double, weight binary, factor binary").collect()  # the model alone
+    if not found:
+        return train([], np.empty(0), how)
+    return Model(found[0].bias, np.frombuffer(found[0].weight), np.frombuffer(found[0].factor).reshape(-1, how.rank))
 
 
 def score(docs: DataFrame, model: Model, how: FM = FM()) -> DataFrame:

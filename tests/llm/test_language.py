@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from rowgrain.llm import language
-from tests.llm.helpers import awkward, nothing
+from helpers import awkward, nothing
 
 HELD = "/root/testdata/sf0.01/documents.parquet"
 

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 
 from rowgrain.llm import pivots
-from tests.llm.helpers import SMALL
+from helpers import SMALL
 
 SCHEMA = "vec_id long, embedding array<double>, label int, cluster string, far int"
 

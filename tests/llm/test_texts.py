@@ -369,3 +369,16 @@ def test_fingerprints_of_awkward_rows(spark):
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[6] == by[7] and by[0] == by[1] == by[2]
     assert imatch.edit_test(nothing(spark)).count() == 0
+
+
+def test_pii_of_very_long_runs_and_words_after_secrets(spark):
+    n = 1_000_000
+    long = ["x@" + "a." * n, "x@" + "a." * 5000 + "org ", "1" * n, "." * n, "1." * n, "-" * n, "+1 " + "(12)" * n, "token=" + "a" * n, "a1" * n + "@b"]
+    plain = ["the secret: nobody knew", "token: sentence of words", "password = something"]
+    docs = spark.createDataFrame(list(enumerate(long + plain)), "doc_id long, text string")
+    got = rows_of(pii.pseudonymised(docs, "k"))
+    for i, text in list(enumerate(long + plain)):
+        if i == 1:
+            assert got[i].text != text and len(got[i].text) == len(text)
+        else:
+            assert got[i].text == text

@@ -147,3 +147,40 @@ def test_best_fit_against_the_best_possible():
         packing.Capacity(10, attention=50)
     with pytest.raises(ValueError):
         packing.Capacity(10, rule="worst")
+
+
+def test_refined_packing_over_many_draws():
+    for seed in range(30):
+        draw = np.random.default_rng(seed)
+        whole = np.concatenate([draw.multinomial(100 - 4, [0.25] * 4) + 1 for _ in range(60)])
+        for rule in ("dot", "norm"):
+            cap = packing.Capacity(100, rule=rule)
+            bins, offset = packing.best_fit(whole, cap)
+            assert bins.max() + 1 <= 62
+            for b in range(bins.max() + 1):
+                own = np.flatnonzero(bins == b)
+                own = own[np.argsort(offset[own])]
+                assert len(own) and whole[own].sum() <= 100
+                assert (offset[own] == np.append(0, np.cumsum(whole[own])[:-1])).all()
+
+
+def test_capacities_that_bind():
+    lengths = np.array([60, 50, 40, 30, 20, 10] * 10)
+    for cap in (packing.Capacity(100, documents=2), packing.Capacity(100, attention=3000, alone=True), packing.Capacity(100, 3, 2600, rule="dot", alone=True)):
+        bins, offset = packing.best_fit(lengths, cap)
+        limit = cap.limits()
+        for b in range(bins.max() + 1):
+            own = lengths[bins == b]
+            assert own.sum() <= limit[0] and len(own) <= limit[1]
+            # A piece whose cost alone is beyond the limit has no company.
+            assert (own**2).sum() <= limit[2] or len(own) == 1
+    assert packing.best_fit(lengths, packing.Capacity(100, documents=2))[0].max() + 1 >= 30
+
+
+def test_sequences_do_not_depend_on_the_partitions_of_the_scan(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(draw.integers(20, 200, 600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    used = [packing.pack_documents(docs.repartition(n), path).select("sequence_id").distinct().count() for n in (1, 60)]
+    assert abs(used[0] - used[1]) <= 1

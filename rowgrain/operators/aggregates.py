@@ -8,10 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import fresh, key, money, position
-from rowgrain.operators.joins import match
-from rowgrain.operators.ordered import in_slices, slices_of_hot_keys
-from rowgrain.spec import GrainError
+from rowgrain.functions.columns import fresh, key, money
+from rowgrain.operators import slices
 
 #: A key with more rows than this is handled in pieces of about this size.
 PIECE_ROWS = 500_000
@@ -80,22 +78,12 @@ def collect_groups(
 ) -> DataFrame:
     """A collection of collections: the rows of each key as arrays of bounded length.
 
-    A key with many rows becomes several pieces, chosen by a hash of the row, so
-    no task holds more than about ``piece_rows`` rows in one array.  The result has
+    A key with more than ``piece_rows`` rows becomes several consecutive pieces of that many, so no task holds more in
+    one array, and the pieces of a key one after the other are its rows in order, whatever their size.  The result has
     the grain (keys, piece); rows inside a piece are sorted by ``order``.
     """
     rest = [*order, *[c for c in df.columns if c not in keys and c not in order]]
-    (pieces,) = fresh([*df.columns, "piece", "members"], "_pieces")
-    big = (
-        df.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_rows)).cast("long").alias(pieces))
-        .filter(F.col(pieces) > 1)
-    )
-    # At most rows / piece_rows keys are that big.
-    placed = match(df, F.broadcast(big), keys, "left", null_safe=True).withColumn(
-        "piece", F.pmod(F.xxhash64(*rest), F.coalesce(F.col(pieces), F.lit(1)))
-    )
-    return placed.groupBy(*keys, "piece").agg(
+    return slices.pieces(df, keys, order, piece_rows, "piece").groupBy(*keys, "piece").agg(
         F.sort_array(F.collect_list(F.struct(*rest))).alias("members")
     )
 
@@ -113,19 +101,14 @@ def ordered_fold(
 ) -> DataFrame:
     """Fold the values of each key in order.
 
-    Keys with many rows are folded slice by slice along the first order column,
-    which has to be a number, date or time, and ``merge`` joins the results of
-    neighbouring slices.  So ``start`` has to be neutral for ``merge``, and
-    ``merge(f(xs), f(ys))`` has to equal ``f(xs + ys)``.
+    Keys with more than ``piece_rows`` rows are folded piece by piece, and ``merge`` joins the results of neighbouring
+    pieces.  So ``start`` has to be neutral for ``merge``, and ``merge(f(xs), f(ys))`` has to equal ``f(xs + ys)``.
     """
-    pos, part, val, n = fresh([*df.columns, name], "_pos", "_part", "_val", "_run")
-    where = position(df, order[0])
-    if where is None:
-        raise GrainError(f"cannot cut {order[0]} into slices")
-    rows_in = df.select(*keys, *order, where.alias(pos), value.alias(val))
-    sliced = in_slices(rows_in, slices_of_hot_keys(rows_in, keys, pos, piece_rows), keys, pos, part, "left")
+    part, val, n = fresh([*df.columns, name], "_part", "_val", "_run")
+    rows_in = df.select(*keys, *order, value.alias(val))
     in_order = F.sort_array(F.collect_list(F.struct(*order, F.col(val).alias(val))))
-    folded = sliced.groupBy(*keys, part).agg(F.aggregate(in_order, start, lambda acc, r: step(acc, r[val])).alias(name))
+    cut = slices.pieces(rows_in, keys, order, piece_rows, part)
+    folded = cut.groupBy(*keys, part).agg(F.aggregate(in_order, start, lambda acc, r: step(acc, r[val])).alias(name))
     # Neighbouring slices are merged in runs first, so no array gets long.
     runs = _merge_in_order(folded.withColumn(n, F.floor(F.col(part) / F.lit(RUN))), [*keys, n], part, name, start, merge)
     return _merge_in_order(runs, list(keys), n, name, start, merge)

@@ -3,7 +3,7 @@
 One key may hold a large part of all rows.  "Best row per key" is an aggregate
 or a row limit that Spark already applies before the shuffle, so a hot key costs
 one row per task.  Neighbour lookups need the rows in order; there, hot keys are
-cut into consecutive time slices, each slice is handled on its own, and only the
+cut into consecutive slices of a fixed number of rows, each slice is handled on its own, and only the
 last value of every slice is carried over to the next.
 """
 
@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import fresh, position
+from rowgrain.functions.columns import fresh
+from rowgrain.operators import slices
 from rowgrain.operators.joins import match
 
 #: A key with more rows than this is cut into slices of about this size.
@@ -61,45 +62,35 @@ def carry(
     With ``inclusive`` the row's own value counts as well.  Rows of a key that
     tie in ``order`` come in any order, so end it in a tie breaker.
     """
-    val, pos, local, edge, part, finer = fresh([*df.columns, name], "_val", "_pos", "_local", "_edge", "_part", "_finer")
+    val, local, edge, part = fresh([*df.columns, name], "_val", "_local", "_edge", "_part")
     sort = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     last_row = Window.currentRow if inclusive else -1
-    tagged = df.withColumn(val, value)
-    where = position(df, order[0])
-
-    if where is None:
-        window = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row)
-        return tagged.withColumn(name, F.last(val, ignorenulls=True).over(window)).drop(val)
 
-    # Hot keys are cut into slices, and slices that a burst left too big once more.
-    placed = tagged.withColumn(pos, where)
-    hot = slices_of_hot_keys(df.select(*keys, where.alias(pos)), keys, pos, hot_rows)
-    of_hot = in_slices(df.select(*keys, where.alias(pos)), hot, keys, pos, part, "inner")
-    hotter = slices_of_hot_keys(of_hot, [*keys, part], pos, hot_rows)
+    def along(rows: DataFrame, *by: str) -> Column:
+        return F.last(val, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row))
 
-    def sliced(how):
-        return in_slices(in_slices(placed, hot, keys, pos, part, how), hotter, [*keys, part], pos, finer, "left")
+    tagged = df.withColumn(val, value)
+    hot = slices.frequent(df, keys, hot_rows)
+    if hot is None:
+        return tagged.withColumn(name, along(tagged, *keys)).drop(val)
 
-    window = Window.partitionBy(*keys, part, finer).orderBy(*sort).rowsBetween(Window.unboundedPreceding, last_row)
-    within = sliced("left").withColumn(local, F.last(val, ignorenulls=True).over(window))
+    few = match(tagged, hot, keys, "left_anti", null_safe=True)
+    placed = slices.ranked(match(tagged, hot, keys, "left_semi", null_safe=True), keys, order, part)
+    placed = placed.withColumn(part, F.floor(F.col(part) / hot_rows).cast("long"))
+    within = placed.withColumn(local, along(placed, *keys, part))
 
-    # One row per slice of a hot key: its last value, handed to the slices after it.
+    # One row per slice of a frequent key: its last value, handed to the slices after it.
     pick = F.min_by if backwards else F.max_by
-    slice_order = [F.col(c).desc() if backwards else F.col(c).asc() for c in (part, finer)]
-    across = Window.partitionBy(*keys).orderBy(*slice_order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(F.col(part).desc() if backwards else F.col(part)).rowsBetween(Window.unboundedPreceding, -1)
     known = F.col(val).isNotNull()
     edges = (
-        sliced("inner")
-        .groupBy(*keys, part, finer)
+        placed.groupBy(*keys, part)
         .agg(pick(F.when(known, F.struct(val)), F.when(known, F.struct(*order))).alias(edge))
         .withColumn(edge, F.last(edge, ignorenulls=True).over(across))
-        .select(*keys, part, finer, edge)
-    )
-    return (
-        match(within, edges, [*keys, part, finer], "left", null_safe=True)
-        .withColumn(name, F.coalesce(F.col(local), F.col(edge)[val]))
-        .select(*df.columns, name)
+        .select(*keys, part, edge)
     )
+    carried = match(within, edges, [*keys, part], "left", null_safe=True).withColumn(name, F.coalesce(F.col(local), F.col(edge)[val]))
+    return few.withColumn(name, along(few, *keys)).select(*df.columns, name).unionByName(carried.select(*df.columns, name))
 
 
 def slices_of_hot_keys(rows: DataFrame, keys: Sequence[str], pos: str, hot_rows: int) -> DataFrame:

@@ -373,7 +373,7 @@ def test_fingerprints_of_awkward_rows(spark):
 
 def test_pii_of_very_long_runs_and_words_after_secrets(spark):
     n = 1_000_000
-    long = ["x@" + "a." * n, "x@" + "a." * 5000 + "org ", "1" * n, "." * n, "1." * n, "-" * n, "+1 " + "(12)" * n, "token=" + "a" * n, "a1" * n + "@b"]
+    long = ["x@" + "a." * n, "x@" + "a." * 5000 + "org ", "1" * n, "." * n, "1." * n, "-" * n, "(12)" * n, "token=" + "a" * n, "a1" * n + "@b"]
     plain = ["the secret: nobody knew", "token: sentence of words", "password = something"]
     docs = spark.createDataFrame(list(enumerate(long + plain)), "doc_id long, text string")
     got = rows_of(pii.pseudonymised(docs, "k"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowgrain.operators import aggregates as ag
 from rowgrain.operators import ordered as od
+from rowgrain.operators import slices
 
 
 def rows(df):
@@ -158,3 +159,40 @@ def test_a_null_key_is_cut_like_any_other(table):
     assert cut.filter("k is null").select("part").distinct().count() > 1
     pieces = ag.collect_groups(hot, ["k"], ["t"], piece_rows=20).filter("k is null")
     assert pieces.count() > 5 and pieces.agg(F.sum(F.size("members"))).first()[0] == hot.filter("k is null").count()
+
+
+@pytest.mark.parametrize("piece_rows", [1, 9, 100, 10_000])
+def test_pieces_are_consecutive_whatever_their_size(spark, piece_rows):
+    """A burst at one time, ties, NULLs and text order, for one key with most rows."""
+    rng = random.Random(9)
+    data = [("hot", rng.choice([None, "", "b", "m", "m", "m", "z"]), i) for i in range(300)] + [(f"k{i % 7}", "x", i) for i in range(40)]
+    df = spark.createDataFrame(data, "k string, t string, v int").repartition(5)
+    got = ag.collect_groups(df, ["k"], ["t", "v"], piece_rows=piece_rows).collect()
+    for k in {d[0] for d in data}:
+        own = sorted((r for r in got if r.k == k), key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert all(len(r.members) == piece_rows for r in own[:-1]) and len(own[-1].members) <= piece_rows
+        members = [(m.t, m.v) for r in own for m in r.members]
+        assert members == sorted(((t, v) for kk, t, v in data if kk == k), key=lambda m: (m[0] is not None, m[0] or "", m[1]))
+    text = F.concat_ws("", F.col("v").cast("string"))
+    folded = ag.ordered_fold(df, ["k"], ["t", "v"], text, F.lit(""), lambda a, x: F.concat(a, x), lambda a, b: F.concat(a, b), piece_rows=piece_rows)
+    want = {k: "".join(str(v) for _, v in sorted(((t, v) for kk, t, v in data if kk == k), key=lambda m: (m[0] is not None, m[0] or "", m[1]))) for k in {d[0] for d in data}}
+    assert {r.k: r.folded for r in folded.collect()} == want
+
+
+def test_slices_of_equal_order_values_keep_their_size(spark):
+    """All rows of the key at one time: a cut by time would leave one slice."""
+    df = spark.range(500).select(F.lit(1).alias("k"), F.lit(7).alias("t"), F.col("id").alias("v"))
+    cut = slices.pieces(df, ["k"], ["t"], 60, "piece")
+    assert sorted(r["count"] for r in cut.groupBy("piece").count().collect()) == [20, *[60] * 8]
+    same = slices.pieces(df.withColumn("v", F.lit(1)), ["k"], ["t"], 60, "piece")  # rows that nothing tells apart
+    assert sorted(r["count"] for r in same.groupBy("piece").count().collect()) == [20, *[60] * 8]
+
+
+def test_carry_over_text_order_in_slices(spark):
+    rows_in = [("k", f"{i:03d}", i if i % 3 else None) for i in range(90)] + [("k", None, 500)]
+    df = spark.createDataFrame(rows_in, "k string, t string, v int")
+    for back in (False, True):
+        w = Window.partitionBy("k").orderBy(F.col("t").desc() if back else F.col("t")).rowsBetween(Window.unboundedPreceding, -1)
+        want = df.withColumn("x", F.last("v", ignorenulls=True).over(w))
+        assert rows(od.carry(df, ["k"], ["t"], F.col("v"), "x", backwards=back, hot_rows=8)) == rows(want)

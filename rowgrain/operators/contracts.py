@@ -71,6 +71,17 @@ def unchanged_versions(df, ek, since, payload, hot_rows: int = HOT_ROWS) -> Data
     return seen.filter(F.col("_before").isNotNull() & F.col("_before").eqNullSafe(F.struct(*payload))).drop("_before")
 
 
+def repaired_versions(df, ek, since, payload, name: str = "valid_to", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Versions that change something, with their end: a run of neighbours with equal payload becomes its first row.
+
+    The end is the start of the next version that is kept, NULL for the newest.  What :func:`unchanged_versions` finds
+    is gone, so the result keeps the contract of :func:`multi_version`.
+    """
+    seen = previous_row(df, ek, [since], payload, "_before", hot_rows=hot_rows)
+    same = F.col("_before").isNotNull() & F.col("_before").eqNullSafe(F.struct(*payload))
+    return valid_to(seen.filter(~same).drop("_before"), ek, since, name, hot_rows)
+
+
 def valid_to(df, ek, since, name: str = "valid_to", hot_rows: int = HOT_ROWS) -> DataFrame:
     """End of validity: the start of the next version, NULL for the newest."""
     seen = next_row(df, ek, [since], [since], "_after", hot_rows=hot_rows)

@@ -390,6 +390,16 @@ def b3_unchanged_versions(spark, sf):
     return found.select("event_id", "user_id", "event_type")
 
 
+@query("b3b_repair_versions", """
+    WITH kept AS (SELECT * FROM (
+        SELECT *, ROW_NUMBER() OVER w AS n, LAG(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+        WHERE n = 1 OR before IS DISTINCT FROM event_type)
+    SELECT event_id, user_id, event_type, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM kept""")
+def b3b_repair_versions(spark, sf):
+    found = ct.repaired_versions(raw(spark, sf, "events"), ["user_id"], "ts", ["event_type"])
+    return found.select("event_id", "user_id", "event_type", "ts", "valid_to")
+
+
 @query("w4_valid_to", "SELECT event_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM events")
 def w4_valid_to(spark, sf):
     return ct.valid_to(raw(spark, sf, "events"), ["user_id"], "ts").select("event_id", "ts", "valid_to")
@@ -454,15 +464,22 @@ def b7_seq_ordered(spark, sf):
     return ct.report(ct.sequence_ordered(raw(spark, sf, "part"), ["p_partkey"], "p_retailprice"))
 
 
+#: All items, and copies of each first one whose order does not exist.
+_LOST_ITEMS = "SELECT l_orderkey FROM lineitem UNION ALL SELECT -l_orderkey FROM lineitem WHERE l_linenumber = 1"
+
+
 @query("b8_has_parent", _rules(
-    parent_exists="SELECT 1 FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
+    parent_exists=f"SELECT 1 FROM ({_LOST_ITEMS}) WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     parent_key_unique=_dup("orders", "o_orderkey")))
 def b8_has_parent(spark, sf):
-    parents = raw(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
-    return ct.report(ct.has_parent(raw(spark, sf, "lineitem"), ["l_orderkey"], parents, ["o_orderkey"]))
+    items = raw(spark, sf, "lineitem")
+    lost = items.filter("l_linenumber = 1").withColumn("l_orderkey", -F.col("l_orderkey"))
+    return ct.report(ct.has_parent(items.unionByName(lost), ["l_orderkey"], raw(spark, sf, "orders"), ["o_orderkey"]))
 
 
-_PAIRS = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem"
+#: All pairs, and copies of those with one unit whose supplier does not exist.
+_PAIRS = """SELECT DISTINCT l_partkey, l_suppkey FROM lineitem
+    UNION ALL SELECT DISTINCT l_partkey, -l_suppkey FROM lineitem WHERE l_quantity = 1"""
 
 
 @query("b9_link", _rules(
@@ -470,12 +487,14 @@ _PAIRS = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem"
     parties_not_null=f"SELECT 1 FROM ({_PAIRS}) WHERE l_partkey IS NULL OR l_suppkey IS NULL",
     pair_unique=f"SELECT 1 FROM ({_PAIRS}) GROUP BY l_partkey, l_suppkey HAVING COUNT(*) > 1",
     party1_exists=f"SELECT 1 FROM ({_PAIRS}) WHERE l_partkey NOT IN (SELECT p_partkey FROM part)",
-    party2_exists=f"SELECT 1 FROM ({_PAIRS}) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"))
+    party2_exists=f"SELECT 1 FROM ({_PAIRS}) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)"))
 def b9_link(spark, sf):
-    pairs = frame(spark, sf, "lineitem").project_distinct("l_partkey", "l_suppkey").df
-    suppliers = raw(spark, sf, "supplier").filter(F.col("s_acctbal") >= 0)
+    items = frame(spark, sf, "lineitem")
+    pairs = items.project_distinct("l_partkey", "l_suppkey").df
+    lost = items.where(F.col("l_quantity") == 1).project_distinct("l_partkey", "l_suppkey").df.withColumn("l_suppkey", -F.col("l_suppkey"))
+    suppliers = raw(spark, sf, "supplier")
     return ct.report(ct.link(
-        pairs, ["l_partkey", "l_suppkey"], ["l_partkey"], raw(spark, sf, "part"), ["p_partkey"], ["l_suppkey"], suppliers, ["s_suppkey"]
+        pairs.unionByName(lost), ["l_partkey", "l_suppkey"], ["l_partkey"], raw(spark, sf, "part"), ["p_partkey"], ["l_suppkey"], suppliers, ["s_suppkey"]
     ))
 
 
@@ -524,14 +543,16 @@ def b11_integrate(spark, sf):
     price_positive="SELECT 1 FROM orders WHERE NOT COALESCE(o_totalprice > 0, FALSE)",
     discount_small="SELECT 1 FROM lineitem WHERE NOT COALESCE(l_discount < 0.1, FALSE)",
     more_items_than_orders="SELECT 1 WHERE NOT ((SELECT COUNT(*) FROM lineitem) > (SELECT COUNT(DISTINCT l_orderkey) FROM lineitem))",
-    label_has_document="SELECT 1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+    label_has_document="""SELECT 1 FROM (SELECT doc_id FROM labels UNION ALL SELECT -1 - doc_id FROM labels WHERE toxic = 1)
+        WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""))
 def b12_constraints(spark, sf):
     items = raw(spark, sf, "lineitem")
     more = ct.whole_collection(items, F.count(F.lit(1)) > F.count_distinct("l_orderkey"))
-    english = raw(spark, sf, "documents").filter(F.col("lang") == "en")
+    labels = raw(spark, sf, "labels").select("doc_id", "toxic")
+    lost = labels.filter("toxic = 1").withColumn("doc_id", F.lit(-1) - F.col("doc_id"))
     return ct.report({
         "price_positive": ct.each_row(raw(spark, sf, "orders"), F.col("o_totalprice") > 0),
         "discount_small": ct.each_row(items, F.col("l_discount") < 0.1),
         "more_items_than_orders": more.filter(~F.col("holds")),
-        "label_has_document": ct.across(raw(spark, sf, "labels"), ["doc_id"], english, ["doc_id"]),
+        "label_has_document": ct.across(labels.unionByName(lost), ["doc_id"], raw(spark, sf, "documents"), ["doc_id"]),
     })

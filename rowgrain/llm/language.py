@@ -151,9 +151,14 @@ def fit(docs: DataFrame, how: Centroids = Centroids()) -> Model | None:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id", F.lit(how.seed))
     first = lambda rows, order: rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_rank") <= how.per_language).drop("_rank")
-    picked = cut_lineage(first(known.select("doc_id", "lang").distinct(), [draw, "doc_id"]))
-    if picked.select("lang").distinct().limit(how.languages + 1).count() > how.languages:
+    numbers = known.select("doc_id", "lang").distinct()
+    sizes = cut_lineage(numbers.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.limit(how.languages + 1).count() > how.languages:
         raise ValueError(f"more than {how.languages} languages")
+    # About twice as many as are wanted go on of a frequent language, so that none fills the task that ranks them.
+    low = F.pmod(draw, F.lit(1 << 40)).cast("double") * F.col("_size") < F.lit(2.0 * how.per_language * (1 << 40))
+    drawn = numbers.join(F.broadcast(sizes), "lang").filter(low).drop("_size")
+    picked = cut_lineage(first(drawn, [draw, "doc_id"]))
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])  # languages * per_language rows at most
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,12 +216,12 @@ def audit_join(
     size_law = len(jg.f1) - len(jg.f2) == len(n1 & jk) - len(n2 & jk)
     smallest = len(jg.grain) <= min(len(jg.f1), len(jg.f2))
     checks = [
-        ("P1_uniqueness", _verdict(unique, yes, yes)),
-        ("P2_minimality", _verdict(conv_min, F.lit(len(jg.grain) > 1) & enough, inputs_ok & conv_min)),
-        ("P3_wrong_direction", _verdict(F.col(f"{wrong_tag}_removable") > 0, F.lit(ordered and len(wrong) > 1) & enough, yes)),
-        ("P4_incomparable_both", _verdict(both_min, F.lit(jg.relation == "incomparable") & enough, inputs_ok & both_min)),
-        ("P5_size_relationship", _verdict(F.lit(size_law), yes, yes)),
-        ("P6_convention_smallest", _verdict(F.lit(smallest), yes, yes)),
+        ("P1_both_keys_unique", _verdict(unique, yes, yes)),
+        ("P2_kept_key_minimal", _verdict(conv_min, F.lit(len(jg.grain) > 1) & enough, inputs_ok & conv_min)),
+        ("P3_larger_key_reducible", _verdict(F.col(f"{wrong_tag}_removable") > 0, F.lit(ordered and len(wrong) > 1) & enough, yes)),
+        ("P4_unordered_keys_minimal", _verdict(both_min, F.lit(jg.relation == "incomparable") & enough, inputs_ok & both_min)),
+        ("P5_sizes_agree", _verdict(F.lit(size_law), yes, yes)),
+        ("P6_kept_key_not_larger", _verdict(F.lit(smallest), yes, yes)),
     ]
     return row.select(
         F.explode(

@@ -76,12 +76,12 @@ def v2b_removable(spark, sf):
     WITH j AS (SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
          n AS (SELECT COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS f1, COUNT(DISTINCT (o_orderkey, o_custkey)) AS f2,
                       COUNT(DISTINCT o_custkey) AS f2_less FROM j)
-    SELECT 'P1_uniqueness' AS property, CASE WHEN n = f1 AND n = f2 THEN 'pass' ELSE 'fail' END AS result FROM n
-    UNION ALL SELECT 'P2_minimality', 'pass' FROM n
-    UNION ALL SELECT 'P3_wrong_direction', CASE WHEN n <= 1 OR f1 = n OR f2_less = n THEN 'pass' ELSE 'fail' END FROM n
-    UNION ALL SELECT 'P4_incomparable_both', 'pass' FROM n
-    UNION ALL SELECT 'P5_size_relationship', 'pass' FROM n
-    UNION ALL SELECT 'P6_convention_smallest', 'pass' FROM n""")
+    SELECT 'P1_both_keys_unique' AS property, CASE WHEN n = f1 AND n = f2 THEN 'pass' ELSE 'fail' END AS result FROM n
+    UNION ALL SELECT 'P2_kept_key_minimal', 'pass' FROM n
+    UNION ALL SELECT 'P3_larger_key_reducible', CASE WHEN n <= 1 OR f1 = n OR f2_less = n THEN 'pass' ELSE 'fail' END FROM n
+    UNION ALL SELECT 'P4_unordered_keys_minimal', 'pass' FROM n
+    UNION ALL SELECT 'P5_sizes_agree', 'pass' FROM n
+    UNION ALL SELECT 'P6_kept_key_not_larger', 'pass' FROM n""")
 def v3_audit_join(spark, sf):
     return vf.audit_join(
         raw(spark, sf, "orders"), raw(spark, sf, "customer"), [("o_custkey", "c_custkey")], ["o_orderkey"], ["c_custkey"]

@@ -93,16 +93,19 @@ class Fingerprinter:
     def __call__(self, text: str | None) -> str:
         found = terms(text)
         place = self.place
-        at = [place[w] for w in found if w in place]
+        at = [p for p in map(place.get, found) if p is not None]
         if len(at) >= self.how.least:
             rows = self.rows[np.sort(np.array(at))]
         else:  # too few terms in the band: all of them, in sorted order
             rows = term_rows(sorted(found), self.how).reshape(-1, 2)
-        held = (rows[:, 1][:, None] >> np.arange(self.n, dtype=np.uint64)) & np.uint64(1)
-        code = ["0" * DIGITS] * self.n
-        for s in np.flatnonzero(held.any(0)).tolist():
-            raw = rows[held[:, s] == 1, 0].tobytes()
-            code[s] = f"{1 + xxhash.xxh64_intdigest(raw, s) % (16**DIGITS - 1):0{DIGITS}x}"
+        # A row per subset; the hashes of its terms lie one after the other.
+        bits = np.unpackbits(rows[:, 1].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=self.n)
+        subset, term = np.divmod(np.flatnonzero(np.ascontiguousarray(bits.T).view(bool)), max(len(rows), 1))
+        raw, ends = rows[term, 0].tobytes(), (8 * np.cumsum(np.bincount(subset, minlength=self.n))).tolist()
+        code, lo = [], 0
+        for s, hi in enumerate(ends):
+            code.append(f"{1 + xxhash.xxh64_intdigest(raw[lo:hi], s) % (16**DIGITS - 1):0{DIGITS}x}" if hi > lo else "0" * DIGITS)
+            lo = hi
         whole = f"{1 + xxhash.xxh64_intdigest(rows[:, 0].tobytes(), self.n) % (16**DIGITS - 1):0{DIGITS}x}" if len(rows) else "0" * DIGITS
         return "".join([whole, *code])
 

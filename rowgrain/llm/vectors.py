@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,36 +74,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = REC
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors (vec_id, embedding)``.
 
     Equal vectors are one node with copies, so a frequent vector costs nothing.  NULL, zero and empty vectors, and
-    those with NULL or non-finite components, have no links.  All other vectors must have the same length; a length
-    other than the most frequent one has no links.  ``component_id`` is the smallest ``vec_id`` reachable.  Rows with
+    those with NULL or non-finite components, have no links; how large or small finite components are makes no
+    difference.  Vectors of different lengths have no cosine, so each length is searched by itself, one after the
+    other.  ``component_id`` is the smallest ``vec_id`` reachable.  Rows with
     a NULL ``vec_id`` have no links and are returned with NULL names; ``vec_id`` is a key otherwise.  Other columns
     are ignored; an empty table gives an empty result.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    usable = F.coalesce((norm > 0) & (norm < float("inf")) & ~F.isnan(norm) & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
-    sizes = rows.filter("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).first()
-    dim = sizes["dim"] if sizes else 1
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v"))).withColumn("value", F.xxhash64("v"))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.coalesce(finite & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, v).alias("v")).withColumn("value", F.xxhash64("v"))
     # A node is a vector with all its copies; the hash of the vector only shortens the key.
     reps = cut_lineage(
         rows.filter("v is not null").groupBy("value", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    tables, bits = tables_and_bits(reps.count(), cosine, recall)
-
-    def unit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f8")
-            yield pa.RecordBatch.from_arrays(
-                [b["id"], b["copies"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "copies", "vector"]
-            )
-
-    units = reps.select("id", "copies", "v").mapInArrow(unit, "id long, copies long, vector binary")
-    keyed = units.mapInArrow(_hashed(dim, tables, bits, seed), "table int, key long, id long, copies long, data binary")
-    found = cut_lineage(linked_in_buckets(keyed, _close(dim, cosine)))
+    # As many rows as lengths.
+    sizes = reps.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()
+    searched = [_found(reps.filter(F.size("v") == s["dim"]), s["dim"], s["count"], cosine, recall, seed) for s in sizes]
+    if not searched:
+        none = F.col("vec_id")
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), none.alias("component_id"), (none == none).alias("kept"))
+    found = cut_lineage(reduce(DataFrame.unionByName, searched))
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("others"))
     roots = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "id")
     nodes = (
@@ -119,3 +111,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = REC
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         (F.col("vec_id") == component).alias("kept"),
     )
+
+
+def _found(reps: DataFrame, dim: int, n: int, cosine: float, recall: float, seed: int) -> DataFrame:
+    """``(a, b, links)`` among the ``n`` nodes ``reps (id, copies, v)`` of one length."""
+    tables, bits = tables_and_bits(n, cosine, recall)
+
+    def unit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f8")
+            yield pa.RecordBatch.from_arrays(
+                [b["id"], b["copies"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "copies", "vector"]
+            )
+
+    units = reps.select("id", "copies", "v").mapInArrow(unit, "id long, copies long, vector binary")
+    keyed = units.mapInArrow(_hashed(dim, tables, bits, seed), "table int, key long, id long, copies long, data binary")
+    return linked_in_buckets(keyed, _close(dim, cosine))

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowgrain.functions.columns import fresh
 from rowgrain.llm.links import SALTS, components, forest, linked_in_buckets, runs_of, with_components
 from rowgrain.session import cut_lineage
 
@@ -119,15 +120,15 @@ def fingerprint(hashes: np.ndarray, words64: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
-    """``(doc_id, fp binary)`` for every document; no words: zero."""
+    """``(doc_id, text_hash, fp binary)`` for every document; no words: zero."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(shingle_hashes(t or "", how.words, how.seed), how.words64).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(fp, pa.binary())], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, f"doc_id {kind}, text_hash long, fp binary")
 
 
 def shingle_set(text: str | None, how: SimHash) -> np.ndarray:
@@ -295,13 +296,14 @@ def bucketed(reps: DataFrame, how: SimHash) -> DataFrame:
     return reps.select("id", "fp").mapInArrow(work, "table int, key long, id long, copies long, data binary")
 
 
-def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``.
 
     Documents with one fingerprint (with a similarity: one set of shingles) are one node, so copies cost nothing.  ``component_id`` is the smallest ``doc_id``
     reachable over links.  A NULL text counts as empty; an empty one has the fingerprint zero and is linked like any
     other.  Rows with a NULL ``doc_id`` take part, but a component is only named by one of them if it
     has no other, and then its name is NULL.  Repeated rows come back repeated; other columns are ignored; an empty table gives an empty result.
+    ``names``: the columns that name a row, of ``doc_id`` and ``text_hash``.
     """
     docs, exact = docs.withColumn("doc_id", F.col("doc_id").cast("long")), how.similarity > 0
     fps = cut_lineage(set_fingerprints(docs, how) if exact else fingerprints(docs, how))
@@ -322,14 +324,18 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     shared = found.filter("n > 1 or component is not null").select(by[0], F.coalesce("component", "id").alias("component"))
     named = F.coalesce("component", "doc_id")
     return with_components(fps, by[0], shared).select(
-        "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(named < NAMELESS, named).alias("component_id")
+        *names, F.lower(F.hex("fp")).alias("fingerprint"), F.when(named < NAMELESS, named).alias("component_id")
     )
 
 
 def keep_first(docs: DataFrame, how: SimHash) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest ``doc_id``.
 
-    Columns as given.  Rows with a NULL ``doc_id`` stay; of rows with one ``doc_id`` all stay or none.
+    Columns as given.  Rows with a NULL ``doc_id`` stay; rows that share ``doc_id`` and text stay or go together, and
+    those that share the ``doc_id`` alone are judged each by its own text.
     """
-    gone = near_duplicates(docs, how).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    k, text = fresh(docs.columns, "_doc", "_text")
+    gone = near_duplicates(docs, how, ("doc_id", "text_hash")).filter("doc_id <> component_id").select(
+        F.col("doc_id").alias(k), F.col("text_hash").alias(text)).distinct()
+    named = docs.withColumns({k: F.col("doc_id").cast("long"), text: F.xxhash64("text")})
+    return named.join(gone, [k, text], "left_anti").select(*docs.columns)

@@ -51,6 +51,14 @@ def test_complete_keys_miss_no_pair(distance):
         assert not near or any((bits[0, p] == bits[1, p]).all() for p in at)
 
 
+def test_rows_of_one_number_go_by_their_own_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, a, 0), (2, a, 1), (2, b, 2), (3, b, 3), (None, a, 4), (4, None, 5), (5, "", 6)], "doc_id long, text string, _doc int")
+    for how in (simhash.SimHash(words=4), simhash.SimHash.for_similarity(7)):
+        kept = simhash.keep_first(docs, how)
+        assert kept.columns == docs.columns and sorted(r._doc for r in kept.collect()) == [0, 2, 4, 5]
+
+
 def test_large_buckets_come_in_blocks(spark):
     draw = random.Random(3)
     center = draw.getrandbits(64)
@@ -171,6 +179,13 @@ def test_vectors_equal_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_scale_and_length(spark):
+    pairs = [[1e200, 0.0], [1e200, 1e190], [1e-200, 0.0], [2e-200, 0.0], [0.0, 5e-324], [0.0, -1e308], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0]]
+    df = spark.createDataFrame(list(enumerate(pairs)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, recall=0.99999).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_repeated_and_unnamed_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = vectors.near_duplicates(df).collect()

@@ -263,6 +263,16 @@ class GrainedFrame:
             return joined.where(condition)
         return self._paired(other, jn.theta_join(self.df, other.df, condition, grid=grid))
 
+    def range_join(
+        self, other: "GrainedFrame", at: str, low: str, high: str, closed: str = "both", equal: str | jn.Pairs = (), open_ends: bool = False
+    ) -> "GrainedFrame":
+        """Each row with the intervals of ``other`` that its ``at`` lies in; the grain is that of a theta join."""
+        df = jn.range_join(self.df, other.df, at, low, high, closed, equal, open_ends)
+        if not equal:
+            return self._paired(other, df)
+        joined = self.join(other, equal)
+        return GrainedFrame(df.select(*joined.columns), joined.spec)
+
     def product(self, other: "GrainedFrame", grid=None) -> "GrainedFrame":
         return self._paired(other, jn.product(self.df, other.df, grid))
 

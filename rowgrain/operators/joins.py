@@ -10,7 +10,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import fresh
+from rowgrain.functions.columns import fresh, position
 from rowgrain.spec import GrainError
 
 LEFT_SUFFIX, RIGHT_SUFFIX = "_r1", "_r2"
@@ -156,6 +156,73 @@ def theta_join(
     return product(left, right, grid).filter(condition)
 
 
+#: Bits between two widths of band: an interval is listed under 2 + 2 ** LEVEL_BITS bands at most.
+LEVEL_BITS = 4
+_LARGEST = 1.7976931348623157e308
+_INSIDE = {
+    "both": lambda x, a, b: ((x >= a), (x <= b)), "neither": lambda x, a, b: ((x > a), (x < b)),
+    "low": lambda x, a, b: ((x >= a), (x < b)), "high": lambda x, a, b: ((x > a), (x <= b)),
+}
+
+
+def range_join(
+    points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, closed: str = "both",
+    equal: str | Pairs = (), open_ends: bool = False,
+) -> DataFrame:
+    """Every point with every interval it lies in, found by an index of bands instead of all pairs.
+
+    Bands come in widths that differ by a factor of 16.  An interval picks the narrowest width of which some 16 bands
+    cover it and is listed under those; a point is in one band of each width that any interval picked.  So a pair meets
+    once, and the rows compared are at most about three times the result wherever points lie evenly inside an interval.
+    Where many points and intervals share a band, so do they in the result; Spark splits such a band between tasks.
+
+    ``closed``: ``both``, ``neither``, ``low`` or ``high`` end belongs to the interval.  ``equal``: columns that have to
+    be equal as well.  NULL and NaN are in no interval; a NULL end matches nothing, or with ``open_ends`` has no limit.
+    Columns are named as by ``equi_join``.  Two small jobs look at the span of the points and the widths in use.
+    """
+    if closed not in _INSIDE:
+        raise GrainError(f"closed is one of {', '.join(_INSIDE)}")
+    pairs = key_pairs(equal) if equal else []
+    if pairs:
+        names = plan_names(points.columns, intervals.columns, pairs)
+        lnames, rnames = dict(names.left), dict(names.right)
+    else:
+        lnames, rnames = map(dict, disjoint_names(points, intervals))
+    l, r = points.withColumnsRenamed(lnames), intervals.withColumnsRenamed(rnames)
+    keys = [a for a, _ in pairs]
+    columns = [*l.columns, *[c for c in r.columns if c not in keys]]
+    at, low, high = lnames.get(at, at), rnames.get(low, low), rnames.get(high, high)
+    where, start, end = position(l, at), position(r, low), position(r, high)
+    if where is None or start is None or end is None:
+        raise GrainError("a range join needs numbers, dates or times")
+    pos, lo, hi, level, band = fresh(columns, "_pos", "_lo", "_hi", "_level", "_band")
+    within = lambda c: F.least(F.greatest(c, F.lit(-_LARGEST)), F.lit(_LARGEST))
+    l = l.withColumn(pos, where).filter(F.col(pos).isNotNull() & ~F.isnan(pos)).withColumn(pos, within(F.col(pos)))
+    first, last = l.agg(F.min(pos), F.max(pos)).first()
+    if first is None:
+        return l.join(r.limit(0), F.lit(False)).select(*columns) if not keys else l.join(r.limit(0), keys).select(*columns)
+    if open_ends:
+        start, end = F.coalesce(start, F.lit(-_LARGEST)), F.coalesce(end, F.lit(_LARGEST))
+    r = r.withColumn(lo, start).withColumn(hi, end).filter(
+        (F.col(lo) <= F.col(hi)) & (F.col(lo) <= F.lit(last)) & (F.col(hi) >= F.lit(first)) & ~F.isnan(lo)
+    )
+    r = r.withColumn(lo, F.greatest(F.col(lo), F.lit(first))).withColumn(hi, F.least(F.col(hi), F.lit(last)))
+    # Logarithms of zero are NULL, which greatest() passes over.  Places stay below 2 ** 50 bands, so they are exact.
+    spread, size = F.log2(F.col(hi) / 2 - F.col(lo) / 2) + 1, F.log2(F.greatest(F.abs(lo), F.abs(hi)))
+    wide = F.greatest(F.ceil(spread / LEVEL_BITS) - 1, F.ceil((size - 50) / LEVEL_BITS), F.lit(-1000 // LEVEL_BITS).cast("long"))
+    r = r.withColumn(level, wide.cast("int"))
+    levels = [x[0] for x in r.select(level).distinct().collect()]  # a few hundred exist
+    width = F.pow(F.lit(2.0), F.col(level) * LEVEL_BITS)
+    place = lambda c: F.floor(F.col(c) / width)
+    l = l.withColumn(level, F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    l = l.filter(F.abs(F.col(pos) / width) <= 2.0**52).withColumn(band, place(pos)).drop(pos)
+    r = r.withColumn(band, F.explode(F.sequence(place(lo), place(hi)))).drop(lo, hi)
+    above, below = _INSIDE[closed](F.col(at), F.col(low), F.col(high))
+    if open_ends:
+        above, below = F.col(low).isNull() | above, F.col(high).isNull() | below
+    return l.join(r, [*keys, level, band]).filter(above & below).select(*columns)
+
+
 def semi_join(
     left: DataFrame, right: DataFrame, on: str | Pairs, right_unique: bool = False, left_unique: bool = False, null_safe: bool = False
 ) -> DataFrame:

@@ -187,12 +187,26 @@ def j6_theta_join(spark, sf):
         orders.aggregate("o_orderpriority", low=ag.least("o_totalprice"), high=ag.greatest("o_totalprice"))
         .rename({"o_orderpriority": "band"})
     )
-    inside = (F.col("o_totalprice") > F.col("low")) & (F.col("o_totalprice") < F.col("high"))
-    grid = jn.balanced_grid(orders.df, bands.df)
-    joined = orders.theta_join(bands, inside, grid=grid).expect_grain("o_orderkey", "band")
+    joined = orders.range_join(bands, "o_totalprice", "low", "high", closed="neither").expect_grain("o_orderkey", "band")
     return joined.aggregate(["band", "o_orderpriority"], n=ag.rows()).df
 
 
+@query("j6_range_join", """
+    WITH p AS (SELECT event_id AS purchase, user_id, ts AS bought, ts + to_minutes(CAST(FLOOR(value) AS BIGINT)) AS until FROM events WHERE event_type = 'purchase')
+    SELECT purchase, COUNT(*) AS n_after, MIN(ts) AS first_after FROM events e JOIN p ON e.user_id = p.user_id AND ts > bought AND ts <= until
+    GROUP BY purchase""")
+def j6_range_join(spark, sf):
+    """What a user did in the minutes after a purchase, as many as its value; windows of very different lengths."""
+    events = frame(spark, sf, "events")
+    until = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int"))
+    windows = (
+        events.where(F.col("event_type") == "purchase").extend(until=until)
+        .select("event_id", "user_id", "ts", "until").rename({"event_id": "purchase", "ts": "bought"})
+    )
+    seen = events.select("event_id", "user_id", "ts").range_join(windows, "ts", "bought", "until", closed="high", equal="user_id")
+    return seen.expect_grain("event_id", "purchase").aggregate("purchase", n_after=ag.rows(), first_after=ag.least("ts")).df
+
+
 @query("j7_predicate_join", """
     SELECT event_type, COUNT(*) AS n FROM events JOIN customer ON user_id = c_custkey AND value * 100 > c_acctbal
     GROUP BY event_type""")

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgrain.frame import GrainedFrame
-from rowgrain.functions.columns import position
+from rowgrain.functions.columns import fresh, position
+from rowgrain.operators import slices
 from rowgrain.operators.collections import count_sides
-from rowgrain.operators.joins import equi_join, unmatched
+from rowgrain.operators.joins import equi_join, range_join, unmatched
 from rowgrain.operators.ordered import HOT_ROWS, latest_per_key, next_row, previous_row
 from rowgrain.operators.verify import duplicates
+from rowgrain.session import cut_lineage
 from rowgrain.spec import GrainError
 
 Rules = dict[str, DataFrame]
@@ -102,7 +104,7 @@ sequence_ordered = sequence  # the same contract for an order other than time
 
 # States at a time ------------------------------------------------------------
 
-def states_at(
+def state_intervals(
     versions: DataFrame,
     ek: Sequence[str],
     since: str,
@@ -110,50 +112,51 @@ def states_at(
     times: DataFrame,
     at: str,
     tie: Sequence[str] = (),
+    first: str = "first_at",
+    before: str = "before_at",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The state of every entity at every snapshot time: ``at, ek, since, payload``.
+    """The versions that snapshots see: ``ek, since, payload``, and the snapshots from ``first`` on and below ``before``.
 
-    The snapshot times cut the time line into periods.  Of each entity and
-    period only the newest version is kept (an aggregate, so a busy entity is
-    one row per task and period).  It stands for the snapshot that ends its
-    period and for the following ones, up to the next period with a version.
-
-    One small job measures the span of the snapshot times.
+    ``before`` is NULL for a state that lasts.  There is one row per version that some snapshot shows, however many
+    snapshots show it.  A version meets the first snapshot at or after its start by a range join with the spans
+    between snapshots; of those that meet the same one the newest counts.
     """
-    moments = times.select(F.col(at).alias("_at")).filter(F.col("_at").isNotNull()).distinct()
-    moment_pos, version_pos = position(moments, "_at"), position(versions, since)
-    if moment_pos is None or version_pos is None:
+    if position(times, at) is None or position(versions, since) is None:
         raise GrainError("snapshot times have to be numbers, dates or times")
-    low, high, n = moments.agg(F.min(moment_pos), F.max(moment_pos), F.count(F.lit(1))).first()
-    width = (high - low) / n if n > 1 and high > low else 1.0
-    band = lambda pos: F.floor((pos - F.lit(low)) / F.lit(width)).cast("long")
-
-    # As many rows as snapshots are asked for, however many versions there are.
-    in_time = Window.orderBy("_at")
-    cuts = moments.select(
-        "_at",
-        F.lag("_at").over(in_time).alias("_before"),
-        F.row_number().over(in_time).cast("long").alias("_no"),
-        moment_pos.alias("_pos"),
-        F.coalesce(F.lag(moment_pos).over(in_time), moment_pos).alias("_pos_before"),
-    )
-    # A period is listed under each band of time it touches, a version under its one band.
-    periods = cuts.select("_at", "_before", "_no", F.explode(F.sequence(band(F.col("_pos_before")), band(F.col("_pos")))).alias("_band"))
-    rest = [c for c in (*payload, *tie) if c not in (*ek, since)]
-    placed = versions.select(
-        *ek, since, *dict.fromkeys(rest), band(F.greatest(version_pos, F.lit(low))).alias("_band")
-    )
-    dated = placed.join(periods, "_band").filter(
-        (F.col(since) <= F.col("_at")) & (F.col("_before").isNull() | (F.col(since) > F.col("_before")))
-    )
+    rest = list(dict.fromkeys(c for c in (*payload, *tie) if c not in (*ek, since)))
+    told = versions.select(*ek, since, *rest)
+    started, ended, line = fresh([*told.columns, first, before], "_after", "_upto", "_line")
+    moments = times.select(F.col(at).alias(ended)).filter(F.col(ended).isNotNull()).distinct().withColumn(line, F.lit(0))
+    spans = previous_row(moments, [line], [ended], [ended], started, hot_rows=hot_rows)
+    spans = spans.select(F.col(started)[ended].alias(started), ended)
+    met = range_join(told, spans, since, started, ended, closed="high", open_ends=True).drop(started).withColumnRenamed(ended, first)
+    # Read twice below, so the range join is run once.
+    newest = cut_lineage(latest_per_key(met, [*ek, first], [since, *tie]))
+    (after,) = fresh(newest.columns, "_next")
+    held = next_row(newest, ek, [first], [first], after, hot_rows=hot_rows)
+    return held.select(*ek, since, *[c for c in payload if c not in (*ek, since)], first, F.col(after)[first].alias(before))
 
-    newest = latest_per_key(dated.drop("_band", "_at", "_before"), [*ek, "_no"], [since, *tie])
-    # At most one row per snapshot and entity from here on.
-    upto = F.lead("_no").over(Window.partitionBy(*ek).orderBy("_no")) - F.lit(1)
-    held = newest.withColumn("_upto", F.coalesce(upto, F.lit(n).cast("long"))).withColumn(
-        "_no", F.explode(F.sequence("_no", "_upto"))
-    )
-    return held.join(cuts.select("_no", "_at"), "_no").select(F.col("_at").alias(at), *ek, since, *payload)
+
+def states_at(
+    versions: DataFrame,
+    ek: Sequence[str],
+    since: str,
+    payload: Sequence[str],
+    times: DataFrame,
+    at: str,
+    tie: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The state of every entity at every snapshot time: ``at, ek, since, payload``.
+
+    As large as entities times snapshots; :func:`state_intervals` says the same in a row per version.
+    """
+    first, before, moment = fresh([*versions.columns, at], "_first", "_until", "_moment")
+    held = state_intervals(versions, ek, since, payload, times, at, tie, first, before, hot_rows)
+    moments = times.select(F.col(at).alias(moment)).filter(F.col(moment).isNotNull()).distinct()
+    shown = range_join(moments, held, moment, first, before, closed="low", open_ends=True)
+    return shown.select(F.col(moment).alias(at), *ek, since, *payload)
 
 
 def snapshot(
@@ -162,23 +165,83 @@ def snapshot(
 ) -> Rules:
     """Each moment once, and its collection is exactly the states of all entities then.
 
-    ``collection`` is an array of structs with the columns ``ek, since, payload``.
+    ``collection`` is an array of structs with the columns ``ek, since, payload``.  A collection is summed up inside
+    its row; the states are never laid out per snapshot.
     """
-    told = snapshots.select(at, F.explode(collection).alias("_e")).select(at, "_e.*")
     return {
         "time_not_null": _nulls(snapshots, [at]),
         "time_unique": duplicates(snapshots, [at]),
-        "collection_is_complete": snapshot_differences(told, at, versions, ek, since, payload, snapshots),
+        "collection_is_complete": snapshot_verdicts(snapshots, at, versions, ek, since, payload, collection).filter(~F.col("same")),
     }
 
 
+def _digests(cells: Sequence[Column]) -> list[Column]:
+    # The hash passes over NULLs, so where they are is hashed as well.
+    every = [*cells, *[c.isNull() for c in cells]]
+    return [F.xxhash64(*every), F.xxhash64(F.lit(1), *every)]
+
+
+_SUM = ("_a", "_b")
+
+
+def snapshot_verdicts(
+    snapshots: DataFrame, at: str, versions: DataFrame, ek: Sequence[str], since: str, payload: Sequence[str],
+    collection: str | None = None, tie: Sequence[str] = (), hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``at, n_told, n_true, same`` for every moment of ``snapshots``: are exactly the true states told?
+
+    ``snapshots`` has a row per moment with a ``collection``, or else a row per moment and entity with the columns ``ek,
+    since, payload``, where a row without entity only names its moment.  A snapshot is summed up by its number of rows and two 64-bit digests joined by exclusive or, and
+    so is the truth: a state enters at one snapshot and leaves at another, so each moment's sum follows from the changes
+    before it.  True states differ, so equal numbers and digests mean equal collections, but for a collision of 128 bits.
+    """
+    cells = list(dict.fromkeys([*ek, since, *payload]))
+    kinds = versions.select(*cells).schema
+    moments = snapshots.select(at).filter(F.col(at).isNotNull())
+    if collection is None:
+        named = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ek])
+        hashes = [F.when(named, h) for h in _digests([F.col(c).cast(kinds[c].dataType) for c in cells])]
+        told = snapshots.groupBy(at).agg(
+            F.count_if(named).alias("n_told"), *[F.coalesce(F.bit_xor(h), F.lit(0)).cast("long").alias(f"_told{n}") for n, h in zip(_SUM, hashes)]
+        )
+    else:
+        def folded(k: int) -> Column:
+            one = lambda s, e: s.bitwiseXOR(_digests([e[c].cast(kinds[c].dataType) for c in cells])[k])
+            return F.aggregate(F.coalesce(collection, F.array().cast(snapshots.schema[collection].dataType)), F.lit(0).cast("long"), one)
+
+        size = F.greatest(F.size(collection), F.lit(0)).cast("long")
+        told = snapshots.select(at, size.alias("n_told"), *[folded(k).alias(f"_told{n}") for k, n in enumerate(_SUM)])
+    told = told.filter(F.col(at).isNotNull())
+
+    held = state_intervals(versions, ek, since, payload, moments, at, tie, "_first", "_until", hot_rows)
+    a, b = _digests([F.col(c) for c in cells])
+    change = lambda t, n: held.select(F.col(t).alias(at), F.lit(n).cast("long").alias("_n"), a.alias("_a"), b.alias("_b"))
+    changes = change("_first", 1).unionByName(change("_until", -1).filter(F.col(at).isNotNull()))
+    still = moments.distinct().select(at, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"))
+    # A row per snapshot from here on; pieces of the time line are summed each by itself, then the pieces.
+    steps = changes.unionByName(still).groupBy(at).agg(F.sum("_n").alias("_n"), *[F.bit_xor(c).alias(c) for c in _SUM]).withColumn("_line", F.lit(0))
+    steps = slices.pieces(cut_lineage(steps), ["_line"], [at], hot_rows, "_piece")
+    along = Window.partitionBy("_piece").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("_line").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = steps.groupBy("_line", "_piece").agg(F.sum("_n").alias("_n"), *[F.bit_xor(c).alias(c) for c in _SUM]).select(
+        "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
+        *[F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in _SUM],
+    )
+    true = steps.select(at, "_piece", F.sum("_n").over(along).alias("_n"), *[F.bit_xor(c).over(along).alias(c) for c in _SUM]).join(pieces, "_piece").select(
+        at, (F.col("_n") + F.col("_n0")).alias("n_true"), *[F.col(c).bitwiseXOR(F.col(f"{c}0")).alias(c) for c in _SUM]
+    )
+    same = (F.col("n_told") == F.col("n_true")) & (F.col("_told_a") == F.col("_a")) & (F.col("_told_b") == F.col("_b"))
+    return told.join(true, at).select(at, "n_told", "n_true", same.alias("same"))
+
+
 def snapshot_differences(
     told: DataFrame, at: str, versions: DataFrame, ek: Sequence[str], since: str, payload: Sequence[str],
     times: DataFrame,
 ) -> DataFrame:
     """States told by flat snapshot rows but not true, or true and not told.
 
-    Snapshots of many entities are kept flat, one row per moment and entity.
+    Snapshots of many entities are kept flat, one row per moment and entity.  All states are laid out; where only the
+    verdict of each snapshot is asked for, or its numbers, use :func:`snapshot_verdicts`.
     """
     cols = [at, *ek, since, *payload]
     true = states_at(versions, ek, since, payload, times, at)

@@ -436,6 +436,40 @@ def b5b_states_at(spark, sf):
     return ct.states_at(_versions(spark, sf), ["o_custkey"], "since", ["largest"], _month_ends(spark, sf), "month_end")
 
 
+@query("b5b_state_intervals", f"""
+    WITH m AS ({_MONTHS}), s AS ({_LATEST}),
+         v AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS since, MAX(o_totalprice) AS largest FROM orders GROUP BY 1, 2),
+         shown AS (SELECT o_custkey, since, MIN(month_end) AS first_at FROM s GROUP BY 1, 2)
+    SELECT o_custkey, since, largest, first_at, LEAD(first_at) OVER (PARTITION BY o_custkey ORDER BY first_at) AS before_at
+    FROM shown JOIN v USING (o_custkey, since)""")
+def b5b_state_intervals(spark, sf):
+    return ct.state_intervals(_versions(spark, sf), ["o_custkey"], "since", ["largest"], _month_ends(spark, sf), "month_end")
+
+
+_PRIORITIES = "SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS since, MAX(o_totalprice) AS largest FROM orders GROUP BY 1, 2"
+
+
+@query("b5_snapshot_nested", f"""
+    WITH m AS ({_MONTHS}), v AS ({_PRIORITIES}),
+         s AS (SELECT month_end, o_orderpriority, MAX(since) AS since FROM v JOIN m ON since <= month_end GROUP BY 1, 2),
+         told AS (SELECT month_end, o_orderpriority, since, CASE WHEN MONTH(month_end) = 2 THEN largest + 1 ELSE largest END AS largest
+                  FROM s JOIN v USING (o_orderpriority, since) WHERE NOT (MONTH(month_end) = 1 AND o_orderpriority = '1-URGENT')),
+         wrong AS (SELECT month_end FROM (SELECT s.month_end, s.o_orderpriority, since, largest FROM s JOIN v USING (o_orderpriority, since) EXCEPT SELECT * FROM told) GROUP BY 1)
+    SELECT 'time_not_null' AS rule, 0::BIGINT AS n_violations UNION ALL SELECT 'time_unique', 0::BIGINT
+    UNION ALL SELECT 'collection_is_complete', COUNT(*) FROM wrong""")
+def b5_snapshot_nested(spark, sf):
+    """Monthly collections of the newest state per priority; one lacks a state in January and has a wrong one in February."""
+    versions = raw(spark, sf, "orders").groupBy("o_orderpriority", F.col("o_orderdate").cast("date").alias("since")).agg(
+        F.max("o_totalprice").alias("largest"))
+    states = ct.states_at(versions, ["o_orderpriority"], "since", ["largest"], _month_ends(spark, sf), "month_end")
+    month = F.month("month_end")
+    told = states.filter(~((month == 1) & (F.col("o_orderpriority") == "1-URGENT"))).withColumn(
+        "largest", F.when(month == 2, F.col("largest") + 1).otherwise(F.col("largest")))
+    # Five priorities exist, so a collection has five states.
+    nested = told.groupBy("month_end").agg(F.collect_list(F.struct("o_orderpriority", "since", "largest")).alias("states"))
+    return ct.report(ct.snapshot(nested, "month_end", "states", versions, ["o_orderpriority"], "since", ["largest"]))
+
+
 @query("b5_snapshot", f"""
     WITH m AS ({_MONTHS}), s AS ({_LATEST}),
          told AS (SELECT LAST_DAY(CAST(o_orderdate AS DATE)) AS month_end, o_custkey, MAX(CAST(o_orderdate AS DATE)) AS since FROM orders GROUP BY 1, 2)
@@ -447,8 +481,8 @@ def b5_snapshot(spark, sf):
         versions.withColumn("month_end", F.last_day("since")).groupBy("month_end", "o_custkey")
         .agg(F.max(F.struct("since", "largest")).alias("s")).select("month_end", "o_custkey", "s.*")
     )
-    wrong = ct.snapshot_differences(told, "month_end", versions, ["o_custkey"], "since", ["largest"], _month_ends(spark, sf))
-    return wrong.groupBy("month_end").agg(F.sum(F.col("n_right") - F.col("n_left")).alias("n_missing"))
+    verdicts = ct.snapshot_verdicts(told, "month_end", versions, ["o_custkey"], "since", ["largest"])
+    return verdicts.filter(~F.col("same")).select("month_end", (F.col("n_true") - F.col("n_told")).alias("n_missing"))
 
 
 @query("b6_ordered", _rules(

@@ -206,6 +206,37 @@ def test_states_at_against_brute_force(spark, versions, some):
                 want.append((m, e, t, p))
     got = rows(ct.states_at(df, ["e"], "t", ["p"], times, "at"))
     assert got == sorted(want, key=repr)
+    assert got == rows(ct.states_at(df, ["e"], "t", ["p"], times, "at", hot_rows=3))
+    # A row per version and the snapshots that show it.
+    spans = {}
+    for m, e, t, p in want:
+        spans.setdefault((e, t, p), []).append(m)
+    held = ct.state_intervals(df, ["e"], "t", ["p"], times, "at").collect()
+    assert {(r.e, r.t, r.p): [m for m in sorted(set(moments)) if r.first_at <= m and (r.before_at is None or m < r.before_at)] for r in held} == {
+        k: sorted(v) for k, v in spans.items()}
+    assert len(held) == len(spans)
+
+
+def test_snapshot_verdicts_find_every_fault(spark, versions):
+    _, df = versions
+    moments = [day(n) for n in (12, 20, 40, 400)]
+    times = spark.createDataFrame([(m,) for m in moments], "at timestamp_ntz")
+    told = [tuple(r) for r in ct.states_at(df, ["e"], "t", ["p"], times, "at").collect()]
+    kinds = "at timestamp_ntz, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select("e", "t", "p").schema)
+    faults = {"right": lambda x: x, "short": lambda x: x[1:], "twice": lambda x: [*x[1:], x[1]], "moved": lambda x: [(*x[0][:2], day(-9), x[0][3]), *x[1:]], "more": lambda x: [*x, x[0], x[0]]}
+    for (name, fault), hot_rows in zip(faults.items(), (2, 1000, 1000, 1000, 1000)):
+        rows_ = [r for m in moments for r in (fault([x for x in told if x[0] == m]) if m == day(40) else [x for x in told if x[0] == m])]
+        flat = spark.createDataFrame(rows_, kinds)
+        got = {r["at"]: r.same for r in ct.snapshot_verdicts(flat, "at", df, ["e"], "t", ["p"], hot_rows=hot_rows).collect()}
+        assert got == {m: name == "right" or m != day(40) for m in {r[0] for r in told}}, name
+        if name not in ("right", "twice"):
+            continue
+        nested = flat.groupBy("at").agg(F.collect_list(F.struct("e", "t", "p")).alias("all"))
+        same = {r["at"]: r.same for r in ct.snapshot_verdicts(nested, "at", df, ["e"], "t", ["p"], "all", hot_rows=hot_rows).collect()}
+        assert same == got
+    named = flat.limit(0).unionByName(times.filter(F.col("at") == day(400)), allowMissingColumns=True)
+    (nothing,) = ct.snapshot_verdicts(named, "at", df, ["e"], "t", ["p"]).collect()
+    assert (nothing.n_told, nothing.same) == (0, False) and nothing.n_true > 0
 
 
 def test_snapshot_contract(spark, versions):

@@ -220,7 +220,8 @@ def snapshot_verdicts(
     still = moments.distinct().select(at, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"))
     # A row per snapshot from here on; pieces of the time line are summed each by itself, then the pieces.
     steps = changes.unionByName(still).groupBy(at).agg(F.sum("_n").alias("_n"), *[F.bit_xor(c).alias(c) for c in _SUM]).withColumn("_line", F.lit(0))
-    steps = slices.pieces(cut_lineage(steps), ["_line"], [at], hot_rows, "_piece")
+    # Written again, so that a piece number which is the same everywhere stays a key of the join below.
+    steps = cut_lineage(slices.pieces(cut_lineage(steps), ["_line"], [at], hot_rows, "_piece"))
     along = Window.partitionBy("_piece").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("_line").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = steps.groupBy("_line", "_piece").agg(F.sum("_n").alias("_n"), *[F.bit_xor(c).alias(c) for c in _SUM]).select(

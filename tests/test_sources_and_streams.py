@@ -109,6 +109,56 @@ def test_upsert_stream(spark, tmp_path):
     assert len(stored) == 2
 
 
+def files(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.glob("rows/_part=*/*.parquet")}
+
+
+def test_upsert_rewrites_the_parts_of_its_keys_only(spark, tmp_path):
+    put(spark, tmp_path / "in", [(k, at(0), "old") for k in range(200)] + [(None, at(0), "old")])
+    put(spark, tmp_path / "in", [(3, at(5), "a"), (3, at(6), "b"), (7, at(5), "c"), (None, at(5), "d"), (900, at(5), "e")])
+    seen = []
+    keep = keyed.upsert_into(str(tmp_path / "table"), ["k"], [F.col("t").desc()], parts=32)
+
+    def step(batch, number):
+        keep(batch, number)
+        seen.append(files(tmp_path / "table"))
+
+    run(stream(spark, tmp_path / "in").writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).start())
+    final = {r.k: r.v for r in keyed.stored(spark, str(tmp_path / "table")).collect()}
+    changed = {3: "b", 7: "c", None: "d", 900: "e"}
+    assert final == {**{k: "old" for k in range(200)}, **changed}
+    first, second = seen
+    parts = lambda found: {p.parent.name for p in found}
+    assert len(parts(first)) >= 30  # nearly all of 32
+    assert 1 <= len(parts(set(second) - set(first))) <= len(changed)
+    assert parts(set(first) - set(second)) <= parts(set(second) - set(first))
+    assert all(first[p] == second[p] for p in set(first) & set(second))
+
+
+def test_a_repeated_batch_ends_the_same(spark, tmp_path):
+    schema = "k int, t timestamp, v string"
+    step = keyed.upsert_into(str(tmp_path), ["k"], [F.col("t").desc()], parts=4)
+    step(spark.createDataFrame([], schema), 0)
+    assert not (tmp_path / "rows").exists()
+    step(spark.createDataFrame([(k, at(0), "old") for k in range(20)], schema), 1)
+    batch = spark.createDataFrame([(1, at(1), "new"), (50, at(1), "new")], schema)
+    step(batch, 2)
+    want = rows(keyed.stored(spark, str(tmp_path)))
+    assert len(want) == 21
+    # As if the driver had died while the new folders were put in place: one of them is gone.
+    (lost,) = {p.parent for p in files(tmp_path) if p.parent.name == f"_part={part_of(spark, 1)}"}
+    lost.rename(tmp_path / "gone")
+    assert len(rows(keyed.stored(spark, str(tmp_path)))) < 21
+    step(batch, 2)
+    assert rows(keyed.stored(spark, str(tmp_path))) == want
+    step(batch, 2)
+    assert rows(keyed.stored(spark, str(tmp_path))) == want
+
+
+def part_of(spark, k):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(k)), F.lit(4))).first()[0]
+
+
 def test_checkpoint_folder_of_the_session_is_used(spark, tmp_path, monkeypatch):
     from rowgrain.session import cut_lineage
 

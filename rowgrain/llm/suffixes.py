@@ -280,13 +280,18 @@ def _found(length: int):
         size = 0
         for t, run in runs_of(batches, ["key"]):
             p, w, m = (t[c].to_pylist() for c in ("piece", "windows", "members"))
+            equal: list[tuple[int, np.ndarray]] = []
             edges = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
             for a, b in zip(edges.tolist(), edges[1:].tolist()):
                 own: dict[tuple[bytes, int], list[bytes]] = {}
                 for k in range(a, b):
                     own.setdefault((p[k], w[k]), []).append(m[k])
-                if len(own) == 1 and sum(map(len, m[a:b])) == _PLACE.itemsize:
-                    continue  # alone
+                if len(own) == 1:
+                    # Equal windows have one key: alone, none is repeated; of several equal fragments, each is.
+                    at = np.frombuffer(b"".join(m[a:b]), dtype=_PLACE)
+                    if len(at) > 1:
+                        equal.append((w[a], at))
+                    continue
                 pieces += [k for k, _ in own]
                 windows += [k for _, k in own]
                 members += [b"".join(x) for x in own.values()]
@@ -294,6 +299,11 @@ def _found(length: int):
                 if size > BUNDLE:
                     yield spans(pieces, windows, members)
                     pieces, windows, members, size = [], [], [], 0
+            if equal:
+                at, n = np.concatenate([x for _, x in equal]), np.repeat([k for k, _ in equal], [len(x) for _, x in equal])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (at["row"], at["at"], at["at"] + n - 1 + length)], names=["row", "first", "last"]
+                )
         if pieces:
             yield spans(pieces, windows, members)
 

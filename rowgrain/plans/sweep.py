@@ -201,6 +201,9 @@ def table_rows(
 ROLES = ("f1", "f2", "g1", "g2", "superseded")
 _STEP = 1000
 
+#: Keys that a task counts on average, and keys of one configuration at most, where each configuration is counted in one task.
+TASK_KEYS, CONFIG_KEYS = 500_000, 1_000_000
+
 
 def _key_sets(grain: str, fields: str, role: str, wanted: str = "true") -> str:
     """SQL for the positions of a grain and of the grain without each column, numbered by role."""
@@ -229,12 +232,24 @@ def with_key_sets(configs: DataFrame, superseded: bool = False) -> DataFrame:
     )
 
 
+def _tasks(sets: DataFrame, left: DataFrame) -> tuple[int, int]:
+    """Tasks for the keys of all sets, and pieces a configuration is cut into; one where the largest fits into a task."""
+    per_row = F.expr("2 * size(sets[0]) + size(sets[1]) + size(sets[2])")  # two joined rows and a right one for each left one
+    rows = left.groupBy("config_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = rows.join(sets, "config_id").agg(F.sum(F.col("n") * per_row), F.max(F.col("n") * per_row))
+    total, largest = (x or 0 for x in keys.first())
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
+    return tasks, 1 if largest <= CONFIG_KEYS else -(-largest // TASK_KEYS)
+
+
 def key_counts(
     configs: DataFrame, left: DataFrame, right: DataFrame, superseded: bool = False
 ) -> DataFrame:
     """Rows and distinct keys of every column set of every configuration: ``config_id, no, n_rows, n_keys``.
 
-    Rows are combined by value on each task before the shuffle.
+    Where every configuration is small, its rows come to one task and only they are shuffled, not their keys; there are
+    as many tasks as the keys need.  Else each configuration is cut into pieces, and keys go on as two 64-bit hashes, which
+    each task combines before the shuffle.  One small job counts the rows of the configurations for this choice.
     """
     sets = with_key_sets(configs, superseded).select("config_id", F.array("join_sets", "left_sets", "right_sets").alias("sets"))
     joined = left.join(right.withColumnRenamed("vals", "rvals"), ["config_id", "jkv"]).select(
@@ -245,12 +260,22 @@ def key_counts(
         .unionByName(left.select("config_id", "vals", F.lit(1).alias("which")))
         .unionByName(right.select("config_id", "vals", F.lit(2).alias("which")))
     )
+    tasks, pieces = _tasks(sets, left)
+    if pieces == 1:
+        with_sets = every.repartition(tasks, "config_id").join(sets, "config_id")
+    else:
+        copies = sets.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        spread = every.withColumn("piece", F.pmod(F.xxhash64("vals"), F.lit(pieces)).cast("int")).repartition(tasks, "config_id", "piece")
+        with_sets = spread.join(copies, ["config_id", "piece"])
     keyed = (
-        every.join(sets, "config_id")
-        .select("config_id", "vals", F.explode(F.get("sets", "which")).alias("s"))
+        with_sets.select("config_id", "vals", F.explode(F.get("sets", "which")).alias("s"))
         .select("config_id", F.col("s.no").alias("no"), F.expr("transform(s.at, p -> vals[p])").alias("key"))
     )
-    per_key = keyed.groupBy("config_id", "no", "key").agg(F.count(F.lit(1)).alias("n"))
+    names = ["key"]
+    if pieces > 1:
+        names = ["a", "b"]
+        keyed = keyed.select("config_id", "no", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
+    per_key = keyed.groupBy("config_id", "no", *names).agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("config_id", "no").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys")
     )

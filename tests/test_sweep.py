@@ -255,3 +255,25 @@ def test_registry_audit(spark):
     assert table_grain(reg, "sales") == {"customer", "date"}
     with pytest.raises(MissingColumns):
         table_grain(reg, "nowhere")
+
+
+def test_key_counts_by_rows_of_a_configuration(spark, monkeypatch):
+    """Small configurations are counted in one task each; the rows of a large one are spread and only its keys meet."""
+    configs = sw.derive(sw.edge_cases(spark))
+    numbers = spark.range(640).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("n"))
+    placed = sw.placed_rows(numbers.unionAll(numbers.limit(40)), "n", len(sw.EDGE_CASES))
+    left, right = (sw.table_rows(placed, configs, side) for side in (1, 2))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = sw.key_counts(configs, left, right, True)
+    want = rows(small)
+    assert want and "hashpartitioning(config_id#" in plan(small)
+    monkeypatch.setattr(sw, "CONFIG_KEYS", 0)
+    monkeypatch.setattr(sw, "TASK_KEYS", 100)
+    large = sw.key_counts(configs, left, right, True)
+    assert rows(large) == want
+    keyed = [x for x in plan(large).splitlines() if "hashpartitioning(config_id#" in x and ", no#" in x and ", a#" in x]
+    assert keyed
+    monkeypatch.setattr(sw, "CONFIG_KEYS", 1_000_000)
+    many = sw.key_counts(configs, left, right, True)
+    assert rows(many) == want and many.rdd.getNumPartitions() > 50

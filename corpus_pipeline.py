@@ -9,7 +9,9 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from rowgrain.llm import mixing, packing, pii, quality, simhash
 from rowgrain.session import checkpoint_folder
@@ -38,10 +40,28 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange(parts, "slot", "in_block").sortWithinPartitions("slot", "in_block").select(*docs.columns)
 
 
+def in_stored_order(docs: DataFrame) -> DataFrame | None:
+    """``doc_id, text, position``: the place of a row among the files it was written to, gapless where they are read whole.
+
+    Files follow one another by the number of the task that wrote them.  None where the rows do not come from files.
+    """
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
+    sizes = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_size"))  # one row per file
+    before = Window.orderBy(F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select("doc_id", "text", (F.col("_start") + F.col("_at")).alias("position"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A scan does not keep the order of files and rows; the place in the mix follows from the rows, so it is worked out again."""
-    placed = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text", "position")
-    return packing.pack_documents(placed, public_tokenizers.path("word_bpe_49k.json"), packing.Capacity(tokens=2048), position="position")
+    """Sequences in the order in which the stage before wrote the rows; rows that were not written go in that of the scan."""
+    stored, cap = in_stored_order(docs), packing.Capacity(tokens=2048)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    if stored is None:
+        return packing.pack_documents(docs, tokenizer, cap)
+    return packing.pack_documents(stored, tokenizer, cap, position="position")
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", private), ("mixing", mixed), ("packing", packed)]

@@ -91,3 +91,17 @@ def test_stages_on_awkward_rows(spark, make):
         out.count()
         if name != "packing":
             assert set(out.columns) <= set(docs.columns)
+
+
+def test_packing_follows_the_order_that_was_stored(spark, tmp_path):
+    docs = documents(spark).withColumn("text", F.substring("text", 1, 3000))
+    ids = sorted((r.doc_id for r in docs.select("doc_id").collect()), reverse=True)
+    docs.repartitionByRange(3, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc()).write.parquet(f"{tmp_path}/down")
+    place = {d: n for n, d in enumerate(ids)}
+    reread = spark.read.parquet(f"{tmp_path}/down")
+    assert {r.doc_id: r.position for r in corpus_pipeline.in_stored_order(reread).collect()} == place
+    first = {}
+    for r in corpus_pipeline.packed(spark, reread, SMALL).collect():
+        first[r.sequence_id] = min(first.get(r.sequence_id, 1 << 40), place[r.doc_id])
+    assert len(first) > 1 and [first[s] for s in sorted(first)] == sorted(first.values())
+    assert corpus_pipeline.in_stored_order(spark.createDataFrame(docs.limit(3).collect(), docs.schema)) is None

@@ -29,11 +29,13 @@ from rowgrain.spec import (
 class GrainedFrame:
     """An immutable pair of a DataFrame and its ``GrainSpec``."""
 
-    __slots__ = ("df", "spec")
+    __slots__ = ("df", "spec", "_sides")
 
-    def __init__(self, df: DataFrame, spec: GrainSpec):
+    def __init__(self, df: DataFrame, spec: GrainSpec, sides: tuple[DataFrame, DataFrame] | None = None):
+        """``sides``: the two inputs of which ``df`` is the inner join on all columns of one name."""
         object.__setattr__(self, "df", df)
         object.__setattr__(self, "spec", spec.check(df.columns))
+        object.__setattr__(self, "_sides", sides)
 
     def __setattr__(self, *_):
         raise AttributeError("a GrainedFrame does not change; every method returns a new one")
@@ -232,8 +234,11 @@ class GrainedFrame:
             **right.other_homes(names.right.get(c, c) for c in other.columns),
             **left.other_homes(names.left.get(c, c) for c in self.columns),
         }
+        # Only where both sides repeat a key is the join larger than they are.
+        many = how == "inner" and not left_once and not right_once
+        sides = (self.df.withColumnsRenamed(dict(names.left)), other.df.withColumnsRenamed(dict(names.right))) if many else None
         return GrainedFrame(
-            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures}, homes, clustered=jk)
+            df, GrainSpec(grain, entity, alternatives, fds, {**left.measures, **right.measures}, homes, clustered=jk), sides
         )
 
     def natural_join(self, other: "GrainedFrame") -> "GrainedFrame":
@@ -321,6 +326,8 @@ class GrainedFrame:
         Sums, averages and counts of a measure are refused where the measure's
         home grain is not the frame's grain.  Minimum, maximum and distinct
         count do not change when rows repeat, so they are always allowed.
+
+        Grouping a many-to-many join by its key does not make the pairs (see ``ag.over_join``).
         """
         keys = [keys] if isinstance(keys, str) else list(keys)
         missing = sorted((set(keys) | {a.column for a in aggs.values() if a.column}) - set(self.columns))
@@ -334,8 +341,10 @@ class GrainedFrame:
                     f"{sorted(repeated[a.column])} repeatedly at grain {sorted(self.grain)}"
                 )
         exprs = [a.expression().alias(n) for n, a in aggs.items()]
-        grouped = self.df.groupBy(*keys)
-        df = grouped.agg(*exprs) if exprs else self.df.select(*keys).distinct()
+        if self._sides and exprs and set(keys) == self.spec.clustered and all(a.kind in ag.JOINABLE for a in aggs.values()):
+            df = ag.over_join(*self._sides, keys, aggs)
+        else:
+            df = self.df.groupBy(*keys).agg(*exprs) if exprs else self.df.select(*keys).distinct()
         grain = columns(keys)
         spec = replace(self.spec.restricted(keys), grain=grain, alternatives=(), kind=None,
                        measures={n: grain for n in aggs}, homes={}, clustered=grain)

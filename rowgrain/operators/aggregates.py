@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,29 @@ def different(column: str) -> Agg:
     return Agg("count_distinct", column)
 
 
+#: Aggregates of a join by its key that follow exactly from those of its sides.
+JOINABLE = REPEAT_SAFE | {"rows"}
+
+
+def over_join(left: DataFrame, right: DataFrame, keys: Sequence[str], aggs: Mapping[str, Agg]) -> DataFrame:
+    """Aggregates of the inner join of ``left`` and ``right`` on ``keys``, grouped by ``keys``, without its pairs.
+
+    Each side is grouped by the key first.  A key has as many pairs as the product of its rows on both sides, and every
+    row of one side meets all of the other, so its values are those of its side.
+    """
+    l_n, r_n = fresh([*left.columns, *right.columns, *aggs], "_left_rows", "_right_rows")
+    # A key column or a column outside the key is taken from the side that has it; both have the key.
+    mine = {n: (left if a.column is None or a.column in left.columns else right) for n, a in aggs.items()}
+    of = lambda side: [a.expression().alias(n) for n, a in aggs.items() if a.kind != "rows" and mine[n] is side]
+    l = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(l_n), *of(left))
+    r = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(r_n), *of(right))
+
+    def result(name: str, a: Agg) -> Column:
+        return (F.col(l_n) * F.col(r_n)).alias(name) if a.kind == "rows" else F.col(name)
+
+    return l.join(r, list(keys)).select(*keys, *[result(n, a) for n, a in aggs.items()])
+
+
 def distinct_count(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
     """Distinct tuples, where a NULL inside a tuple is a value like any other."""
     return df.agg(F.count_distinct(key(cols)).alias(name))

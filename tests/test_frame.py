@@ -10,6 +10,7 @@ from rowgrain.operators import aggregates as ag
 from rowgrain.operators import joins as jn
 from rowgrain.operators import sets as st
 from rowgrain.plans import reports
+from rowgrain.spec import GrainSpec
 
 
 @pytest.fixture(scope="module")
@@ -305,3 +306,19 @@ def test_a_measure_stays_guarded_under_another_name(spark, no_jobs):
     joined.extend(one=F.lit(1)).aggregate([], s=ag.total("one"))
     orders.extend(p2=F.col("p") * 2).aggregate([], s=ag.total("p2"))
     joined.aggregate(["o"], s=ag.total("qty")).aggregate([], t=ag.total("s"))
+
+
+def test_many_to_many_join_is_grouped_by_its_key_without_its_pairs(spark):
+    a = spark.createDataFrame([(1, 1, None), (2, 1, 5.0), (3, 1, 5.0), (4, 2, 1.0), (5, None, 2.0), (5, None, 2.0)], "a int, k int, x double")
+    b = spark.createDataFrame([(1, 1, "p"), (2, 1, None), (2, 1, None), (3, 3, "q"), (4, None, "r")], "b int, j int, y string")
+    joined = GrainedFrame(a, GrainSpec(frozenset({"a"}))).join(GrainedFrame(b, GrainSpec(frozenset({"b"}))), [("k", "j")])
+    aggs = dict(n=ag.rows(), da=ag.different("a"), dx=ag.different("x"), lo=ag.least("y"), hi=ag.greatest("x"), k2=ag.greatest("k"))
+    plain = joined.df.groupBy("k").agg(*[x.expression().alias(n) for n, x in aggs.items()])
+    got = joined.aggregate("k", **aggs).df
+    assert got.columns == plain.columns and got.dtypes == plain.dtypes
+    assert got.collect() == plain.collect() == [(1, 9, 3, 1, "p", 5.0, 1)]
+    million = spark.range(1_000_000)
+    left = GrainedFrame(million.selectExpr("id as a", "id % 2 as k"), GrainSpec(frozenset({"a"})))
+    right = GrainedFrame(million.selectExpr("id as b", "id % 2 as k"), GrainSpec(frozenset({"b"})))
+    pairs = left.join(right, "k").aggregate("k", n=ag.rows(), d=ag.different("a")).df.collect()
+    assert sorted(map(tuple, pairs)) == [(0, 250_000_000_000, 500_000), (1, 250_000_000_000, 500_000)]

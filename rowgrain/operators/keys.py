@@ -6,8 +6,9 @@ Two rows that agree on a set prove that it is no key, and so is no part of it.
 * All rows whose values of a set hash into one class of many.  Rows equal on the set are in the sample together, so one
   duplicate among the sampled keys is a proof, also where duplicates are too rare for a sample of rows.
 
-A set that survives both is nearly always a key; the count that proves it is the only one that shuffles all rows.  Rows
-equal on a set have equal hashes, so no key is missed.
+A set that survives both is nearly always a key; the count that proves it is the only one that shuffles all rows, once
+for all sets with a column in common whose values are spread widely.  Rows equal on a set have equal hashes, so no key
+is missed.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgrain.functions.columns import fresh
 from rowgrain.operators.verify import require_columns, uniqueness
 from rowgrain.spec import Columns
 
@@ -29,6 +31,10 @@ PAIR_ROWS = 1000
 SAMPLE_KEYS, CLASSES = 4_000, 1 << 20
 #: Sets sampled in one pass.
 AT_ONCE = 256
+#: A column is spread widely if none of its values has a larger share of a sample of rows.
+LARGEST_SHARE = 0.01
+#: Keys that a task counts on average where rows are shuffled by a column.
+TASK_KEYS = 1_000_000
 
 
 def _hash(c: str, number: int) -> Column:
@@ -97,6 +103,44 @@ def refuted_by_hash(df: DataFrame, sets: Collection[Columns], classes: int) -> s
     return out
 
 
+def spread_columns(df: DataFrame, cols: Iterable[str], rows: int = PAIR_ROWS) -> list[str]:
+    """The columns of many values, none of them frequent, as a sample of rows shows."""
+    cols = sorted(cols)
+    hashed = df.select(*[_hash(c, i).alias(f"h{i}") for i, c in enumerate(cols)])
+    x = np.array(hashed.orderBy(F.xxhash64(*hashed.columns)).limit(rows).collect(), dtype=np.int64).reshape(-1, len(cols))
+    most = [np.unique(x[:, i], return_counts=True)[1].max(initial=0) for i in range(len(cols))]
+    return [c for c, n in zip(cols, most) if n <= max(1, LARGEST_SHARE * len(x))]
+
+
+def refuted_by_column(df: DataFrame, sets: Collection[Columns], column: str, n_rows: int) -> set[Columns]:
+    """The sets with ``column`` in each that have a duplicate.  Rows are shuffled once, by that column, and their keys not at all."""
+    ordered = sorted(map(frozenset, sets), key=lambda s: (len(s), sorted(s)))
+    cols = sorted(frozenset().union(*ordered))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * len(ordered) // TASK_KEYS))
+    at = fresh(cols, "_at")[0]
+    rows = df.select(*cols, F.xxhash64(column).alias(at)).repartition(tasks, at)
+    hashed = rows.select(at, *[h.alias(f"{k}{i}") for i, c in enumerate(cols) for k, h in (("a", _hash(c, i)), ("b", _hash(c, -2 - i)))])
+    mixed = lambda k, s: reduce(Column.bitwiseXOR, [F.col(f"{k}{cols.index(c)}") for c in sorted(s)]).alias(k)
+    keys = hashed.select(at, F.posexplode(F.array(*[F.struct(mixed("a", s), mixed("b", s)) for s in ordered])).alias("set", "key"))
+    twice = keys.groupBy(at, "set", "key.a", "key.b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return {ordered[r[0]] for r in twice.select("set").distinct().collect()}
+
+
+def refuted(df: DataFrame, sets: Collection[Columns], n_rows: int) -> set[Columns]:
+    """The sets that have a duplicate among all rows."""
+    left, out = set(map(frozenset, sets)), set()
+    spread = spread_columns(df, frozenset().union(*left))
+    while spread and left:
+        # Neither order of sets nor of columns matters for the result; the column of most sets saves most shuffles.
+        column = max(spread, key=lambda c: sum(c in s for s in left))
+        some = sorted([s for s in left if column in s], key=sorted)
+        for lo in range(0, len(some), AT_ONCE):
+            out |= refuted_by_column(df, some[lo:lo + AT_ONCE], column, n_rows)
+        left -= set(some)
+        spread.remove(column)
+    return out | (refuted_by_hash(df, left, 1) if left else set())
+
+
 def unique_sets(df: DataFrame, sets: Iterable[Iterable[str]], known: Collection[Columns] | None = None, n_rows: int | None = None) -> dict[Columns, bool]:
     """For each column set whether its values differ between all rows; NULL is a value.
 
@@ -116,7 +160,7 @@ def unique_sets(df: DataFrame, sets: Iterable[Iterable[str]], known: Collection[
         # A superset of a key needs no count; whether it has one is known for sets of one size after the other.
         for size in sorted({len(x) for x in rest}):
             level = {x for x in rest if len(x) == size and not any(t <= x for t, ok in out.items() if ok)}
-            gone = refuted_by_hash(df, level, classes) if level else set()
+            gone = (refuted(df, level, n_rows) if classes == 1 else refuted_by_hash(df, level, classes)) if level else set()
             out.update(dict.fromkeys(gone, False))
             if classes == 1:
                 out.update(dict.fromkeys(level - gone, True))

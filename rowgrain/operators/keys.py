@@ -18,28 +18,16 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import fresh
-from rowgrain.operators.verify import require_columns, uniqueness
+from rowgrain.operators.verify import PAIR_ROWS, column_hash as _hash, keys_by_column, require_columns, spread_columns, uniqueness
 from rowgrain.spec import Columns
 
-#: Rows of a sample that are compared pair by pair on the driver, as two hashes per column.
-PAIR_ROWS = 1000
 #: Keys of one set that its hash sample aims at, and the most classes it is cut from.
 SAMPLE_KEYS, CLASSES = 4_000, 1 << 20
 #: Sets sampled in one pass.
 AT_ONCE = 256
-#: A column is spread widely if none of its values has a larger share of a sample of rows.
-LARGEST_SHARE = 0.01
-#: Keys that a task counts on average where rows are shuffled by a column.
-TASK_KEYS = 1_000_000
-
-
-def _hash(c: str, number: int) -> Column:
-    """Differs between columns, so that equal columns do not cancel out."""
-    return F.xxhash64(F.lit(number), F.col(c))
 
 
 def agreements(df: DataFrame, cols: Iterable[str], rows: int = PAIR_ROWS) -> list[Columns]:
@@ -103,26 +91,10 @@ def refuted_by_hash(df: DataFrame, sets: Collection[Columns], classes: int) -> s
     return out
 
 
-def spread_columns(df: DataFrame, cols: Iterable[str], rows: int = PAIR_ROWS) -> list[str]:
-    """The columns of many values, none of them frequent, as a sample of rows shows."""
-    cols = sorted(cols)
-    hashed = df.select(*[_hash(c, i).alias(f"h{i}") for i, c in enumerate(cols)])
-    x = np.array(hashed.orderBy(F.xxhash64(*hashed.columns)).limit(rows).collect(), dtype=np.int64).reshape(-1, len(cols))
-    most = [np.unique(x[:, i], return_counts=True)[1].max(initial=0) for i in range(len(cols))]
-    return [c for c, n in zip(cols, most) if n <= max(1, LARGEST_SHARE * len(x))]
-
-
 def refuted_by_column(df: DataFrame, sets: Collection[Columns], column: str, n_rows: int) -> set[Columns]:
-    """The sets with ``column`` in each that have a duplicate.  Rows are shuffled once, by that column, and their keys not at all."""
+    """The sets with ``column`` in each that have a duplicate."""
     ordered = sorted(map(frozenset, sets), key=lambda s: (len(s), sorted(s)))
-    cols = sorted(frozenset().union(*ordered))
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * len(ordered) // TASK_KEYS))
-    at = fresh(cols, "_at")[0]
-    rows = df.select(*cols, F.xxhash64(column).alias(at)).repartition(tasks, at)
-    hashed = rows.select(at, *[h.alias(f"{k}{i}") for i, c in enumerate(cols) for k, h in (("a", _hash(c, i)), ("b", _hash(c, -2 - i)))])
-    mixed = lambda k, s: reduce(Column.bitwiseXOR, [F.col(f"{k}{cols.index(c)}") for c in sorted(s)]).alias(k)
-    keys = hashed.select(at, F.posexplode(F.array(*[F.struct(mixed("a", s), mixed("b", s)) for s in ordered])).alias("set", "key"))
-    twice = keys.groupBy(at, "set", "key.a", "key.b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = keys_by_column(df, ordered, column, n_rows).filter("n > 1")
     return {ordered[r[0]] for r in twice.select("set").distinct().collect()}
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgrain.functions.columns import key
+from rowgrain.functions.columns import fresh, key
 from rowgrain.operators.joins import equi_join, plan_names
 from rowgrain.spec import Columns, MissingColumns, columns, join_grain, rename_set
 
@@ -87,22 +88,70 @@ def count_sets(df: DataFrame, sets: dict[str, Columns]) -> DataFrame:
     )
 
 
+#: Rows of a sample, which are compared pair by pair on the driver or tell how widely a column is spread.
+PAIR_ROWS = 1000
+#: A column is spread widely if none of its values has a larger share of a sample of rows.
+LARGEST_SHARE = 0.01
+#: Keys that a task counts on average where rows are shuffled by a column.
+TASK_KEYS = 1_000_000
+
+
+def column_hash(c: str, number: int) -> Column:
+    """Differs between columns, so that equal columns do not cancel out."""
+    return F.xxhash64(F.lit(number), F.col(c))
+
+
+def spread_columns(df: DataFrame, cols: Iterable[str], rows: int = PAIR_ROWS) -> list[str]:
+    """The columns of many values, none of them frequent, as a sample of rows shows."""
+    cols = sorted(cols)
+    hashed = df.select(*[column_hash(c, i).alias(f"h{i}") for i, c in enumerate(cols)])
+    x = np.array(hashed.orderBy(F.xxhash64(*hashed.columns)).limit(rows).collect(), dtype=np.int64).reshape(-1, len(cols))
+    most = [np.unique(x[:, i], return_counts=True)[1].max(initial=0) for i in range(len(cols))]
+    return [c for c, n in zip(cols, most) if n <= max(1, LARGEST_SHARE * len(x))]
+
+
+def keys_by_column(df: DataFrame, sets: Sequence[Columns], column: str, n_rows: int) -> DataFrame:
+    """Each key of each set with its rows, ``set`` (number in ``sets``), ``n``; every set has to hold ``column``.
+
+    Rows are shuffled once, by that column, and their keys not at all; a key is two 64-bit hashes.
+    """
+    cols = sorted(frozenset().union(*sets))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * len(sets) // TASK_KEYS))
+    at = fresh(cols, "_at")[0]
+    rows = df.select(*cols, F.xxhash64(column).alias(at)).repartition(tasks, at)
+    hashes = lambda i, c: (("a", column_hash(c, i)), ("b", column_hash(c, -2 - i)))
+    hashed = rows.select(at, *[h.alias(f"{k}{i}") for i, c in enumerate(cols) for k, h in hashes(i, c)])
+    mixed = lambda k, s: reduce(Column.bitwiseXOR, [F.col(f"{k}{cols.index(c)}") for c in sorted(s)]).alias(k)
+    keys = hashed.select(at, F.posexplode(F.array(*[F.struct(mixed("a", s), mixed("b", s)) for s in sets])).alias("set", "key"))
+    return keys.groupBy(at, "set", "key.a", "key.b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def reduced_counts(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """For each key column: how many keys are left when it is dropped.
 
-    Rows ``(dropped, n_rows, n_keys, removable)``; ``dropped`` is NULL for the whole key.
+    Rows ``(dropped, n_rows, n_keys, removable)``; ``dropped`` is NULL for the whole key.  Sets with a widely spread
+    column in common are counted after one shuffle of the rows by it; two small jobs look for such columns.
     """
     cols = columns(cols)
     require_columns(df, cols)
     sets = {"_whole": cols, **({f"_without_{c}": cols - {c} for c in sorted(cols)} if len(cols) > 1 else {})}
-    rows = [
-        F.struct(
-            F.lit(None if name == "_whole" else name.removeprefix("_without_")).cast("string").alias("dropped"),
-            F.col("n_rows"), F.col(name).alias("n_keys"),
-        )
-        for name in sets
-    ]
-    out = count_sets(df, sets).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    n_rows = df.count()
+    spread = spread_columns(df, cols) if n_rows > 1 else []
+    parts = []
+    while spread and sets:
+        column = max(spread, key=lambda c: sum(c in s for s in sets.values()))
+        some = [n for n in sets if column in sets[n]]
+        spread.remove(column)
+        if some:
+            per_key = keys_by_column(df, [sets.pop(n) for n in some], column, n_rows)
+            counted = per_key.groupBy("set").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+            name = F.get(F.array(*[F.lit(n) for n in some]), F.col("set"))
+            parts.append(counted.select(name.alias("name"), "n_rows", "n_keys"))
+    if sets:
+        rows = [F.struct(F.lit(n).alias("name"), F.col("n_rows"), F.col(n).alias("n_keys")) for n in sets]
+        parts.append(count_sets(df, sets).select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    dropped = F.when(F.col("name") != "_whole", F.regexp_replace("name", "^_without_", "")).alias("dropped")
+    out = reduce(DataFrame.unionByName, parts).select(dropped, "n_rows", "n_keys")
     removable = F.col("dropped").isNotNull() & (F.col("n_keys") == F.col("n_rows")) & (F.col("n_rows") > 1)
     return out.withColumn("removable", removable)
 

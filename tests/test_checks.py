@@ -312,3 +312,17 @@ def test_null_keys_and_parties_are_violations(spark):
     parties = spark.createDataFrame([(1,), (2,)], "id int")
     links = spark.createDataFrame([(1, 1, 2), (2, None, 1)], "k int, a int, b int")
     assert broken(ct.link(links, ["k"], ["a"], parties, ["id"], ["b"], parties, ["id"])) == {"parties_not_null"}
+
+
+def test_reduced_counts_share_a_shuffle_of_the_rows(spark):
+    """Sets with a column of many values are counted where its rows are, not each shuffled by its own keys."""
+    rows = [(i % 2000, i % 13, None if i % 5 == 0 else i % 700, "x" if i % 3 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, g int, h int, t string")
+    got = {r.dropped: (r.n_rows, r.n_keys, r.removable) for r in vf.reduced_counts(df, df.columns).collect()}
+    count = lambda cols: df.select(*cols).distinct().count()
+    want = {d: (n := count([c for c in df.columns if c != d])) for d in (None, *df.columns)}
+    assert got == {d: (4000, n, d is not None and n == 4000) for d, n in want.items()} and set(want.values()) != {4000}
+    plan = vf.reduced_counts(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_at#" in plan
+    empty = vf.reduced_counts(df.limit(0), df.columns).collect()
+    assert {r.dropped for r in empty} == set(want) and {(r.n_rows, r.n_keys, r.removable) for r in empty} == {(0, 0, False)}

@@ -219,6 +219,22 @@ def test_removed_strings(spark, hot):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == plain_removed(texts, 100)
 
 
+def test_frequent_fragments_are_cut_and_split_by_one_python_process(spark, monkeypatch):
+    """Only documents with frequent strings are cut for the split, and no task holds two Python processes for it."""
+    plans, plain = [], suffixes.cut_lineage
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(suffixes, "cut_lineage", watched)
+    text = "".join(chr(97 + (7 * i * i + i // 3) % 26) for i in range(300))
+    df = spark.createDataFrame([(k, str(k) * 3 + text + str(k)) for k in range(8)], "doc_id long, text string")
+    got = rows_of(suffixes.removed(df, length=100, hot=3))
+    assert all(r.n_removed >= 300 and r.n_spans == 1 for r in got.values())
+    assert plans and plans[0].count("MapInArrow") == 1 and "> 3" in plans[0]
+
+
 def test_removed_from_a_table_whose_scan_changes_between_jobs(spark, tmp_path, monkeypatch):
     draw = np.random.default_rng(3)
     texts = ["".join(draw.choice(list("abcdefgh"), 300)) for _ in range(60)]

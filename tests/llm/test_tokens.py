@@ -56,6 +56,50 @@ def test_context_lowers_the_size():
     assert len(token_files.encode([ids])[0]) < len(ids) * 2 / 3
 
 
+def test_lanes_share_a_block(monkeypatch):
+    """A block takes a sixteenth of its ids in steps: its lanes go side by side, and so do its neighbours."""
+    plain, calls = token_files._Model.learn, []
+    monkeypatch.setattr(token_files._Model, "learn", lambda self, *rest: calls.append(1) or plain(self, *rest))
+    draw = np.random.default_rng(5)
+    blocks = [np.minimum(draw.zipf(1.2, n), 60000).astype("<u4") for n in (8192, 8000, 300, 1)]
+    coded = token_files.encode(blocks)
+    assert len(calls) == 2 * 512
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, token_files.decode(coded))) and len(calls) == 4 * 512
+
+
+def test_odd_blocks():
+    draw = np.random.default_rng(8)
+    blocks = [draw.permutation(65536)[:20000].astype("<u4"), np.arange(255, 700, dtype="<u4"), np.full(257, 65535, dtype="<u4")]
+    blocks += [np.tile(draw.integers(0, 9, 40), k).astype("<u4") for k in range(1, 30)]
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, token_files.decode(token_files.encode(blocks))))
+    assert [len(b) for b in token_files.decode(token_files.encode([np.empty(0, dtype="<u4")]))] == [0]
+    with pytest.raises(ValueError, match="below 65,536"):
+        token_files.encode([np.array([65536], dtype="<u4")])
+    coded = token_files.encode(blocks[:3])
+    for k in range(16, len(coded[1]), 7):
+        broken = bytearray(coded[1])
+        broken[k] ^= 1 << k % 8
+        with pytest.raises(ValueError, match="damaged"):
+            token_files.decode([coded[0], bytes(broken)])
+    with pytest.raises(ValueError, match="damaged"):
+        token_files.decode([coded[1][:-2]])
+
+
+def test_stretches_are_looked_up_together(monkeypatch):
+    """Only the first stretch of a text, and those that end in white space, are cut by themselves; small batches change nothing."""
+    draw = random.Random(2)
+    words = ["one", "two,", "x\ny", "\nz", "end\n", "\t", "Émile's", "7up", "...", "a\r\n"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 40))) for _ in range(300)] + ["", " ", " a", "a ", "\n a"]
+    plain, calls = tokens.Pieces._chunk, []
+    monkeypatch.setattr(tokens.Pieces, "_chunk", lambda self, chunk: calls.append(chunk) or plain(self, chunk))
+    want = library("byte_bpe_50k.json", texts)
+    assert all(np.array_equal(a, b) for a, b in zip(tokens.Pieces(FILES["byte_bpe_50k.json"]).ids(texts), want))
+    assert len(calls) <= len(texts) + 5
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    assert all(np.array_equal(a, b) for a, b in zip(tokens.Pieces(FILES["byte_bpe_50k.json"]).ids(texts), want))
+
+
 def test_joined_checksums():
     a, b = b"some bytes", b"and others" * 9
     for x, y in ((a, b), (b, a), (a, b""), (b"", b)):

@@ -13,6 +13,7 @@ blocks are coded side by side in numpy by a range coder without carries (rANS):
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowgrain.llm.tokens import Pieces
-from rowgrain.session import checkpoint_folder
+from rowgrain.session import checkpoint_folder, cut_lineage
 
 MAGIC = b"RGT2"
 #: Ids in a block, and blocks coded side by side.
@@ -428,26 +429,31 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int, block: int = BLO
     dealt.mapInArrow(work, "shard int, block long, n_ids long, docs binary, data binary").write.parquet(path)
 
 
+def _times(m: list[int], v: int) -> int:
+    out = 0
+    for bit, row in enumerate(m):
+        if v >> bit & 1:
+            out ^= row
+    return out
+
+
+@functools.cache
+def _zero_bytes(power: int) -> list[int]:
+    """What ``2 ** power`` zero bytes make of a checksum, by repeated squaring."""
+    if power == -3:
+        return [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
+    half = _zero_bytes(power - 1)
+    return [_times(half, row) for row in half]
+
+
 def crc32_joined(a: int, b: int, n: int) -> int:
     """Checksum of two strings one after the other, from theirs and the length of the second.
 
-    ``n`` zero bytes after the first are a linear map of its checksum, found by repeated squaring.
+    ``n`` zero bytes after the first are a linear map of its checksum.
     """
-
-    def times(m: list[int], v: int) -> int:
-        out = 0
-        for bit, row in enumerate(m):
-            if v >> bit & 1:
-                out ^= row
-        return out
-
-    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    left = 8 * n
-    while left:
-        if left & 1:
-            a = times(step, a)
-        step = [times(step, row) for row in step]
-        left >>= 1
+    for power in range(n.bit_length()):
+        if n >> power & 1:
+            a = _times(_zero_bytes(power), a)
     return a ^ b
 
 
@@ -476,8 +482,8 @@ def read(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` from the pieces that :func:`read` gives."""
-    own = pieces.withColumn("crc", F.crc32("ids")).drop("ids")
+    """``(doc_id, start, n_tokens, ids_crc32)`` from the pieces that :func:`read` gives, which are decoded once."""
+    own = cut_lineage(pieces.withColumn("crc", F.crc32("ids")).drop("ids"))
     whole = own.filter("parts = 1").select("shard", "ordinal", "doc_id", "n", "crc")
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:

@@ -122,6 +122,22 @@ def test_files_of_documents(spark):
     assert [(got[i].start, got[i].n_tokens, got[i].ids_crc32) for i, _ in rows] == digests([t for _, t in rows])
 
 
+def test_pieces_are_decoded_once(spark, tmp_path):
+    """Starts and digests both need every piece; the files are read and decoded once for them."""
+    seen = spark.sparkContext.accumulator(0)
+    token_files.write(documents(spark), FILES["byte_bpe_50k.json"], f"{tmp_path}/ids", end=2, block=512)
+    pieces = token_files.read(spark, f"{tmp_path}/ids")
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = pieces.count()
+    assert token_files.digests(pieces.mapInArrow(counted, pieces.schema)).count() == documents(spark).count()
+    assert seen.value == n
+
+
 def test_files_of_awkward_rows(spark):
     df = awkward(spark)
     got = token_files.written_and_read(df, FILES["byte_bpe_50k.json"], end=2).collect()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import SMALL, awkward, documents, nothing, rows_of
-from rowgrain.llm import imatch, mixing, pii, quality, suffixes
+from rowgrain.llm import imatch, mixing, pii, quality, queries, suffixes
 
 
 # -- pseudonyms
@@ -219,6 +219,23 @@ def test_removed_strings(spark, hot):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == plain_removed(texts, 100)
 
 
+def test_registered_query_shows_what_is_left(spark, tmp_path):
+    draw = np.random.default_rng(1)
+    texts = ["".join(draw.choice(list("abcdefgh "), 900)) for _ in range(6)]
+    passage = "é" + "".join(draw.choice(list("abcdefgh "), 500)) + "é"
+    texts += [texts[0][:300] + passage + texts[1][:200], "ñ" + texts[2][:99] + passage[1:] + "x", texts[3], texts[3], "short", "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(queries.QUERIES["op6_suffix_intervals"](spark, str(tmp_path)))
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == plain_removed(texts, 400)
+    for i, r in got.items():
+        if "\ufffd" not in r.text:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+        if r.n_removed == 0:
+            assert r.text == (texts[i] or "")
+    assert got[7].text == "ñ" + texts[2][:99] + "x" and got[3].text == got[9].text == "" and passage[5:] not in got[6].text
+    assert "text" not in suffixes.removed(spark.createDataFrame([(1, "a")], "doc_id long, text string")).columns
+
+
 def test_frequent_fragments_are_cut_and_split_by_one_python_process(spark, monkeypatch):
     """Only documents with frequent strings are cut for the split, and no task holds two Python processes for it."""
     plans, plain = [], suffixes.cut_lineage
